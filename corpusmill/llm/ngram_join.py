@@ -48,7 +48,7 @@ from corpusmill.llm import numtext as nt
 from corpusmill.llm.components import groups_of_pairs, spread_labels
 from corpusmill.session import cut
 
-N, THRESHOLD = 5, 0.5
+N, THRESHOLD = 5, 0.4
 FRAGMENT_ENTRIES = 4_000_000
 BLOCK, WIDTH = 1024, 4096
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import langid, ngram_join
+from corpusmill.llm import langid, ngram_join, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +22,37 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_pairs(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op2_language_id, op3_ngram_jaccard_join, op9_substring_dedup)}
+
+
+SQL_REPEATED_SPANS = """
+WITH words AS (
+  SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id, text ORDER BY at) - 1 AS pos, count(*) OVER (PARTITION BY doc_id, text) AS n, text
+  FROM (
+    SELECT doc_id, text, unnest(ws) AS word, generate_subscripts(ws, 1) AS at
+    FROM (SELECT DISTINCT doc_id, text, string_split_regex(text, '[ \\t\\n\\v\\f\\r]+') AS ws FROM documents WHERE text IS NOT NULL)
+  ) WHERE word <> ''
+), windows AS (
+  SELECT doc_id, text, pos, n, md5(array_to_string(list(word) OVER (PARTITION BY doc_id, text ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING), ' ')) AS h
+  FROM words
+), ranked AS (
+  SELECT doc_id, text, pos, count(*) OVER (PARTITION BY h) AS times, row_number() OVER (PARTITION BY h ORDER BY doc_id, pos) = 1 AS original
+  FROM windows WHERE pos + 50 <= n
+), starts AS (
+  SELECT doc_id, text, pos, original,
+    CASE WHEN pos > lag(pos) OVER (PARTITION BY doc_id, text, original ORDER BY pos) + 50 THEN 1 ELSE 0 END AS new
+  FROM ranked WHERE times > 1
+), runs AS (
+  SELECT doc_id, text, pos, original, sum(new) OVER (PARTITION BY doc_id, text, original ORDER BY pos) AS run FROM starts
+)
+SELECT doc_id, min(pos) AS start_word, max(pos) + 50 AS end_word, original FROM runs GROUP BY doc_id, text, original, run
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_substring_dedup": SQL_REPEATED_SPANS}
