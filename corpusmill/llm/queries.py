@@ -32,9 +32,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 SQL_REPEATED_SPANS = """
 WITH words AS (
-  SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id, text ORDER BY at) - 1 AS pos, count(*) OVER (PARTITION BY doc_id, text) AS n, text
+  SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id, text ORDER BY idx) - 1 AS pos, count(*) OVER (PARTITION BY doc_id, text) AS n, text
   FROM (
-    SELECT doc_id, text, unnest(ws) AS word, generate_subscripts(ws, 1) AS at
+    SELECT doc_id, text, unnest(ws) AS word, generate_subscripts(ws, 1) AS idx
     FROM (SELECT DISTINCT doc_id, text, string_split_regex(text, '[ \\t\\n\\v\\f\\r]+') AS ws FROM documents WHERE text IS NOT NULL)
   ) WHERE word <> ''
 ), windows AS (
