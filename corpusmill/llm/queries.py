@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import langid, ngram_join, substring
+from corpusmill.llm import langid, mixing, ngram_join, packing, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,12 +22,20 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_pairs(table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.positions(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_ngram_jaccard_join, op9_substring_dedup)}
+    return {f.__name__: f for f in (op2_language_id, op3_ngram_jaccard_join, op5_best_fit_packing, op9_substring_dedup, op10_mixing)}
 
 
 SQL_REPEATED_SPANS = """
@@ -54,5 +62,25 @@ SELECT doc_id, min(pos) AS start_word, max(pos) + 50 AS end_word, original FROM
 """
 
 
+SQL_POSITIONS = """
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(text, '[^ \\t\\n\\v\\f\\r]+')) AS n_tokens, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), c AS (
+  SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source ORDER BY h, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS c0
+  FROM d WHERE n_tokens > 0
+), s AS (
+  SELECT source, sum(n_tokens)::DOUBLE AS supply, sum(sum(n_tokens)) OVER ()::DOUBLE AS total FROM c GROUP BY source
+), w AS (
+  SELECT source, supply, total, supply / total AS a, sqrt(supply / total) / sum(sqrt(supply / total)) OVER () AS b FROM s
+), e AS (
+  SELECT c.*, w.supply, w.total, w.a, w.b, unnest(range(0, ceil(total * (a + b) / 2 / supply)::BIGINT + 1)) AS epoch
+  FROM c JOIN w ON c.source IS NOT DISTINCT FROM w.source
+)
+SELECT doc_id, source, epoch::INT AS epoch, n_tokens::BIGINT AS n_tokens,
+  round(2 * ((c0 + epoch * supply) / total) / (a + sqrt(a * a + 2 * (b - a) * ((c0 + epoch * supply) / total))), 9) AS position
+FROM e WHERE c0 + epoch * supply < total * (a + b) / 2
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_substring_dedup": SQL_REPEATED_SPANS}
+    return {"op10_mixing": SQL_POSITIONS, "op9_substring_dedup": SQL_REPEATED_SPANS}
