@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import langid, mixing, ngram_join, packing, substring, tokencount
+from corpusmill.llm import covertree, kmeanstree, langid, mixing, ngram_join, packing, substring, tokencount
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
@@ -30,6 +34,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_approximate_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeanstree.neighbors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_spans(table(spark, sf_dir, "documents"))
 
@@ -39,7 +47,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_ngram_jaccard_join, op4_token_counts, op5_best_fit_packing, op9_substring_dedup, op10_mixing)}
+    found = (
+        op1_exact_top_k,
+        op2_language_id,
+        op3_ngram_jaccard_join,
+        op4_token_counts,
+        op5_best_fit_packing,
+        op8_approximate_neighbors,
+        op9_substring_dedup,
+        op10_mixing,
+    )
+    return {f.__name__: f for f in found}
 
 
 SQL_REPEATED_SPANS = """
@@ -66,6 +84,17 @@ SELECT doc_id, min(pos) AS start_word, max(pos) + 50 AS end_word, original FROM
 """
 
 
+SQL_TOP_K = """
+WITH v AS (
+  SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), d AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id
+), r AS (
+  SELECT query_id, neighbor_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, neighbor_id)::INT AS rank FROM d
+)
+SELECT query_id, neighbor_id, rank, round(d, 5) AS distance FROM r WHERE rank <= 10
+"""
+
 SQL_POSITIONS = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(text, '[^ \\t\\n\\v\\f\\r]+')) AS n_tokens, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
@@ -87,4 +116,4 @@ FROM e WHERE c0 + epoch * supply < total * (a + b) / 2
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": SQL_POSITIONS, "op9_substring_dedup": SQL_REPEATED_SPANS}
+    return {"op1_exact_top_k": SQL_TOP_K, "op10_mixing": SQL_POSITIONS, "op9_substring_dedup": SQL_REPEATED_SPANS}
