@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import covertree, kmeanstree, langid, mixing, ngram_join, packing, substring, tokencount
+from corpusmill.llm import covertree, extraction, kmeanstree, langid, mixing, ngram_join, packing, substring, tokencount, warc
+from corpusmill.session import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +36,18 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as three captures in an archive; the index of the deduplicated archive."""
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(warc.captures(table(spark, sf_dir, "pages")), f"{folder}/crawl")
+    return warc.deduplicate(spark, f"{folder}/crawl", f"{folder}/deduplicated").drop("file", "offset", "length")
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extraction.extract(pages, extraction.fit(pages))
+
+
 def op8_approximate_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeanstree.neighbors(table(spark, sf_dir, "embeddings"))
 
@@ -53,6 +67,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op3_ngram_jaccard_join,
         op4_token_counts,
         op5_best_fit_packing,
+        op6_warc_revisits,
+        op7_html_extraction,
         op8_approximate_neighbors,
         op9_substring_dedup,
         op10_mixing,
@@ -95,6 +111,27 @@ WITH v AS (
 SELECT query_id, neighbor_id, rank, round(d, 5) AS distance FROM r WHERE rank <= 10
 """
 
+SQL_REVISITS = """
+WITH p AS (
+  SELECT DISTINCT page_id, url, html, 'sha1:' || sha1(html) AS digest FROM pages WHERE url IS NOT NULL AND html IS NOT NULL
+), v AS (
+  SELECT *, unnest(range(0, 3)) AS visit FROM p
+), m AS (
+  SELECT *, md5(concat_ws('|', coalesce(CAST(page_id AS VARCHAR), ''), url, digest, visit)) AS u FROM v
+), r AS (
+  SELECT url, html, digest, CASE WHEN visit = 1 THEN 'revisit' ELSE 'response' END AS old_type, '2024-01-0' || (visit + 1) || 'T00:00:00Z' AS date,
+    '<urn:uuid:' || concat_ws('-', u[1:8], u[9:12], u[13:16], u[17:20], u[21:32]) || '>' AS record_id FROM m
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY digest ORDER BY date, record_id) = 1 AS original FROM r WHERE old_type = 'response'
+)
+SELECT r.record_id, r.old_type, CASE WHEN r.record_id = o.record_id THEN 'response' ELSE 'revisit' END AS warc_type, r.url AS target_uri, r.date, r.digest,
+  CASE WHEN r.record_id <> o.record_id THEN o.record_id END AS refers_to,
+  CASE WHEN r.record_id <> o.record_id THEN o.url END AS refers_to_uri,
+  CASE WHEN r.record_id <> o.record_id THEN o.date END AS refers_to_date,
+  CASE WHEN r.record_id = o.record_id THEN strlen(r.html) ELSE 0 END AS payload_bytes, true AS resolved
+FROM r JOIN o ON r.digest = o.digest AND o.original
+"""
+
 SQL_POSITIONS = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(text, '[^ \\t\\n\\v\\f\\r]+')) AS n_tokens, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
@@ -116,4 +153,4 @@ FROM e WHERE c0 + epoch * supply < total * (a + b) / 2
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_top_k": SQL_TOP_K, "op10_mixing": SQL_POSITIONS, "op9_substring_dedup": SQL_REPEATED_SPANS}
+    return {"op1_exact_top_k": SQL_TOP_K, "op10_mixing": SQL_POSITIONS, "op6_warc_revisits": SQL_REVISITS, "op9_substring_dedup": SQL_REPEATED_SPANS}
