@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,11 +45,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut: written as a table in the shared folder and read again.
+
+    Unlike a checkpoint it is computed once, is compressed, and has statistics for
+    the planner. A lost executor costs the tasks that read it, not its computation.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    folder = shared_dir(spark)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager)
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Remove the table behind a result of ``cut`` that nothing reads any more."""
+    for name in df.inputFiles()[:1]:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
