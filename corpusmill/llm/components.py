@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.session import cut
+from corpusmill.session import cut, drop_cut
 
 
 def spread_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -14,23 +14,26 @@ def spread_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Nodes that share a hub, directly or over other nodes and hubs, get one label:
     the smallest node among them. Each round takes the minimum over a node's hubs
     of the minimum over the hub's nodes, and then the label of that label, so that
-    the distance covered doubles. Rounds end when no label changes; each is cut by
-    a checkpoint, so a lost executor costs one round at most.
+    the distance covered doubles. Rounds end when no label changes; each is a
+    written table, so a lost executor costs one round at most.
     """
     edges = cut(edges.select("node", "hub").where("node is not null and hub is not null").distinct())
-    labels = edges.groupBy("node").agg(F.min("node").alias("label"))
     low = edges.groupBy("hub").agg(F.min("node").alias("low"))
     labels = cut(edges.join(low, "hub").groupBy("node").agg(F.min("low").alias("label")))
+    before = None
     for _ in range(rounds):
         low = edges.join(labels, "node").groupBy("hub").agg(F.min("label").alias("low"))
-        step = edges.join(low, "hub").groupBy("node").agg(F.min("low").alias("near"))
+        near = edges.join(low, "hub").groupBy("node").agg(F.min("low").alias("near"))
         far = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
-        step = step.join(far, "near").select("node", F.least("near", "far").alias("label"))
-        step = step.join(labels.select("node", F.col("label").alias("was")), "node")
-        step = cut(step)
-        labels = step.select("node", "label")
-        if not step.where("label <> was").limit(1).count():
+        step = cut(near.join(far, "near").select("node", F.least("near", "far").alias("label")))
+        drop_cut(labels)
+        labels = step
+        # labels only ever fall, so an equal sum means that none fell
+        total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        if total == before:
+            drop_cut(edges)
             return labels
+        before = total
     raise RuntimeError(f"labels still changed after {rounds} rounds")
 
 
