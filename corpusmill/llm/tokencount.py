@@ -123,7 +123,7 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, off = nt.flat(batch.column(0))
         names, counts, texts = [], [], []
-        for a, b in nt.slices(off, 16 * nt.SLICE_BYTES):
+        for a, b in nt.slices(off):
             part = buf[off[a] : off[b]]
             h, _, first, stop = hashed(part, off[a : b + 1] - off[a])
             name, one, n = np.unique(h, return_index=True, return_counts=True)
@@ -133,19 +133,32 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.append(pa.Array.from_buffers(pa.binary(), len(name), [None, pa.py_buffer(where.astype(np.int32).tobytes()), pa.py_buffer(part[take].tobytes())]))
             names.append(name)
             counts.append(n)
-        for name, n, text in zip(names, counts, texts):
-            yield pa.RecordBatch.from_arrays([pa.array(nt.as_long(name)), text, pa.array(n)], names=["hash", "token", "n"])
+        if names:
+            name, one, back = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
+            n = np.bincount(back, np.concatenate(counts)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nt.as_long(name)), pa.concat_arrays(texts).take(pa.array(one)), pa.array(n)], names=["hash", "token", "n"])
 
 
 def _pieces(ranks: bytes):
+    """One part of the pre-tokens, by hash: each once, with its pieces and total frequency."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
         own = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=own, special_tokens={}).encode_ordinary
+        names, texts, counts = [], [], []
         for batch in batches:
-            pieces = [len(encode(x.decode("utf-8"))) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces, pa.int64()), batch.column(2)], names=["hash", "pieces", "n"])
+            for x, column in zip((names, texts, counts), batch.columns):
+                x.append(column)
+        if not names:
+            return
+        name, one, back = np.unique(pa.concat_arrays(names).to_numpy(), return_index=True, return_inverse=True)
+        n = np.bincount(back, pa.concat_arrays(counts).to_numpy()).astype(np.int64)
+        text = pa.concat_arrays(texts).take(pa.array(one))
+        for a in range(0, len(name), 65536):
+            pieces = [len(encode(x.decode("utf-8"))) for x in text[a : a + 65536].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(name[a : a + 65536]), pa.array(pieces, pa.int64()), pa.array(n[a : a + 65536])], names=["hash", "pieces", "n"])
 
     return run
 
@@ -155,7 +168,7 @@ def dictionary(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "t
     with open(vocabulary, "rb") as f:
         ranks = f.read()
     texts = docs.select(F.col(text_col).alias("text_")).where("text_ <> ''")
-    found = texts.mapInArrow(_distinct, "hash bigint, token binary, n bigint").groupBy("hash").agg(F.first("token").alias("token"), F.sum("n").alias("n"))
+    found = texts.mapInArrow(_distinct, "hash bigint, token binary, n bigint").repartition("hash")
     return found.mapInArrow(_pieces(ranks), "hash bigint, pieces bigint, n bigint")
 
 
@@ -188,7 +201,7 @@ def token_counts(
             total = np.zeros(batch.num_rows, np.int64)
             rest: list[list[np.ndarray]] = [[], []]
             length = np.zeros(batch.num_rows, np.int64)
-            for a, b in nt.slices(off, 4 * nt.SLICE_BYTES):
+            for a, b in nt.slices(off):
                 h, at, _, _ = hashed(buf[off[a] : off[b]], off[a : b + 1] - off[a])
                 name, back = np.unique(h, return_inverse=True)
                 i = np.searchsorted(names, name)
