@@ -169,7 +169,7 @@ def top_k(rows: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "e
     top = cells.select("cell", "center", "radius", "bound").toArrow().sort_by("cell")
     name = top["cell"].to_numpy()
     groups = max(1, min(len(name), parts))
-    upper = spark.sparkContext.broadcast((name, np.array(top["center"].to_pylist()).reshape(len(name), -1), top["radius"].to_numpy(), top["bound"].to_numpy()))
+    upper = spark.sparkContext.broadcast((name, np.array(top["center"].to_pylist(), np.float64).reshape(len(name), dim), top["radius"].to_numpy(), top["bound"].to_numpy()))
 
     def unpruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

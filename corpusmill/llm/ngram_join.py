@@ -332,4 +332,4 @@ def one_per_group(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_
     """``docs`` without the documents that are similar, directly or over others, to one of a smaller id."""
     groups = groups_of_pairs(similar_pairs(docs, n, threshold, id_col, text_col), "doc_a", "doc_b")
     gone = groups.where("node <> label").select(F.col("node").alias("gone_"))
-    return docs.join(gone, F.col(id_col) == F.col("gone_"), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["gone_"], "left_anti")

@@ -314,9 +314,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             columns = [pa.array(new, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    keyed = docs.withColumn("__key", document_key(id_col, text_col))
-    found = marked(docs, length, id_col, text_col).select(F.col("key").alias("__key"), F.col("blobs").alias("__blobs"))
-    out = keyed.join(found, "__key", "left").select(*(F.col(f"`{c}`") for c in names), "__blobs").mapInArrow(cut_all, docs.schema)
+    # the row travels as one struct, so that no name of its columns can clash
+    keyed = docs.select(document_key(id_col, text_col).alias("key"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
+    found = marked(docs, length, id_col, text_col)
+    out = keyed.join(found, "key", "left").select(*(F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(names)), "blobs").mapInArrow(cut_all, docs.schema)
     if chars_col in names:
         out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
     return out

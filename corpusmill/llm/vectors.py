@@ -21,7 +21,7 @@ def clean(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -
     bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fit = rows.select(F.col(id_col).cast("bigint").alias("id"), vec.alias("vec")).where(F.col("id").isNotNull() & F.col("vec").isNotNull() & ~bad & (F.size("vec") > 0))
     most = fit.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
-    dim = most[0] if most else 0
+    dim = most[0] if most else 1
     return fit.where(F.size("vec") == dim).distinct(), dim
 
 
