@@ -12,8 +12,10 @@ Plan
    ``calibration`` queries (an exact scan of all rows) are looked up in their leaf
    orders, and the visits widen until the recall, less two standard errors, reaches
    ``recall``. If it never does, all leaves are visited, and the search is exact.
-4. Queries go to the leaves they visit, each leaf is one matrix product per block of
-   queries, and the k nearest of a query's leaves are merged.
+4. Queries stay with the others of their part of the tree, as a group; these visit
+   much the same leaves. Each leaf goes once to every group that visits it, and is a
+   matrix product with the group's queries that do. A group holds its k nearest:
+   nothing is merged afterwards, and no query is sent twice.
 
 Defined results
     (query_id, neighbor_id, rank, distance) as in the exact search: ties by id, never
@@ -33,12 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm import numtext as nt
 from corpusmill.llm import vectors as vs
 from corpusmill.session import cut
 
 K, BRANCHING, LEAF_ROWS, MOST_LEAVES, ROUNDS = 10, 16, 256, 16384, 4
-CALIBRATION, RECALL, SAMPLE_ROWS, BLOCK = 256, 0.95, 65536, 4096
+CALIBRATION, RECALL, SAMPLE_ROWS, BLOCK, GROUP_ROWS = 256, 0.95, 65536, 1024, 65536
 
 
 @dataclass
@@ -196,47 +197,80 @@ def neighbors(
     own = cut(own)
     tree = grow(own, dim, branching, leaf_rows, most_leaves, rounds)
     visits = calibrated(own, tree, dim, k, calibration, recall)
-    shared = spark.sparkContext.broadcast(tree)
+    shared = spark.sparkContext.broadcast((tree, _groups(tree, max(1, min(len(tree.leaves), max(parts, own.count() // GROUP_ROWS))))))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of data for their leaf, and blocks of queries for the leaves they visit."""
-        t = shared.value
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, _ = shared.value
+        for batch in batches:
+            leaf = t.descend(vs.matrix(batch.column(1), dim).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), *batch.columns], names=["leaf", "id", "vec"])
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A leaf's rows in blocks, each with the leaves that its rows visit as queries."""
+        t, group = shared.value
+        for batch in batches:
+            of, ids, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), vs.matrix(batch.column(2), dim)
+            edge = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else []
+            for a, end in zip(edge, [*edge[1:], len(of)]):
+                for b in range(a, end, BLOCK):
+                    c = min(b + BLOCK, end)
+                    seen = np.array(list(t.visits(x[b:c].astype(np.float64), visits)), "<i4")
+                    values = (int(of[b]), int(group[of[b]]), ids[b:c].astype("<i8").tobytes(), x[b:c].astype("<f4").tobytes(), seen.tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["leaf", "grp", "ids", "vecs", "seen"])
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, x = batch.column(0).to_numpy(), vs.matrix(batch.column(1), dim)
-            if not len(ids):
-                continue
-            wide = x.astype(np.float64)
-            plan = list(t.visits(wide, visits))
-            row = np.repeat(np.arange(len(ids)), [len(p) for p in plan])
-            sent = [(0, np.arange(len(ids)), t.descend(wide)), (1, row, np.array([n for p in plan for n in p], np.int64))]
-            out: list[list] = [[], [], [], []]
-            for kind, who, leaf in sent:
-                order = np.argsort(leaf, kind="stable")
-                who, leaf = who[order], leaf[order]
-                name, start = np.unique(leaf, return_index=True)
-                for node, a, b in zip(name.tolist(), start.tolist(), [*start[1:].tolist(), len(leaf)]):
-                    for c in range(a, b, BLOCK):
-                        take = who[c : min(c + BLOCK, b)]
-                        for column, value in zip(out, (node, kind, ids[take].astype("<i8").tobytes(), x[take].astype("<f4").tobytes())):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), nt.binaries(out[2]), nt.binaries(out[3])], names=["leaf", "kind", "ids", "vecs"])
+            for grp, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                leaf = np.unique(np.frombuffer(raw, "<i4")).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(np.full(len(leaf), grp, np.int32))], names=["leaf", "to"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, data = None, []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        best, starts, rows = None, None, None
         for batch in batches:
-            for node, kind, i, v in zip(*(batch.column(j).to_pylist() for j in range(4))):
-                if node != leaf:
-                    leaf, data = node, []
+            for leaf, i, v, raw in zip(*(batch.column(j).to_pylist() for j in range(4))):
                 ids, x = np.frombuffer(i, "<i8").astype(np.int64), np.frombuffer(v, "<f4").reshape(-1, dim)
-                if kind == 0:
-                    data.append((ids, x))
+                if raw is not None:  # the group's own queries come first
+                    held.append((ids, x, np.frombuffer(raw, "<i4").reshape(len(ids), -1)))
                     continue
-                best = vs.Best(ids, x, k)
-                for own_ids, y in data:
-                    best.offer(np.arange(len(ids)), own_ids, y)
-                yield best.batch()
+                if best is None:
+                    best, starts, rows = _asked(held, k)
+                if leaf in starts:
+                    a, b = starts[leaf]
+                    best.offer(rows[a:b], ids, x)
+        if best is not None:
+            yield best.batch()
+
+    blocks = own.mapInArrow(place, "leaf bigint, id bigint, vec array<float>").repartition(parts, "leaf").sortWithinPartitions("leaf", "id")
+    blocks = cut(blocks.mapInArrow(block, "leaf bigint, grp int, ids binary, vecs binary, seen binary"))
+    to = blocks.select("grp", "seen").mapInArrow(wanted, "leaf bigint, to int").distinct()
+    data = blocks.join(to, "leaf").select(F.col("to").alias("grp"), F.lit(1).alias("kind"), "leaf", "ids", "vecs", F.lit(None).cast("binary").alias("seen"))
+    asked = blocks.select("grp", F.lit(0).alias("kind"), "leaf", "ids", "vecs", "seen")
+    groups = int(shared.value[1].max(initial=0)) + 1
+    sent = asked.union(data).repartitionById(groups, F.col("grp")).sortWithinPartitions("grp", "kind", "leaf").select("leaf", "ids", "vecs", "seen")
+    return vs.ranked(sent.mapInArrow(visit, vs.PAIRS), k)
+
+
+def _groups(tree: Tree, groups: int) -> np.ndarray:
+    """The group of each leaf: leaves that are near in the tree go together."""
+    order, stack = [], [0]
+    while stack:
+        node = stack.pop()
+        stack += reversed(tree.children[node])
+        if not tree.children[node]:
+            order.append(node)
+    out = np.zeros(len(tree.centroids), np.int32)
+    out[order] = np.arange(len(order)) * groups // max(len(order), 1)
+    return out
 
-    blocks = own.mapInArrow(send, "leaf bigint, kind int, ids binary, vecs binary")
-    blocks = blocks.repartition(parts, "leaf").sortWithinPartitions("leaf", "kind")
-    return vs.ranked(blocks.mapInArrow(visit, vs.PAIRS), k)
 
+def _asked(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[vs.Best, dict[int, tuple[int, int]], np.ndarray]:
+    """A group's queries, and for each leaf the range of the returned rows that visit it."""
+    best = vs.Best(np.concatenate([i for i, _, _ in held]), np.concatenate([x for _, x, _ in held]), k)
+    leaf = np.concatenate([s.ravel() for _, _, s in held])
+    at = np.cumsum([0, *(len(i) for i, _, _ in held)])
+    row = np.concatenate([np.repeat(np.arange(len(i)) + a, s.shape[1]) for (i, _, s), a in zip(held, at)])
+    order = np.argsort(leaf, kind="stable")
+    name, start = np.unique(leaf[order], return_index=True)
+    ends = np.append(start[1:], len(leaf))
+    return best, {int(n): (int(a), int(b)) for n, a, b in zip(name, start, ends)}, row[order]
