@@ -12,14 +12,17 @@ def spread_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``edges(node, hub)``, both bigint -> ``(node, label)``.
 
     Nodes that share a hub, directly or over other nodes and hubs, get one label:
-    the smallest node among them. Each round takes the minimum over a node's hubs
+    the smallest node among them. First every hub gives way to its smallest node. Each round takes the minimum over a node's hubs
     of the minimum over the hub's nodes, and then the label of that label, so that
     the distance covered doubles. Rounds end when no label changes; each is a
     written table, so a lost executor costs one round at most.
     """
-    edges = cut(edges.select("node", "hub").where("node is not null and hub is not null").distinct())
+    edges = edges.select("node", "hub").where("node is not null and hub is not null")
+    # a hub's nodes all hang on its smallest; nodes that share many hubs mostly share that one edge
     low = edges.groupBy("hub").agg(F.min("node").alias("low"))
-    labels = cut(edges.join(low, "hub").groupBy("node").agg(F.min("low").alias("label")))
+    star = edges.join(low, "hub").select("node", F.col("low").alias("hub")).distinct()
+    edges = cut(star.union(star.select(F.col("hub").alias("node"), "hub").distinct()).distinct())
+    labels = cut(edges.groupBy("node").agg(F.min("hub").alias("label")))
     before = None
     for _ in range(rounds):
         low = edges.join(labels, "node").groupBy("hub").agg(F.min("label").alias("low"))

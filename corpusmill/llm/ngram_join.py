@@ -202,8 +202,11 @@ def _vectors(threshold: float):
     return run
 
 
-def _overlaps(threshold: float):
-    """Blocks' fragments: partial overlap of each pair of sets whose sizes allow t."""
+def _overlaps(threshold: float, labels: bool = False):
+    """Blocks' fragments: partial overlap of each pair of sets whose sizes allow t.
+
+    ``labels``: for whole blocks the group of each set instead, (node, label).
+    """
 
     def count(block: int, whole: bool, node: np.ndarray, size: np.ndarray, lists: list, weights: list):
         order = np.lexsort((node, size))
@@ -230,8 +233,7 @@ def _overlaps(threshold: float):
                 if whole:
                     fit &= both / (size[x] + size[y] - both) >= threshold
                 x, y, both = x[fit], y[fit], both[fit]
-                swap = node[x] > node[y]
-                yield np.where(swap, node[y], node[x]), np.where(swap, node[x], node[y]), both, size[x] + size[y]
+                yield order[x], order[y], both, size[x] + size[y]
 
     def dense(row, back, off, i, c, width, m) -> np.ndarray:
         end = min(i + BLOCK, m)
@@ -242,15 +244,25 @@ def _overlaps(threshold: float):
         out[row[a:b][here] - i, col[here] - c] = 1
         return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rest(have):
-            block, frag, of = have[0]
-            node, size = np.array([r[0] for r in have[1]]), np.array([r[1] for r in have[1]])
-            if len(node) > 1:
-                for a, b, both, sizes in count(block, of == 1, node, size, [r[2] for r in have[1]], [r[3] for r in have[1]]):
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(both), pa.array(sizes)], names=["a", "b", "both", "sizes"])
+    def rest(block: tuple, rows: list) -> Iterator[pa.RecordBatch]:
+        node, size = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        if len(node) < 2:
+            return
+        found = count(block[0], block[2] == 1, node, size, [r[2] for r in rows], [r[3] for r in rows])
+        if labels:  # a whole block holds whole groups
+            group = np.arange(len(node))
+            for x, y, _, _ in found:
+                unite(group, x, y)
+            group = roots(group)
+            least = np.full(len(node), np.iinfo(np.int64).max)
+            np.minimum.at(least, group, node)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(least[group])], names=["node", "label"])
+            return
+        for x, y, both, sizes in found:
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y])), pa.array(both), pa.array(sizes)], names=["a", "b", "both", "sizes"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: tuple = ((), [])
         for batch in batches:
             keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
@@ -262,15 +274,34 @@ def _overlaps(threshold: float):
             for key, n, s, l, w in zip(keys, node, size, *flat):
                 if key != have[0]:
                     if have[1]:
-                        yield from rest(have)
+                        yield from rest(*have)
                     have = (key, [])
                 have[1].append((n, s, l, w))
         if have[1]:
-            yield from rest(have)
+            yield from rest(*have)
 
     return run
 
 
+def roots(parent: np.ndarray) -> np.ndarray:
+    while True:
+        up = parent[parent]
+        if (up == parent).all():
+            return up
+        parent = up
+
+
+def unite(parent: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Join the trees of each x and y; the smaller root stays."""
+    while True:
+        parent[:] = roots(parent)
+        a, b = parent[x], parent[y]
+        apart = a != b
+        if not apart.any():
+            return
+        np.minimum.at(parent, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+
+
 def document_sets(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, node): the set's hash of each document that has a word."""
 
@@ -284,8 +315,8 @@ def document_sets(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, "doc bigint, node bigint")
 
 
-def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """(a, b, jaccard): pairs of different sets, by their hashes."""
+def _placed(docs: DataFrame, n: int, threshold: float, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Sets in blocks (label, frag, of, node, size, lists, weights): whole blocks, and those cut into fragments."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be over 0 and at most 1")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -311,12 +342,37 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, text
     cuts = placed.where("of > 1").withColumn("at", at).withColumn("frag", F.explode(F.array_distinct("at")))
     pick = lambda c: F.transform(F.filter(F.arrays_zip(F.col(c).alias("v"), F.col("at").alias("f")), lambda z: z["f"] == F.col("frag")), lambda z: z["v"])
     cuts = cuts.select("label", "frag", "of", "node", "size", pick("lists").alias("lists"), pick("weights").alias("weights"))
-    parted = whole.union(cuts).repartition(parts, "label", "frag").sortWithinPartitions("label", "frag")
-    partial = parted.mapInArrow(_overlaps(threshold), "a bigint, b bigint, both bigint, sizes bigint")
+    return whole, cuts
+
+
+def _parted(blocks: DataFrame) -> DataFrame:
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartition(parts, "label", "frag").sortWithinPartitions("label", "frag")
+
+
+def _summed(blocks: DataFrame, threshold: float) -> DataFrame:
+    partial = _parted(blocks).mapInArrow(_overlaps(threshold), "a bigint, b bigint, both bigint, sizes bigint")
     total = partial.groupBy("a", "b").agg(F.sum("both").alias("both"), F.max("sizes").alias("sizes"))
     return total.withColumn("jaccard", F.col("both") / (F.col("sizes") - F.col("both"))).where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
 
 
+def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """(a, b, jaccard): pairs of different sets, by their hashes."""
+    whole, cuts = _placed(docs, n, threshold, text_col)
+    return _summed(whole.union(cuts), threshold)
+
+
+def set_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """(node, label): sets that are similar, directly or over others, have one label.
+
+    A whole block is grouped where its overlaps are counted and its pairs never leave
+    the task; only pairs of fragmented blocks become rows. Sets in no block are left out.
+    """
+    whole, cuts = _placed(docs, n, threshold, text_col)
+    own = _parted(whole).mapInArrow(_overlaps(threshold, labels=True), "node bigint, label bigint")
+    return own.union(groups_of_pairs(_summed(cuts, threshold), "a", "b"))
+
+
 def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_a, doc_b, jaccard): see the module's text."""
     of = cut(document_sets(docs, n, id_col, text_col).distinct())
@@ -329,7 +385,13 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_
 
 
 def one_per_group(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that are similar, directly or over others, to one of a smaller id."""
-    groups = groups_of_pairs(similar_pairs(docs, n, threshold, id_col, text_col), "doc_a", "doc_b")
-    gone = groups.where("node <> label").select(F.col("node").alias("gone_"))
+    """``docs`` without the documents that are similar, directly or over others, to one of a smaller id.
+
+    An id goes if any of its texts is in a group with a smaller id.
+    """
+    of = document_sets(docs, n, id_col, text_col).distinct()
+    groups = set_groups(docs, n, threshold, text_col)
+    placed = of.join(groups, "node", "left").select("doc", F.coalesce("label", "node").alias("group"))
+    first = placed.groupBy("group").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = cut(placed.join(first, "group").where("doc > first").select(F.col("doc").alias("gone_")).distinct())
     return docs.join(gone, docs[id_col] == gone["gone_"], "left_anti")
