@@ -7,6 +7,7 @@ or description that is missing stays null, so that later fallbacks apply.
 from __future__ import annotations
 
 import html
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -142,8 +143,9 @@ class _Markdown(HTMLParser):
         if self.skip:
             return
         if not self.pre:
-            data = " ".join(data.split()) if data.strip() else " "
-            data = data if not self.out or not self.out[-1].endswith(("\n", " ")) else data.lstrip()
+            data = re.sub(r"\s+", " ", data)
+            if not self.out or self.out[-1].endswith(("\n", " ")):
+                data = data.lstrip()
         self.out.append(data)
 
 

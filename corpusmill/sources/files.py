@@ -40,7 +40,7 @@ def is_document(path: Column, extensions: Iterable[str] = EXTENSIONS) -> Column:
 def excluded(path: Column, tokens: Iterable[str] = EXCLUDED, whole_segments: bool = False) -> Column:
     """a token anywhere in the path (so that ``out`` hits ``about``), or as a whole segment."""
     low = F.lower(path)
-    hits = [F.exists(F.split(low, "/"), lambda s, t=t: s == t) if whole_segments else low.contains(t.lower()) for t in tokens]
+    hits = [F.array_contains(F.split(low, "/"), t.lower()) if whole_segments else low.contains(t.lower()) for t in tokens]
     out = F.lit(False)
     for h in hits:
         out = out | h
