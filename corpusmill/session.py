@@ -4,9 +4,11 @@ the shared folder in which lineage is cut."""
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -45,6 +47,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+class Shared:
+    """A broadcast of an object of any class; workers need no copy of its package."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        self._packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        held = getattr(self._packed, "_loaded", None)
+        if held is None:
+            held = self._packed._loaded = pickle.loads(self._packed.value)
+        return held
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut: written as a table in the shared folder and read again.
 
@@ -53,7 +69,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
