@@ -1,18 +1,20 @@
 """WARC archives: reading, writing, and resolving revisits.
 
-Archives are gzip files with one member per record, so that a record can be read by
-its file and offset. Files are reached by ``pyarrow.fs``, which takes local paths and
+Archives have one gzip member or Zstandard frame per record, so that a record can be
+read by its file and offset. Zstandard archives begin with a dictionary in a skippable
+frame, trained on a bounded sample of records, which spares the text that all headers
+and pages share. Files are reached by ``pyarrow.fs``, which takes local paths and
 the URIs of shared file systems. A task writes under a name of its own and renames,
 so a task that is run again leaves one whole file.
 
 Plan of ``deduplicate``
-1. One task per file parses headers; payload digests that are missing are computed.
-   Only headers, with file and offset, leave the task.
+1. One task per file parses headers, once; payload digests that are missing are
+   computed. Only headers, with file and offset, leave the task.
 2. Headers are grouped by payload digest (partial minimum, so that a hot digest is
    one row per task): the original is the first response by (date, record id).
    Revisits and repeated responses join their original.
-3. Decisions go back to their file, where one task reads the records it keeps by
-   offset and writes a new archive with fresh headers. No payload is ever shuffled.
+3. Decisions (what changes, by offset) go back to their file, where one task reads it
+   again and writes a new archive with fresh headers. No payload is ever shuffled.
 
 Defined results
     Response that is the first of its digest: kept with its payload. Other responses
@@ -27,7 +29,6 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-import io
 import posixpath
 import zlib
 from collections.abc import Iterator
@@ -37,10 +38,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.session import cut
+from corpusmill.session import cut, drop_cut
 
 RECORD = "record_id string, warc_type string, target_uri string, date string, digest string, refers_to string, refers_to_uri string, refers_to_date string, payload binary"
 HEADER = "file string, offset bigint, length bigint, record_id string, warc_type string, target_uri string, date string, digest string, refers_to string, refers_to_uri string, refers_to_date string, payload_bytes bigint"
+DICTIONARY_BYTES, SAMPLE_RECORDS, LEVEL = 64 << 10, 400, 3
+SKIPPABLE = b"\x5d\x2a\x4d\x18"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FIELDS = (
     ("WARC-Record-ID", "record_id"), ("WARC-Type", "warc_type"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"), ("WARC-Payload-Digest", "digest"),
@@ -95,29 +98,96 @@ def payload_of(headers: dict, block: bytes) -> bytes:
     return block if headers.get("warc-type") != "revisit" else b""
 
 
-def members(file, size: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, content) of every gzip member of a file, reading in steps."""
-    at, data = 0, b""
+def train(records: DataFrame, sample: int = SAMPLE_RECORDS) -> bytes | None:
+    """A dictionary of at most ``sample`` records; None if they are too few for one."""
+    import zstandard
+
+    rows = [r.asDict() for r in records.limit(sample).collect()]
+    texts = [encode(r, bytes(r.pop("payload") or b"")) for r in rows]
+    if len(texts) < 8:
+        return None
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
+    except zstandard.ZstdError:  # texts that share nothing
+        return None
+
+
+class Codec:
+    """How the records of one archive are packed: gzip, or Zstandard with a dictionary or none."""
+
+    def __init__(self, kind: str = "zstd", dictionary: bytes | None = None):
+        self.kind, self.dictionary = kind, dictionary
+        if kind == "zstd":
+            import zstandard
+
+            shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+            self.packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_checksum=True)
+            self.unpacker = zstandard.ZstdDecompressor(dict_data=shared)
+
+    @classmethod
+    def of(cls, file) -> tuple[Codec, int]:
+        """The codec of an open archive, and where its records begin."""
+        head = file.read(8)
+        if head[:2] == b"\x1f\x8b":
+            return cls("gzip"), 0
+        if head[:4] == SKIPPABLE:
+            n = int.from_bytes(head[4:8], "little")
+            return cls("zstd", file.read(n)), 8 + n
+        return cls("zstd"), 0
+
+    @property
+    def head(self) -> bytes:
+        return SKIPPABLE + len(self.dictionary).to_bytes(4, "little") + self.dictionary if self.dictionary else b""
+
+    @property
+    def suffix(self) -> str:
+        return ".warc.gz" if self.kind == "gzip" else ".warc.zst"
+
+    def pack(self, raw: bytes) -> bytes:
+        return gzip.compress(raw, 1, mtime=0) if self.kind == "gzip" else self.packer.compress(raw)
+
+    def reader(self):
+        return zlib.decompressobj(31) if self.kind == "gzip" else self.unpacker.decompressobj()
+
+    def unpack(self, packed: bytes) -> bytes:
+        return self.reader().decompress(packed)
+
+
+def members(file, codec: Codec, at: int, size: int = 1 << 20, step: int = 1 << 13) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of every record from offset ``at`` of a file, reading in steps."""
+    data, pos = b"", 0
     while True:
-        unzip, out, used = zlib.decompressobj(31), [], 0
+        unzip, out, used = codec.reader(), [], 0
         while not unzip.eof:
-            if not data:
-                data = file.read(size)
+            if pos == len(data):
+                data, pos = file.read(size), 0
                 if not data:
                     if used:
                         raise EOFError("a record is cut off")
                     return
-            out.append(unzip.decompress(data))
-            used += len(data) - len(unzip.unused_data)
-            data = unzip.unused_data
+            part = data[pos : pos + step]
+            out.append(unzip.decompress(part))
+            n = len(part) - len(unzip.unused_data)
+            used, pos = used + n, pos + n
         yield at, used, b"".join(out)
         at += used
 
 
+def opened(system, path: str):
+    """An archive's records as ``members`` gives them."""
+    with system.open_input_stream(path, compression=None) as file:
+        codec, at = Codec.of(file)
+    with system.open_input_stream(path, compression=None) as file:
+        file.read(at)
+        yield codec
+        yield from members(file, codec, at)
+
+
 class Writer:
     """One archive of one task: written under a name of its own, renamed when whole."""
 
-    def __init__(self, folder: str, name: str):
+    def __init__(self, folder: str, name: str, codec: Codec):
+        self.codec, name = codec, name + codec.suffix
         self.fs, root = file_system(folder)
         context = TaskContext.get()
         attempt = context.taskAttemptId() if context else 0
@@ -127,7 +197,9 @@ class Writer:
     def add(self, record: dict, payload: bytes) -> tuple[int, int]:
         if self.out is None:
             self.out = self.fs.open_output_stream(self.partial, compression=None)
-        raw = gzip.compress(encode(record, payload), 1, mtime=0)
+            self.out.write(self.codec.head)
+            self.at = len(self.codec.head)
+        raw = self.codec.pack(encode(record, payload))
         self.out.write(raw)
         self.at += len(raw)
         return self.at - len(raw), len(raw)
@@ -138,14 +210,14 @@ class Writer:
             self.fs.move(self.partial, self.path)
 
 
-def write(records: DataFrame, folder: str) -> DataFrame:
+def write(records: DataFrame, folder: str, kind: str = "zstd", dictionary: bytes | None = None) -> DataFrame:
     """Write ``records`` (schema RECORD) as one archive per partition; returns (file, offset, length, record_id)."""
     fs, root = file_system(folder)
     fs.create_dir(root, recursive=True)
     names = [x.split(" ")[0] for x in RECORD.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = Writer(folder, f"part-{TaskContext.get().partitionId():06d}.warc.gz")
+        writer = Writer(folder, f"part-{TaskContext.get().partitionId():06d}", Codec(kind, dictionary))
         for batch in batches:
             places, ids = [], []
             for row in batch.to_pylist():
@@ -166,7 +238,15 @@ def files_of(folder: str) -> list[str]:
 
     system, root = file_system(folder)
     found = system.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True))
-    return sorted(f.path for f in found if f.is_file and not f.base_name.startswith("_") and f.base_name.endswith((".warc.gz", ".warc")))
+    return sorted(f.path for f in found if f.is_file and not f.base_name.startswith("_") and f.base_name.endswith((".warc.gz", ".warc.zst")))
+
+
+def parsed(raw: bytes) -> tuple[dict, bytes]:
+    """The fields and the payload of a record; a response without a digest gets one."""
+    h, block = decode(raw)
+    payload = payload_of(h, block)
+    digest = h.get("warc-payload-digest") or (digest_of(payload) if h.get("warc-type") == "response" else None)
+    return {key: h.get(name.lower()) for name, key in FIELDS} | {"digest": digest}, payload
 
 
 def headers(spark: SparkSession, folder: str) -> DataFrame:
@@ -182,45 +262,41 @@ def headers(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for path in batch.column(1).to_pylist():
                 rows: list[dict] = []
-                with system.open_input_stream(path, compression=None) as file:
-                    for offset, length, raw in members(file):
-                        h, block = decode(raw)
-                        payload = payload_of(h, block)
-                        digest = h.get("warc-payload-digest") or (digest_of(payload) if h.get("warc-type") == "response" else None)
-                        row = {key: h.get(name.lower()) for name, key in FIELDS} | {"digest": digest}
-                        rows.append(row | {"file": path, "offset": offset, "length": length, "payload_bytes": len(payload)})
-                        if len(rows) == 10000:
-                            yield _table(rows, names)
-                            rows = []
+                found = opened(system, path)
+                next(found)
+                for offset, length, raw in found:
+                    row, payload = parsed(raw)
+                    rows.append(row | {"file": path, "offset": offset, "length": length, "payload_bytes": len(payload)})
+                    if len(rows) == 10000:
+                        yield _table(rows, names)
+                        rows = []
                 yield _table(rows, names)
 
     return table.repartitionById(len(paths), F.col("i")).mapInArrow(run, HEADER)
 
 
 def _table(rows: list[dict], names: list[str]) -> pa.RecordBatch:
-    kinds = {"offset": pa.int64(), "length": pa.int64(), "payload_bytes": pa.int64()}
+    kinds = {"offset": pa.int64(), "length": pa.int64(), "payload_bytes": pa.int64(), "resolved": pa.bool_()}
     return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds.get(n, pa.string())) for n in names], names=names)
 
 
 def resolve(found: DataFrame) -> DataFrame:
-    """Headers -> headers with ``new_type``, the reference to the original, and ``resolved``."""
-    once = found.groupBy("record_id").agg(F.min_by(F.struct(*found.columns), F.struct("file", "offset")).alias("x")).select("x.*")
-    first = (
-        once.where("warc_type = 'response' and digest is not null")
-        .groupBy("digest")
-        .agg(F.min(F.struct("date", "record_id", "target_uri")).alias("o"))
-        .select(F.col("digest").alias("od"), "o")
+    """Headers -> decisions (file, offset, action, refers_to, refers_to_uri, refers_to_date) of the records that change.
+
+    ``revisit``: it refers to an original. ``drop``: its id came before. Records without
+    a row stay as they are.
+    """
+    # written, so that the planner sees its size: as a rule nothing repeats, and the join is a map
+    repeats = cut(found.groupBy(F.xxhash64("record_id").alias("rid")).agg(F.min(F.struct("file", "offset")).alias("m"), F.count("*").alias("times")).where("times > 1").drop("times"))
+    place = F.struct("file", "offset")
+    marked = found.select("file", "offset", "record_id", "warc_type", "target_uri", "date", "digest").join(repeats, F.xxhash64("record_id") == F.col("rid"), "left")
+    marked = marked.withColumn("again", F.coalesce(place != F.col("m"), F.lit(False))).drop("rid", "m")
+    captured = marked.where("not again and digest is not null and warc_type in ('response', 'revisit')")
+    first = captured.where("warc_type = 'response'").groupBy("digest").agg(F.min(F.struct("date", "record_id", "target_uri", "file", "offset")).alias("o"))
+    refers = captured.select("digest", "file", "offset").join(first, "digest").where(place != F.struct("o.file", "o.offset"))
+    return refers.select("file", "offset", F.lit("revisit").alias("action"), F.col("o.record_id").alias("refers_to"), F.col("o.target_uri").alias("refers_to_uri"), F.col("o.date").alias("refers_to_date")).union(
+        marked.where("again").select("file", "offset", F.lit("drop"), *(F.lit(None).cast("string") for _ in range(3)))
     )
-    joined = once.join(first, F.when(F.col("warc_type").isin("response", "revisit"), F.col("digest")) == F.col("od"), "left")
-    is_original = F.coalesce(F.col("o.record_id") == F.col("record_id"), F.lit(False))
-    refers = F.col("o").isNotNull() & ~is_original
-    pick = lambda new, old: F.when(refers, F.col(f"o.{new}")).otherwise(F.col(old)).alias(old)
-    keep = ["file", "offset", "length", "record_id", "warc_type", "target_uri", "date", "digest", "payload_bytes"]
-    return joined.select(
-        *keep, F.when(refers, F.lit("revisit")).otherwise(F.col("warc_type")).alias("new_type"),
-        pick("record_id", "refers_to"), pick("target_uri", "refers_to_uri"), pick("date", "refers_to_date"),
-        ((F.col("warc_type") != "revisit") | refers).alias("resolved"),
-    )
 
 
 def deduplicate(spark: SparkSession, folder: str, out: str) -> DataFrame:
@@ -232,42 +308,56 @@ def deduplicate(spark: SparkSession, folder: str, out: str) -> DataFrame:
     """
     fs, root = file_system(out)
     fs.create_dir(root, recursive=True)
-    decided = resolve(headers(spark, folder))
+    found = cut(headers(spark, folder))
+    decided = resolve(found)
     schema = (
         "file string, offset bigint, length bigint, record_id string, old_type string, warc_type string, target_uri string, date string, digest string, "
         "refers_to string, refers_to_uri string, refers_to_date string, payload_bytes bigint, resolved boolean"
     )
     names = [x.split(" ")[0] for x in schema.split(", ")]
-    kinds = {"offset": pa.int64(), "length": pa.int64(), "payload_bytes": pa.int64(), "resolved": pa.bool_()}
+    # every file has a row, so that one without decisions is written too
+    every = spark.createDataFrame([(p,) for p in files_of(folder)], "file string").select("file", F.lit(-1).cast("bigint").alias("offset"), *(F.lit(None).cast("string") for _ in range(4)))
 
-    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rewritten(path: str, decisions: dict[int, list]) -> Iterator[pa.RecordBatch]:
         system, _ = file_system(folder)
-        path, source, writer = None, None, None
-        for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                if row["file"] != path:
-                    if writer:
-                        source.close()
-                        writer.close()
-                    path = row["file"]
-                    source = system.open_input_file(path)
-                    writer = Writer(out, "dedup-" + hashlib.sha1(path.encode()).hexdigest()[:8] + "-" + posixpath.basename(path))
+        source = opened(system, path)
+        stem = posixpath.basename(path).rsplit(".warc", 1)[0]
+        writer = Writer(out, f"dedup-{hashlib.sha1(path.encode()).hexdigest()[:8]}-{stem}", next(source))
+        rows: list[dict] = []
+        for at, _, raw in source:
+            action, *refers = decisions.get(at, ("keep",))
+            if action == "drop":
+                continue
+            row, payload = parsed(raw)
+            old = row["warc_type"]
+            if action == "revisit":
+                row |= {"warc_type": "revisit"} | dict(zip(("refers_to", "refers_to_uri", "refers_to_date"), refers))
                 payload = b""
-                if row["new_type"] != "revisit":
-                    source.seek(row["offset"])
-                    payload = payload_of(*decode(gzip.decompress(source.read(row["length"]))))
-                row |= {"old_type": row["warc_type"], "warc_type": row["new_type"], "payload_bytes": len(payload)}
-                offset, length = writer.add(row, payload)
-                rows.append(row | {"file": writer.path, "offset": offset, "length": length})
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds.get(n, pa.string())) for n in names], names=names)
-        if writer:
-            source.close()
-            writer.close()
+            offset, length = writer.add(row, payload)
+            rows.append(row | {"old_type": old, "file": writer.path, "offset": offset, "length": length, "payload_bytes": len(payload), "resolved": old != "revisit" or action == "revisit"})
+            if len(rows) == 10000:
+                yield _table(rows, names)
+                rows = []
+        writer.close()
+        yield _table(rows, names)
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, decisions = None, {}
+        for batch in batches:
+            for file, offset, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                if file != path and path is not None:
+                    yield from rewritten(path, decisions)
+                    decisions = {}
+                path = file
+                decisions[offset] = rest
+        if path is not None:
+            yield from rewritten(path, decisions)
 
     parts = max(1, min(len(files_of(folder)), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     # names depend on the file only, so a task that is run again writes the same archives
-    return cut(decided.repartition(parts, "file").sortWithinPartitions("file", "offset").mapInArrow(rewrite, schema))
+    result = cut(decided.union(every).repartition(parts, "file").sortWithinPartitions("file", "offset").mapInArrow(rewrite, schema))
+    drop_cut(found)
+    return result
 
 
 def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
