@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import boosting, htmltree
+from corpusmill.session import Shared
 
 SAMPLE_PAGES = 400
 HIDDEN = frozenset("article main nav aside header footer".split())
@@ -173,7 +174,7 @@ def extract_pages(sources: list[str | None], forest: boosting.Forest) -> Iterato
 
 
 def extract(pages: DataFrame, forest: boosting.Forest, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    shared = pages.sparkSession.sparkContext.broadcast(forest)
+    shared = Shared(pages.sparkSession, forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import vectors as vs
-from corpusmill.session import cut
+from corpusmill.session import Shared, cut
 
 K, BRANCHING, LEAF_ROWS, MOST_LEAVES, ROUNDS = 10, 16, 256, 16384, 4
 CALIBRATION, RECALL, SAMPLE_ROWS, BLOCK, GROUP_ROWS = 256, 0.95, 65536, 1024, 65536
@@ -94,7 +94,7 @@ def _spread(x: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 def _sums(own: DataFrame, tree: Tree, dim: int) -> dict[int, tuple[int, np.ndarray]]:
     """Count and sum of the rows of every leaf, over the whole table."""
-    shared = own.sparkSession.sparkContext.broadcast(tree)
+    shared = Shared(own.sparkSession, tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
@@ -159,7 +159,7 @@ def calibrated(own: DataFrame, tree: Tree, dim: int, k: int, calibration: int, r
     if not len(asked) or leaves == 1:
         return leaves
     ids, x = asked["id"].to_numpy(), vs.matrix(asked["vec"].combine_chunks(), dim).astype(np.float64)
-    shared = spark.sparkContext.broadcast((ids, x, tree))
+    shared = Shared(spark, (ids, x, tree))
 
     def truth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, v, t = shared.value
@@ -197,7 +197,7 @@ def neighbors(
     own = cut(own)
     tree = grow(own, dim, branching, leaf_rows, most_leaves, rounds)
     visits = calibrated(own, tree, dim, k, calibration, recall)
-    shared = spark.sparkContext.broadcast((tree, _groups(tree, max(1, min(len(tree.leaves), max(parts, own.count() // GROUP_ROWS))))))
+    shared = Shared(spark, (tree, _groups(tree, max(1, min(len(tree.leaves), max(parts, own.count() // GROUP_ROWS))))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, _ = shared.value

@@ -5,11 +5,16 @@ hash bucket, fitted on a bounded sample of labelled rows and broadcast. A batch
 of texts is scored in numpy: the bucket of every n-gram is gathered from the
 matrix and summed per text. Scoring is a map over the table; nothing shuffles.
 
+Only letters tell a language: the text is lower-cased and every run of other ASCII
+characters counts as one blank, so that numbers, addresses and keys in a short text do
+not hide its language.
+
 Beside the labels there is a class ``und`` that gives every bucket the same
 probability. A text that ``und`` explains best looks like none of the languages.
 
 Defined results
-    null or empty text, or text of one character: predicted null, not accepted.
+    null or empty text, or text without two letters in a row (a blank after a word
+    counts as one): predicted null, not accepted.
     Ties between labels: the alphabetically first. Repeated rows: each is scored.
     Null labels: not used for fitting. No labelled row at all: every text is
     predicted ``und`` and accepted by none. Other columns are never read.
@@ -27,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm import numtext as nt
+from corpusmill.session import Shared
 
 UND = "und"
 MOST_LABELS = 256
@@ -53,6 +59,25 @@ def char_codes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return code, np.searchsorted(at, off)
 
 
+def letters(code: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of characters that are no letters as one blank, none at the start of a text."""
+    blank = (code < 128) & ~((code >= 97) & (code <= 122))
+    after = np.zeros(len(code) + 1, bool)
+    after[1:] = blank
+    after[off] = True
+    keep = ~(blank & after[:-1])
+    at = np.concatenate([[0], np.cumsum(keep)])
+    return np.where(blank, np.uint32(32), code)[keep], at[off]
+
+
+def grams_of(texts: pa.Array, orders: tuple[int, ...], buckets: int) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Row range, and per order the buckets and offsets of its texts' n-grams."""
+    buf, off = nt.flat(pc.utf8_lower(pc.fill_null(texts, "")))
+    for a, b in nt.slices(off):
+        code, at = letters(*char_codes(buf[off[a] : off[b]], off[a : b + 1] - off[a]))
+        yield a, b, [buckets_of(code, at, o, buckets) for o in orders]
+
+
 def buckets_of(code: np.ndarray, off: np.ndarray, order: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of each text's n-grams of one order, and their offsets."""
     total = max(0, len(code) - order + 1)
@@ -71,19 +96,12 @@ def buckets_of(code: np.ndarray, off: np.ndarray, order: int, buckets: int) -> t
     return h % np.uint32(buckets), np.concatenate([[0], np.cumsum(count)])
 
 
-def _lowered(texts: pa.Array) -> pa.Array:
-    return pc.utf8_lower(pc.fill_null(texts, ""))
-
-
 def score_texts(texts: pa.Array, model: LangModel) -> tuple[np.ndarray, np.ndarray]:
     """Per text the summed log-probability under each class, and the n-gram count."""
-    buf, off = nt.flat(_lowered(texts))
     n, classes = len(texts), len(model.logp)
     score, grams = np.zeros((n, classes)), np.zeros(n, np.int64)
-    for a, b in nt.slices(off):
-        code, at = char_codes(buf[off[a] : off[b]], off[a : b + 1] - off[a])
-        for k, order in enumerate(model.orders):
-            bucket, where = buckets_of(code, at, order, model.logp.shape[1])
+    for a, b, found in grams_of(texts, model.orders, model.logp.shape[1]):
+        for bucket, where in found:
             some = np.flatnonzero(np.diff(where))
             if len(some):
                 for c in range(classes):
@@ -121,11 +139,8 @@ def fit(
         total = np.zeros((len(labels), buckets), np.int64)
         for batch in batches:
             which = np.array([index[x] for x in batch.column(0).to_pylist()], np.int64)
-            buf, off = nt.flat(_lowered(batch.column(1)))
-            for a, b in nt.slices(off):
-                code, at = char_codes(buf[off[a] : off[b]], off[a : b + 1] - off[a])
-                for o in orders:
-                    bucket, where = buckets_of(code, at, o, buckets)
+            for a, b, found in grams_of(batch.column(1), orders, buckets):
+                for bucket, where in found:
                     row = np.repeat(which[a:b], np.diff(where))
                     total += np.bincount(row * buckets + bucket, minlength=total.size).reshape(total.shape)
         row, column = np.nonzero(total)
@@ -161,7 +176,7 @@ def decide(texts: pa.Array, model: LangModel) -> tuple[pa.Array, pa.Array, np.nd
 
 def identify(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, predicted, margin, accepted."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +189,7 @@ def identify(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col
 
 def keep_identified(docs: DataFrame, model: LangModel, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text is in one of the model's languages."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

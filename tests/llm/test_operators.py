@@ -65,10 +65,10 @@ def test_language_scores_equal_a_loop(spark, sf):
     model = langid.fit(docs, buckets=512)
     import pyarrow as pa
 
-    texts = ["abc", "", None, "é", "Straße und 日本", "a" * 50]
+    texts = ["abc", "", None, "é", "12", "Straße 12, und: 日本!", "a" * 50, "--x"]
     score, grams = langid.score_texts(pa.array(texts), model)
     for i, t in enumerate(texts):
-        low = (t or "").lower()
+        low = re.sub(r"[^a-z\x80-\U0010ffff]+", " ", (t or "").lower()).removeprefix(" ")
         want, n = np.zeros(len(model.logp)), 0
         for order in model.orders:
             for at in range(len(low) - order + 1):
@@ -81,6 +81,17 @@ def test_language_scores_equal_a_loop(spark, sf):
         assert grams[i] == n and np.allclose(score[i], want, atol=1e-3)
 
 
+def test_language_rejects_what_is_none_and_keeps_what_is_one(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs)
+    rng = random.Random(4)
+    noise = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxyz") for _ in range(7)) for _ in range(60))
+    texts = [(1, noise), (2, "Это совсем другой язык, которого здесь нет"), (3, "1234 5678"), (4, "the and of that with 4024 0071 token=0af31c +1 (555) 000 x@y.org 10.1.2.3 the thing and")]
+    found = {r.doc_id: r.accepted for r in langid.identify(spark.createDataFrame(texts, "doc_id bigint, text string"), model).collect()}
+    assert found == {1: False, 2: False, 3: False, 4: True}
+    assert langid.keep_identified(docs, model).count() == docs.count()
+
+
 def test_language_awkward(odd, none):
     model = langid.fit(odd)
     found = langid.identify(odd, model).collect()
