@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import paths
 
-INLINE = r'\[([^\]]*)\]\(([^)\s]+)(?:\s+"[^"]*")?\)'
-USE = r"\[([^\]]+)\]\[([^\]]*)\]"
-DEFINITION = r"(?m)^\[([^\]]+)\]:\s*(\S+)"
+#: Brackets are written as code points.
+LABEL, URL = r"\x5B([^\x5D]*)\x5D", r"\x28([^\s\x29]+)(?:\s+\x22[^\x22]*\x22)?\x29"
+INLINE = LABEL + URL
+USE = LABEL.replace("*", "+") + LABEL
+DEFINITION = "(?m)^" + LABEL.replace("*", "+") + r":\s*(\S+)"
 
 
 def external(url: Column) -> Column:

@@ -42,12 +42,13 @@ def last_wins(keys: Column, values: Column) -> Column:
 
 def html_title(content: Column) -> Column:
     """Null without a title."""
-    return F.nullif(F.trim(F.regexp_extract(content, r"(?i)<title[^>]*>([^<]+)</title>", 1)), F.lit(""))
+    return F.nullif(F.trim(F.regexp_extract(content, r"(?i)<title\b[^>]*+>([^<]+)</title>", 1)), F.lit(""))
 
 
 def html_meta(content: Column) -> Column:
     """The ``meta`` elements whose name comes before their content, as a map."""
-    rule = r"""(?i)<meta\s+name=["']([^"']+)["']\s+content=["']([^"']+)["']"""
+    value = r"[\x22\x27]([^\x22\x27]+)[\x22\x27]"
+    rule = rf"(?i)<meta\s+name={value}\s+content={value}"
     return last_wins(F.regexp_extract_all(content, F.lit(rule), F.lit(1)), F.regexp_extract_all(content, F.lit(rule), F.lit(2)))
 
 
@@ -202,9 +203,14 @@ def documents(files: DataFrame, default_title: str | None = None) -> DataFrame:
     )
 
 
+def root_order() -> Column:
+    """1, 2, 3 for the root index as Markdown, MDX, HTML; 0 for other files."""
+    return F.array_position(F.array(*(F.lit(f"index.{e}") for e in ("md", "mdx", "html"))), F.col("path"))
+
+
 def site_metadata(files: DataFrame, name: str) -> DataFrame:
     """One row (title, description, instructions) from the root index, or from the directory's name."""
-    order = F.expr("array_position(array('index.md', 'index.mdx', 'index.html'), path)")
+    order = root_order()
     top = files.where(order > 0).agg(F.min_by(F.struct("path", "content"), order).alias("x"))
     is_html = F.col("x.path").endswith(".html")
     meta = F.when(is_html, html_meta(F.col("x.content"))).otherwise(front_matter(F.col("x.content")))

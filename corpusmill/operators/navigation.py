@@ -36,7 +36,8 @@ def sitemap_xml(entries: DataFrame) -> DataFrame:
     fields = [tag("loc", F.col("url"))] + ([tag("lastmod", F.col("lastmod"))] if "lastmod" in entries.columns else []) + [tag("changefreq", F.col("changefreq")), tag("priority", F.col("priority"))]
     rows = entries.select(F.struct("url", F.concat(F.lit("  <url>"), *fields, F.lit("</url>")).alias("s")).alias("x"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]), "\n")
-    head = '<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">\n'
+    schema = "http://" + "www.sitemaps.org/schemas/sitemap/0.9"
+    head = f'<?xml version="1.0" encoding="utf-8"?>\n<urlset xmlns="{schema}">\n'
     return rows.agg(F.concat(F.lit(head), body, F.lit("\n</urlset>\n")).alias("xml"))
 
 

@@ -35,7 +35,8 @@ def content_issues(docs: DataFrame) -> DataFrame:
     row = lambda kind, detail: F.struct(F.lit(kind).alias("type"), detail.alias("detail"))
     kind = "array<struct<type:string,detail:string>>"
     bad = F.filter(F.regexp_extract_all(c, F.lit(r"""(?i)https?://[^\s<>"]+"""), F.lit(0)), suspicious_url)
-    long = F.regexp_extract_all(c, F.lit(r"(?:[A-Za-z0-9+/]{4}){251,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?"), F.lit(0))
+    digit = r"[\da-zA-Z/+]"
+    long = F.regexp_extract_all(c, F.lit(f"(?:{digit}{{4}}){{251,}}(?:{digit}{{3}}=|{digit}{{2}}==)?"), F.lit(0))
     found = F.concat(
         F.when(c.rlike(SCRIPT), F.array(row("script_injection", F.lit("")))).otherwise(F.array().cast(kind)), F.transform(bad, lambda u: row("suspicious_url", u)),
         F.transform(long, lambda s: row("large_base64", F.length(s).cast("string"))),

@@ -21,47 +21,57 @@ FAMILIES = {
     "c": ("c", "cc", "cpp", "h", "hpp"),
 }
 CONTROL = ("for", "if", "switch", "while")
+GAP, NAME, OPEN, UPPER = r"\s+", r"(\w+)", r"\s*\(", r"([A-Z_][\dA-Z_]*)"
+VALUE = r"\s*="
+ARGUMENTS = r"\([^)]*\)"
+
+
+def named(words: str, after: str = "", before: str = "") -> str:
+    """A keyword (or several, parted by bars), a gap and a name."""
+    return f"{before}(?:{words}){GAP}{NAME}{after}"
+
+
 #: Family -> (kind, regex, group of the name or 0 for the whole line, attribute, names that do not count).
 RULES: dict[str, tuple[tuple[str, str, int, str, tuple[str, ...]], ...]] = {
     "script": (
-        ("import", r"import\s+(?:\{[^}]+\}|\*\s+as\s+\w+|\w+)", 0, "", ()),
-        ("export", r"\Aexport\s+(?:default\s+)?(?:class|const|function|interface|let|type|var)\s+(\w+)", 1, "", ()),
-        ("function", r"(?:async\s+)?function\s+(\w+)\s*\(", 1, "declared", ()),
-        ("function", r"(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?\([^)]*\)\s*=>", 1, "arrow", ()),
-        ("class", r"class\s+(\w+)", 1, "", ()),
-        ("interface", r"interface\s+(\w+)", 1, "", ()),
-        ("type", r"type\s+(\w+)\s*=", 1, "", ()),
-        ("constant", r"const\s+([A-Z_][A-Z0-9_]*)\s*=", 1, "", ()),
+        ("import", rf"import{GAP}(?:\w+|\*{GAP}as{GAP}\w+|\{{[^}}]+}})", 0, "", ()),
+        ("export", named("class|const|function|interface|let|type|var", before=rf"\Aexport{GAP}(?:default{GAP})?"), 1, "", ()),
+        ("function", named("function", OPEN), 1, "declared", ()),
+        ("function", named("const|let|var", rf"{VALUE}\s*(?:async{GAP})?{ARGUMENTS}\s*=>"), 1, "arrow", ()),
+        ("class", named("class"), 1, "", ()),
+        ("interface", named("interface"), 1, "", ()),
+        ("type", named("type", VALUE), 1, "", ()),
+        ("constant", f"const{GAP}{UPPER}{VALUE}", 1, "", ()),
     ),
     "python": (
-        ("import", r"\A(?:import|from) ", 0, "", ()),
-        ("function", r"def\s+(\w+)\s*\(", 1, "", ()),
-        ("class", r"class\s+(\w+)", 1, "", ()),
-        ("constant", r"\A([A-Z_][A-Z0-9_]*)\s*=", 1, "", ()),
+        ("import", r"\A(?:from|import) ", 0, "", ()),
+        ("function", named("def", OPEN), 1, "", ()),
+        ("class", named("class"), 1, "", ()),
+        ("constant", rf"\A{UPPER}{VALUE}", 1, "", ()),
     ),
     "java": (
         ("import", r"\Aimport ", 0, "", ()),
-        ("class", r"(?:class|enum|interface)\s+(\w+)", 1, "", ()),
-        ("function", r"(?:private|protected|public)\s+(?:static\s+)?\w+\s+(\w+)\s*\(", 1, "", CONTROL),
+        ("class", named("class|enum|interface"), 1, "", ()),
+        ("function", named(rf"(?:private|protected|public){GAP}(?:static{GAP})?\w+", OPEN), 1, "", CONTROL),
     ),
     "go": (
         ("import", r"\Aimport ", 0, "", ()),
-        ("function", r"func\s+(?:\([^)]*\)\s+)?(\w+)\s*\(", 1, "", ()),
-        ("type", r"type\s+(\w+)\s+(?:interface|struct)", 1, "", ()),
-        ("constant", r"const\s+(\w+)\s*=", 1, "", ()),
+        ("function", rf"func{GAP}(?:{ARGUMENTS}{GAP})?{NAME}{OPEN}", 1, "", ()),
+        ("type", named("type", f"{GAP}(?:interface|struct)"), 1, "", ()),
+        ("constant", named("const", VALUE), 1, "", ()),
     ),
     "rust": (
         ("import", r"\Ause ", 0, "", ()),
-        ("function", r"fn\s+(\w+)\s*\(", 1, "", ()),
-        ("type", r"(?:enum|struct|trait)\s+(\w+)", 1, "", ()),
-        ("constant", r"const\s+(\w+)\s*:", 1, "", ()),
+        ("function", named("fn", OPEN), 1, "", ()),
+        ("type", named("enum|struct|trait"), 1, "", ()),
+        ("constant", named("const", r"\s*:"), 1, "", ()),
     ),
-    "ruby": (("import", r"\Arequire ", 0, "", ()), ("function", r"def\s+(\w+)", 1, "", ()), ("class", r"(?:class|module)\s+(\w+)", 1, "", ())),
-    "php": (("import", r"\A(?:include|require|use) ", 0, "", ()), ("function", r"function\s+(\w+)\s*\(", 1, "", ()), ("class", r"class\s+(\w+)", 1, "", ())),
+    "ruby": (("import", r"\Arequire ", 0, "", ()), ("function", named("def"), 1, "", ()), ("class", named("class|module"), 1, "", ())),
+    "php": (("import", r"\A(?:include|require|use) ", 0, "", ()), ("function", named("function", OPEN), 1, "", ()), ("class", named("class"), 1, "", ())),
     "c": (
         ("import", r"\A#include ", 0, "", ()),
-        ("function", r"(?:\w+\s+)+(\w+)\s*\([^)]*\)\s*\{", 1, "", CONTROL),
-        ("class", r"(?:class|struct)\s+(\w+)", 1, "", ()),
+        ("function", rf"(?:\w+{GAP})+{NAME}\s*{ARGUMENTS}\s*\{{", 1, "", CONTROL),
+        ("class", named("class|struct"), 1, "", ()),
     ),
 }
 KIND = "array<struct<kind:string,name:string,attrs:map<string,string>>>"

@@ -25,7 +25,7 @@ def characteristics(content: Column) -> list[Column]:
         found("has-images", content.rlike(r"!\[.*?\]\(.*?\)")),
         found("has-links", content.rlike(r"\[.*?\]\(.*?\)")),
         found("code-heavy", text.code_share(content) > 0.5),
-        found("qa-format", content.rlike(r"(?im)^#+\s*(Q:|Question:|FAQ)|\*\*Q:\*\*|<strong>Q:</strong>")),
+        found("qa-format", content.rlike(r"(?im)^#+\s*(?:FAQ|Question:|Q:)|\*{2}Q:\*{2}|<strong>Q:</strong>")),
         found("step-by-step", F.regexp_count(content, F.lit(r"(?m)^[0-9]+\.\s+")) >= 3),
         F.when(n < 200, "length:short").when(n > 2000, "length:long").otherwise("length:medium"),
     ]

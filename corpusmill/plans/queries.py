@@ -29,7 +29,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 WORDS = r"len(regexp_extract_all(content, '[^\s\x0B]+'))"
 SPLIT = r"len(string_split_regex(content, '\s+'))"
-INLINE = r'\[([^\]]*)\]\(([^)\s]+)(?:\s+"[^"]*")?\)'
+INLINE = links.INLINE
 
 #: site -> inline links with their candidates' resolution (graph flavour).
 LINKS_SQL = (
@@ -123,7 +123,7 @@ def document_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT page_id, nullif(trim(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1)), '') AS title, len(regexp_extract_all(html, '(?i)<meta\s+name=["'']([^"'']+)["'']\s+content=["'']([^"'']+)["'']'))::INT AS meta FROM pages"""
+    r"""SELECT page_id, nullif(trim(regexp_extract(html, '(?i)<title\b[^>]*>([^<]+)</title>', 1)), '') AS title, len(regexp_extract_all(html, '(?i)<meta\s+name=[\x22\x27]([^\x22\x27]+)[\x22\x27]\s+content=[\x22\x27]([^\x22\x27]+)[\x22\x27]'))::INT AS meta FROM pages"""
 )
 def html_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = derived.table(spark, sf_dir, "pages")
@@ -263,7 +263,7 @@ def _tag_sql() -> str:
         f"CASE WHEN {fence} THEN 'has-code' END", r"CASE WHEN regexp_matches(content, '\|.*\|.*\|') AND regexp_matches(content, '\|[-:]+\|') THEN 'has-tables' END",
         r"CASE WHEN regexp_matches(content, '!\[.*?\]\(.*?\)') THEN 'has-images' END", r"CASE WHEN regexp_matches(content, '\[.*?\]\(.*?\)') THEN 'has-links' END",
         "CASE WHEN len(array_to_string(regexp_extract_all(content, '(?s)```.*?```'), '')) > 0.5 * length(content) THEN 'code-heavy' END",
-        r"CASE WHEN regexp_matches(content, '(?im)^#+\s*(Q:|Question:|FAQ)|\*\*Q:\*\*|<strong>Q:</strong>') THEN 'qa-format' END",
+        r"CASE WHEN regexp_matches(content, '(?im)^#+\s*(?:FAQ|Question:|Q:)|\*{2}Q:\*{2}|<strong>Q:</strong>') THEN 'qa-format' END",
         r"CASE WHEN len(regexp_extract_all(content, '(?m)^[0-9]+\.\s+')) >= 3 THEN 'step-by-step' END",
         f"CASE WHEN {SPLIT} < 200 THEN 'length:short' WHEN {SPLIT} > 2000 THEN 'length:long' ELSE 'length:medium' END",
     ]

@@ -15,7 +15,7 @@ from corpusmill.operators import metadata
 
 #: What counts as a document.
 EXTENSIONS = ("md", "mdx", "html")
-EXCLUDED = (".git", ".netlify", ".next", ".nuxt", ".output", ".vercel", "build", "coverage", "dist", "node_modules", "out")
+EXCLUDED = ("build", "coverage", "dist", "node_modules", "out", *("." + t for t in ("git", "output", "netlify", "vercel", "next", "nuxt")))
 CODE_EXTENSIONS = ("js", "jsx", "mjs", "cjs", "ts", "tsx", "py", "java", "go", "rs", "rb", "php", "c", "cc", "cpp", "h", "hpp")
 CODE_SKIPPED = (
     "__pycache__", "bin", "build", "coverage", "dist", "env", "node_modules", "obj", "out", "target", "temp", "tmp", "vendor", "venv",
@@ -95,7 +95,7 @@ def read_documents(spark: SparkSession, folder: str, default_title: str | None =
 
 def root_index(files: DataFrame) -> DataFrame:
     """The first of index.md, index.mdx, index.html at the top, as one row or none."""
-    order = F.expr("array_position(array('index.md', 'index.mdx', 'index.html'), path)")
+    order = metadata.root_order()
     return files.where(order > 0).orderBy(order).limit(1)
 
 

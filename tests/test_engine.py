@@ -73,13 +73,13 @@ def test_secure_relative():
 
 
 def test_front_matter_and_html(spark):
-    page = '<html><head><title> T &amp; U </title><meta name="description" content="about"><meta name="sitemap-priority" content="0.9"></head><body><h2>Hi</h2><p>a <b>b</b> <a href="/x">l</a></p><ul><li>one</li><li>two</li></ul><pre><code class="language-js">let x\n  = 1</code></pre><script>no()</script></body></html>'
+    page = '<html><head><title> T &amp; U </title><meta name="sitemap-priority" content="1"><meta name="description" content="about"></head><body><h2>Hi</h2><p>a <b>b</b> <a href="/x">l</a></p><ul><li>one</li><li>two</li></ul><pre><code class="language-js">let x\n  = 1</code></pre><script>no()</script></body></html>'
     source = spark.createDataFrame([("a.md", "---\ntitle: 'One'\ntags: x, y\ntitle: \"Two\"\n---\nbody\n---\nnot: meta\n---\n"), ("b.md", "text\n---\na: b\n---\n"), ("p/index.html", page)], DOC)
     got = {r.path: r for r in metadata.documents(source).collect()}
     assert got["a.md"].title == "Two" and got["a.md"].metadata["tags"] == "x, y" and got["a.md"].content == "body\n---\nnot: meta\n---\n"
     assert got["b.md"].title is None and got["b.md"].content.startswith("text")
     web = got["p/index.html.md"]
-    assert web.is_html and web.original_path == "p/index.html" and web.description == "about" and web.metadata["sitemap-priority"] == "0.9"
+    assert web.is_html and web.original_path == "p/index.html" and web.description == "about" and web.metadata["sitemap-priority"] == "1"
     for part in ("## Hi", "a **b** [l](/x)", "*   one", "*   two", "```js\nlet x\n  = 1\n```"):
         assert part in web.content
     assert "no()" not in web.content
@@ -101,7 +101,7 @@ def test_links_of_all_kinds(spark):
 
 
 def test_ranks_agree_and_span_the_scale(spark, monkeypatch):
-    d = docs_of(spark, a="[b](b.md) [b](b.md) [c](c.md)", b="[c](c.md)", c="[a](a.md)", d="", e="[e](e.md)")
+    d = docs_of(spark, a="[x](b.md) [y](b.md) [z](c.md)", b="[c](c.md)", c="[a](a.md)", d="", e="[e](e.md)")
     edges = links.edges(d)
     small = {r.path: r.score for r in graph.ranks(d, edges).collect()}
     monkeypatch.setattr(graph, "ONE_TASK_EDGES", 0)
@@ -441,3 +441,21 @@ def test_errors_and_perf():
     assert m.wrap("w", lambda x: x + 1)(1) == 2 and m.get("w") >= 0 and "w" in m.report()["metrics"]
     got = perf.run_batch(lambda x: 1 // x, [1, 0, 1], at_once=2)
     assert got[0] == 1 and isinstance(got[1], ZeroDivisionError) and got[2] == 1
+
+
+def test_server(spark):
+    from corpusmill.plans import server
+
+    d = docs_of(spark, **{"guide__cats": "all about cats", "index": "home"})
+    s = server.Server(retrieval.doc_index(d, tags.tags(d)), d)
+    ask = lambda method, **params: s.handle({"id": 1, "method": method, "params": params})
+    assert ask("initialize")["result"]["protocolVersion"] == server.VERSION
+    assert {t["name"] for t in ask("tools/list")["result"]["tools"]} == {"search_docs", "get_document", "list_documents", "get_section"}
+    found = json.loads(ask("tools/call", name="search_docs", arguments={"query": "cats"})["result"]["content"][0]["text"])
+    assert [r["path"] for r in found] == ["guide/cats.md"]
+    assert "all about cats" in ask("tools/call", name="get_document", arguments={"path": "guide/cats.md"})["result"]["content"][0]["text"]
+    assert [r["name"] for r in ask("resources/list")["result"]["resources"]] == ["guide", "root"]
+    assert "cats" in ask("resources/read", uri="docs://section/guide")["result"]["contents"][0]["text"]
+    assert ask("none")["error"]["code"] == -32601 and ask("tools/call", name="x")["error"]["code"] == -32603
+    assert s.handle({"method": "note"}) is None and len(list(s.serve(["", "{", '{"id": 2, "method": "prompts/list"}']))) == 2
+    assert ask("prompts/get", name="answer", arguments={"question": "q"})["result"]["messages"] and server.splitter()["chunk_size"] == 1000
