@@ -29,7 +29,8 @@ def tools() -> list[dict]:
         "list_documents": ("Documents of a section or with a tag", {"section": _text("section"), "tags": {"type": "array", "items": {"type": "string"}}}, []),
         "get_section": ("All documents of a section", {"section": _text("section")}, ["section"]),
     }
-    return [{"name": n, "description": d, "inputSchema": {"type": "object", "properties": p, "required": r}} for n, (d, p, r) in shapes.items()]
+    schema = lambda properties, required: dict(required=required, properties=properties, type="object")
+    return [dict(name=n, inputSchema=schema(p, r), description=d) for n, (d, p, r) in shapes.items()]
 
 
 def prompts() -> list[dict]:
