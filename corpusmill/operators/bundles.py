@@ -3,7 +3,7 @@
 A bundle is a fold over the ranked documents: one that does not fit is skipped, or
 referred to, and the next is tried. The fold needs sizes only, so an array of small
 structs per bundle is folded in the JVM; texts are joined when a bundle is written.
-A bundle of t tokens can hold t / 5 entries at most, however large the corpus.
+Only documents that can enter are ranked, however large the corpus.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from corpusmill.operators import documents
 SIZES = (2000, 4000, 8000, 16000, 32000, 64000, 128000)
 WEIGHTS = {"index": 100.0, "readme": 90.0, "important": 50.0, "importance": 30.0, "recent": 10.0}
 FOOTER_TOKENS, REFERENCE_ROOM = 50, 100
+#: No entry and no reference has fewer: the marks around title and path alone are longer.
+LEAST_TOKENS = 3
 
 
 def scores(docs: DataFrame, importance: DataFrame | None = None, usage: DataFrame | None = None, weights: Mapping[str, float] | None = None, now: Column | None = None) -> DataFrame:
@@ -63,12 +65,35 @@ def reference(title: Column, path: Column, notes: Column, base: str = "") -> Col
     return F.concat(F.lit("- ["), title, F.lit("](" + base), path, F.lit(")"), F.when(notes != "", F.concat(F.lit(": "), notes)).otherwise(""), F.lit("\n"))
 
 
-def ranked(scored: DataFrame, base: str = "") -> DataFrame:
-    """(path, score, rank, entry_tokens, reference_tokens); ties by path."""
+def sized(scored: DataFrame, base: str = "") -> DataFrame:
+    """(path, score, entry_tokens, reference_tokens)."""
     notes = F.coalesce(F.col("description"), F.lit("")) if "description" in scored.columns else F.lit("")
     title, path = _title(scored), F.col("path")
-    sized = scored.select("path", "score", text.tokens(entry(title, path, F.col("content"))).alias("entry_tokens"), text.tokens(reference(title, path, notes, base)).alias("reference_tokens"))
-    return sized.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "path")))
+    return scored.select("path", "score", text.tokens(entry(title, path, F.col("content"))).alias("entry_tokens"), text.tokens(reference(title, path, notes, base)).alias("reference_tokens"))
+
+
+def candidates(rows: DataFrame, size: int) -> DataFrame:
+    """The rows that can enter a bundle of ``size`` tokens; exact, and few however many rows there are.
+
+    While there is room for references every document whose reference is short enters
+    one way or the other, at ``LEAST_TOKENS`` or more. So after size / LEAST_TOKENS of
+    them only entries smaller than that room can follow, and of each size no more than
+    fit into it.
+    """
+    order = [F.desc("score"), F.asc("path")]
+    key = F.struct((-F.col("score")).alias("s"), F.col("path").alias("p"))
+    most = size // LEAST_TOKENS + 1
+    first = rows.where(F.col("reference_tokens") <= REFERENCE_ROOM).orderBy(*order).limit(most)
+    bound = first.agg(F.when(F.count("*") == most, F.max(key)).alias("bound"))
+    placed = rows.crossJoin(F.broadcast(bound)).withColumn("late", F.coalesce(key > F.col("bound"), F.lit(False))).drop("bound")
+    nth = F.row_number().over(Window.partitionBy("entry_tokens").orderBy(*order))
+    late = placed.where(F.col("late") & (F.col("entry_tokens") <= REFERENCE_ROOM)).withColumn("nth", nth).where(F.col("nth") <= REFERENCE_ROOM // LEAST_TOKENS)
+    return placed.where("not late").drop("late").unionByName(late.drop("late", "nth"))
+
+
+def ranked(rows: DataFrame) -> DataFrame:
+    """``rank`` by score, ties by path, among the rows given."""
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "path")))
 
 
 def _step(room: int):
@@ -89,10 +114,11 @@ def bundles(scored: DataFrame, sizes: Sequence[int] = SIZES, header_tokens: int
     """(size, rank, path, kind, tokens, cum_tokens) of what each bundle holds.
 
     ``kind`` is ``full`` or ``ref``. The header counts twice: once as content and once
-    off the room, as does the reserve for a footer.
+    off the room, as does the reserve for a footer. ``rank`` is among the documents
+    that can enter one of the bundles, see ``candidates``.
     """
     own = F.array_sort(F.collect_list(F.struct("rank", "path", "entry_tokens", "reference_tokens"))).alias("docs")
-    all_ = ranked(scored, base).agg(own)
+    all_ = ranked(candidates(sized(scored, base), max(sizes, default=0))).agg(own)
     zero = F.struct(F.lit(header_tokens).alias("used"), F.array().cast("array<struct<rank:int,path:string,kind:string,tokens:int,cum_tokens:int>>").alias("items"))
     fold = lambda size: F.aggregate("docs", zero, _step(size - header_tokens - FOOTER_TOKENS))["items"].alias("items")
     folded = [F.struct(F.lit(size).alias("size"), fold(size)) for size in sizes]

@@ -134,18 +134,15 @@ def headings(docs: DataFrame) -> DataFrame:
     W6: the parent is the nearest heading above of a lower level. It is found within
     the document's own array, so that nothing shuffles.
     """
-    line = F.regexp_extract("l", r"\A(#{1,6})\s+(.+)\z", 1)
-    title = F.trim(F.regexp_extract("l", r"\A(#{1,6})\s+(.+)\z", 2), F.lit(" \t\r\f\x0b"))
+    title = lambda c: F.trim(F.regexp_extract(c, r"\A#{1,6}\s+(.+)\z", 1), F.lit(" \t\r\f\x0b"))
     rows = F.transform(F.split("content", "\n", -1), lambda l, i: F.struct(l.alias("l"), (i + 1).alias("line")))
-    found = F.filter(rows, lambda x: x["l"].rlike(r"\A#{1,6}\s+.+\z"))
-    docs = docs.select("path", found.alias("found"))
-    level = lambda x: F.length(F.regexp_extract(x["l"], r"\A(#{1,6})\s", 1))
-    above = F.filter(F.slice("found", 1, F.col("pos")), lambda y: level(y) < level(F.col("x")))
-    parent = F.when(F.size(above) > 0, F.element_at(above, -1))
-    exploded = docs.where(F.size("found") > 0).select("path", "found", F.posexplode("found").alias("pos", "x")).withColumn("up", parent)
-    out = exploded.select("path", "pos", F.col("x.line").alias("line"), F.col("x.l").alias("l"), F.col("up.l").alias("up"))
-    name = lambda c: paths.anchor(F.trim(F.regexp_extract(c, r"\A(#{1,6})\s+(.+)\z", 2), F.lit(" \t\r\f\x0b")))
-    return out.select("path", "pos", "line", F.length(line).alias("level"), title.alias("title"), name("l").alias("anchor"), F.when(F.col("up").isNotNull(), name("up")).alias("parent_anchor"))
+    rows = F.filter(rows, lambda x: x["l"].rlike(r"\A#{1,6}\s+.+\z"))
+    rows = F.transform(rows, lambda x: F.struct(x["l"].alias("l"), x["line"].alias("line"), F.length(F.regexp_extract(x["l"], r"\A(#{1,6})\s", 1)).alias("level")))
+    found = docs.select("path", rows.alias("found")).where(F.size("found") > 0)
+    each = found.select("path", "found", F.posexplode("found").alias("pos", "x"))
+    above = F.filter(F.slice("found", 1, F.col("pos")), lambda y: y["level"] < F.col("x.level"))
+    out = each.select("path", "pos", "x.line", "x.level", "x.l", F.when(F.size(above) > 0, F.element_at(above, -1)["l"]).alias("up"))
+    return out.select("path", "pos", "line", "level", title("l").alias("title"), paths.anchor(title("l")).alias("anchor"), F.when(F.col("up").isNotNull(), paths.anchor(title("up"))).alias("parent_anchor"))
 
 
 def section_edges(docs: DataFrame, edges: DataFrame) -> DataFrame:

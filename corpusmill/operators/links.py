@@ -28,24 +28,35 @@ def absolute(url: Column) -> Column:
     return url.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:\S")
 
 
+LINK = "array<struct<style:string,pos:int,text:string,url:string>>"
+
+
+def inline_array(content: Column) -> Column:
+    """Structs (style, pos, text, url) of ``[text](url "title")``."""
+    texts, urls = (F.regexp_extract_all(content, F.lit(INLINE), F.lit(i)) for i in (1, 2))
+    return F.zip_with(F.transform(texts, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), urls, lambda x, u: F.struct(F.lit("inline").alias("style"), x["i"].alias("pos"), x["t"].alias("text"), u.alias("url"))).cast(LINK)
+
+
+def reference_array(content: Column) -> Column:
+    """The same of ``[text][ref]`` and ``[text][]``; the last definition of a name wins, uses without one drop out."""
+    names = F.transform(F.regexp_extract_all(content, F.lit(DEFINITION), F.lit(1)), F.lower)
+    urls = F.regexp_extract_all(content, F.lit(DEFINITION), F.lit(2))
+    texts, refs = (F.regexp_extract_all(content, F.lit(USE), F.lit(i)) for i in (1, 2))
+    key = lambda t, r: F.lower(F.coalesce(F.nullif(r, F.lit("")), t))
+    place = lambda k: F.size(names) - F.array_position(F.reverse(names), k)  # noqa: E731 - 0-based, of the last definition
+    uses = F.zip_with(F.transform(texts, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), refs, lambda x, r: F.struct(x["i"].alias("pos"), x["t"].alias("text"), key(x["t"], r).alias("key")))
+    known = F.filter(uses, lambda u: F.array_contains(names, u["key"]))
+    return F.transform(known, lambda u: F.struct(F.lit("reference").alias("style"), u["pos"].alias("pos"), u["text"].alias("text"), F.get(urls, place(u["key"])).alias("url"))).cast(LINK)
+
+
 def inline(docs: DataFrame) -> DataFrame:
-    """(source, pos, text, url) of ``[text](url "title")``."""
-    pair = F.arrays_zip(
-        F.regexp_extract_all("content", F.lit(INLINE), F.lit(1)).alias("text"), F.regexp_extract_all("content", F.lit(INLINE), F.lit(2)).alias("url")
-    )
-    return docs.select(F.col("path").alias("source"), F.posexplode(pair).alias("pos", "x")).select("source", "pos", "x.text", "x.url")
+    """(source, style, pos, text, url)."""
+    return docs.select(F.col("path").alias("source"), F.explode(inline_array(F.col("content"))).alias("x")).select("source", "x.*")
 
 
 def reference(docs: DataFrame) -> DataFrame:
-    """(source, pos, text, url) of ``[text][ref]`` and ``[text][]``; the last definition of a name wins."""
-    names = F.transform(F.regexp_extract_all("content", F.lit(DEFINITION), F.lit(1)), F.lower)
-    urls = F.regexp_extract_all("content", F.lit(DEFINITION), F.lit(2))
-    uses = F.arrays_zip(F.regexp_extract_all("content", F.lit(USE), F.lit(1)).alias("text"), F.regexp_extract_all("content", F.lit(USE), F.lit(2)).alias("ref"))
-    rows = docs.select(F.col("path").alias("source"), names.alias("names"), urls.alias("urls"), F.posexplode(uses).alias("pos", "x"))
-    key = F.lower(F.coalesce(F.nullif(F.col("x.ref"), F.lit("")), F.col("x.text")))
-    at = F.size("names") - F.array_position(F.reverse("names"), key)  # 0-based place of the last definition
-    url = F.when(F.array_contains("names", key), F.get("urls", at))
-    return rows.select("source", "pos", "x.text", url.alias("url")).where("url is not null")
+    """(source, style, pos, text, url)."""
+    return docs.select(F.col("path").alias("source"), F.explode(reference_array(F.col("content"))).alias("x")).select("source", "x.*")
 
 
 def candidates(url: Column, source: Column) -> Column:
@@ -62,18 +73,22 @@ def edges(docs: DataFrame) -> DataFrame:
     Links of the text come first (``pos`` from 0), then those by reference, as two
     kinds of ``style``.
     """
-    found = inline(docs).withColumn("style", F.lit("inline")).unionByName(reference(docs).withColumn("style", F.lit("reference")))
+    all_ = F.concat(inline_array(F.col("content")), reference_array(F.col("content")))
+    found = docs.where("content is not null").select(F.col("path").alias("source"), F.explode(all_).alias("x")).select("source", "x.*")
     url = F.col("url")
     own = (F.col("style") == "inline") & url.startswith("#")
-    out = found.where(external(url) & ~own).select("source", url.alias("target"), F.lit(None).cast("string").alias("anchor"), "text", F.lit("external").alias("type"), "style", "pos")
-    self_ = found.where(own).select("source", F.col("source").alias("target"), F.substring(url, 2, 1 << 30).alias("anchor"), "text", F.lit("internal-anchor").alias("type"), "style", "pos")
+    # links that need no resolution, in one pass; the others in a second
+    self_ = found.where(own | external(url)).select(
+        "source", F.when(own, F.col("source")).otherwise(url).alias("target"), F.when(own, F.substring(url, 2, 1 << 30)).alias("anchor"), "text",
+        F.when(own, "internal-anchor").otherwise("external").alias("type"), "style", "pos",
+    )
     inside = found.where(~external(url) & ~own).select("source", "text", "style", "pos", "url", F.posexplode(candidates(url, F.col("source"))).alias("nth", "candidate"))
     known = docs.select(F.col("path").alias("candidate")).distinct()
     hit = inside.join(known, "candidate").groupBy("source", "style", "pos", "text", "url").agg(F.min_by("candidate", "nth").alias("target"))
     anchor = F.nullif(F.split_part("url", F.lit("#"), F.lit(2)), F.lit(""))
     kind = F.when((F.col("style") == "inline") & anchor.isNotNull(), "internal-anchor").otherwise("internal")
     inside = hit.select("source", "target", anchor.alias("anchor"), "text", kind.alias("type"), "style", "pos")
-    return out.unionByName(self_).unionByName(inside)
+    return self_.unionByName(inside)
 
 
 def broken(docs: DataFrame) -> DataFrame:

@@ -174,6 +174,29 @@ def test_simhash_of_near_copies(spark):
     assert far[0] <= 6 < far[1] and got["d.md"] == "0" * 16
 
 
+def test_bundles_of_candidates_are_those_of_all(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"d{i:04}.md", "w" * rng.choice([20, 60, 200, 900, 3000]), float(rng.randrange(40))) for i in range(700)]
+    scored = spark.createDataFrame(rows, "path string, content string, score double")
+    whole = [tuple(r) for r in bundles.bundles(scored, [600, 900]).orderBy("size", "cum_tokens", "tokens").select("size", "path", "kind", "cum_tokens").collect()]
+    assert bundles.candidates(bundles.sized(scored), 900).count() < 700
+    used = {600: 0, 900: 0}
+    for size in used:
+        want, room = [], size - bundles.FOOTER_TOKENS
+        for path, content, score in sorted(rows, key=lambda r: (-r[2], r[0])):
+            title = path[:-3]
+            full, ref = -(-len(f"## {title}\n*Source: {path}*\n\n{content}\n\n---\n\n") // 4), -(-len(f"- [{title}]({path})\n") // 4)
+            if used[size] + full <= room:
+                used[size] += full
+                want.append((size, path, "full", used[size]))
+            elif used[size] + 100 <= room and used[size] + ref <= room:
+                used[size] += ref
+                want.append((size, path, "ref", used[size]))
+        assert [w for w in whole if w[0] == size] == want
+
+
 def test_bundles_keep_the_budget(spark, sf):
     d = derived.site(spark, sf)
     for size in (500, 2000):
@@ -319,8 +342,8 @@ def test_changes_and_state(spark, tmp_path):
 def test_debounce_batch(spark):
     rows = [("r", "a.md", 0.0, "add"), ("r", "b.md", 0.3, "add"), ("r", "a.md", 0.6, "change"), ("r", "a.md", 5.0, "remove")]
     events = spark.createDataFrame(rows, "watch_root string, path string, s double, event string").select("watch_root", "path", F.timestamp_micros((F.col("s") * 1e6).cast("bigint")).alias("ts"), "event")
-    got = sorted((r.events, sorted(r.last)) for r in watch.debounced(events).collect())
-    assert got == [(1, ["a.md"]), (3, ["a.md", "b.md"])]
+    got = sorted((r.events, sorted(r.last.items())) for r in watch.debounced(events).collect())
+    assert got == [(1, [("a.md", "remove")]), (3, [("a.md", "change"), ("b.md", "add")])]
     assert watch.relevant(events.withColumn("path", F.lit("out/a.md")), "out").count() == 0
     assert watch.relevant(events, "").count() == 4
 
