@@ -11,14 +11,13 @@ from corpusmill.functions import paths, text
 def simhash(docs: DataFrame) -> DataFrame:
     """(path, simhash) as 16 hex digits.
 
-    Each word of three letters or more votes on 64 bits by its SHA-256. Words are
-    counted per document first; the votes are 64 sums in one aggregate, not 64 rows
-    per word.
+    Each word of three letters or more votes on 64 bits by its SHA-256. The votes are 64
+    sums in one aggregate; as a document's words stand together, they are summed before
+    the shuffle, which sees a row per document.
     """
     found = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce("content", F.lit(""))), r"[^A-Za-z0-9_\s]", " "), r"\s+"), lambda w: F.length(w) > 2)
-    counted = docs.select("path", F.explode(found).alias("w")).groupBy("path", "w").agg(F.count("*").alias("n"))
-    hashed = counted.select("path", "n", F.conv(F.substring(F.sha2("w", 256), 1, 16), 16, -10).cast("bigint").alias("h"))
-    votes = [F.sum(F.col("n") * (F.getbit("h", F.lit(i)).cast("bigint") * 2 - 1)).alias(f"v{i}") for i in range(64)]
+    hashed = docs.select("path", F.explode(found).alias("w")).select("path", F.conv(F.substring(F.sha2("w", 256), 1, 16), 16, -10).cast("bigint").alias("h"))
+    votes = [F.sum(F.getbit("h", F.lit(i)).cast("bigint") * 2 - 1).alias(f"v{i}") for i in range(64)]
     bits = [F.when(F.col(f"v{i}") > 0, F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")) for i in range(64)]
     word = bits[0]
     for b in bits[1:]:

@@ -6,7 +6,7 @@ and are united by name.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text
@@ -87,24 +87,29 @@ def pii(docs: DataFrame) -> DataFrame:
 def fences(docs: DataFrame) -> DataFrame:
     """Indented opening fences, odd inline backticks, a fence that never closes.
 
-    Whether a line is inside code is the parity of the fence lines up to it.
+    Fence lines open and close by turns, so the n-th of a document opens if n is odd, and
+    a line is inside code if an odd number of them stand above. All of it is found in
+    the document's own arrays; nothing shuffles.
     """
-    fence = r"\A\s*```"
-    lines = F.split("content", "\n", -1)
-    rows = F.transform(lines, lambda l, i: F.struct((i + 1).alias("line"), l.alias("l"), l.rlike(fence).alias("f")))
-    own = docs.select("path", F.col("content").rlike(r"- |1\. ").alias("listed"), F.posexplode(rows).alias("i", "x")).select("path", "listed", "x.*")
-    upto = Window.partitionBy("path").orderBy("line")
-    own = own.withColumn("inside", F.sum(F.col("f").cast("int")).over(upto) % 2 == 1)
-    last = own.groupBy("path").agg(F.max_by("inside", "line").alias("open"), F.max(F.when(F.col("f"), F.struct("line", "l"))).alias("x")).where("open")
-    indent = F.length(F.regexp_extract("l", r"\A(\s*)```", 1))
-    opened = own.where(F.col("f") & F.col("inside") & (indent > 0) & ~F.col("listed"))
-    odd = own.where(~F.col("inside") & (F.regexp_count("l", F.lit("`")) % 2 == 1) & ~F.col("l").contains("```"))
-    language = F.regexp_extract("x.l", r"\A\s*```+(\w*)", 1)
-    return (
-        _issues(opened, type="code_fence_indentation", severity="warning", document=F.col("path"), line=F.col("line"), detail=F.create_map(F.lit("indent"), indent.cast("string")))
-        .unionByName(_issues(odd, type="unclosed_inline_code", severity="warning", document=F.col("path"), line=F.col("line")))
-        .unionByName(_issues(last, type="unclosed_code_fence", severity="error", document=F.col("path"), line=F.col("x.line"), detail=F.create_map(F.lit("language"), language)))
-    )
+    lines = F.transform(F.split("content", "\n", -1), lambda l, i: F.struct((i + 1).alias("line"), l.alias("l")))
+    marks = F.filter(lines, lambda x: x["l"].rlike(r"\A\s*```"))
+    odd = F.filter(lines, lambda x: ~x["l"].contains("```") & (F.regexp_count(x["l"], F.lit("`")) % 2 == 1))
+    own = docs.where("content is not null").select("path", F.col("content").rlike(r"- |1\. ").alias("listed"), marks.alias("marks"), odd.alias("odd"))
+    row = lambda kind, severity, line, key, value: F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), line.alias("line"), F.lit(key).alias("key"), value.alias("value"))
+    none = F.array().cast("array<struct<type:string,severity:string,line:int,key:string,value:string>>")
+    indent = lambda x: F.length(F.regexp_extract(x["l"], r"\A(\s*)```", 1))
+    opened = F.filter("marks", lambda x, i: (i % 2 == 0) & (indent(x) > 0) & ~F.col("listed"))
+    outside = F.filter("odd", lambda y: F.size(F.filter("marks", lambda x: x["line"] < y["line"])) % 2 == 0)
+    last = F.element_at("marks", -1)
+    language = F.regexp_extract(last["l"], r"\A\s*```+(\w*)", 1)
+    found = F.concat(
+        F.transform(opened, lambda x: row("code_fence_indentation", "warning", x["line"], "indent", indent(x).cast("string"))),
+        F.transform(outside, lambda x: row("unclosed_inline_code", "warning", x["line"], "language", F.lit(None).cast("string"))),
+        F.when(F.size("marks") % 2 == 1, F.array(row("unclosed_code_fence", "error", last["line"], "language", language))).otherwise(none),
+    )
+    rows = own.select("path", F.explode(found).alias("x")).select("path", "x.*")
+    detail = F.when(F.col("value").isNotNull(), F.create_map("key", "value"))
+    return _issues(rows, type=F.col("type"), severity=F.col("severity"), document=F.col("path"), line=F.col("line"), detail=detail)
 
 
 def broken_links(docs: DataFrame) -> DataFrame:
