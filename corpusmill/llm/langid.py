@@ -150,7 +150,7 @@ def fit(
     if labels:
         sample = docs.select(F.col(id_col).alias("id_"), F.col(label_col).cast("string").alias("label_"), F.col(text_col).alias("text_"))
         sample = sample.join(F.broadcast(chosen.select("id_", "label_")), ["id_", "label_"], "left_semi")
-        parts = sample.select("label_", "text_").mapInArrow(count, "l_ long, b_ long, c_ long")
+        parts = sample.select("label_", "text_").mapInArrow(nt.tidy(count), "l_ long, b_ long, c_ long")
         table = parts.groupBy("l_", "b_").agg(F.sum("c_").alias("c_")).toArrow()
         counts[table["l_"].to_numpy(), table["b_"].to_numpy()] = table["c_"].to_numpy()
     logp = np.log(counts + alpha) - np.log(counts.sum(1, keepdims=True) + alpha * buckets)
@@ -184,7 +184,7 @@ def identify(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([batch.column(0), name, margin, pa.array(accepted)], names=[id_col, "predicted", "margin", "accepted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).alias("text_")).mapInArrow(run, f"`{id_col}` {kind}, predicted string, margin double, accepted boolean")
+    return docs.select(F.col(id_col), F.col(text_col).alias("text_")).mapInArrow(nt.tidy(run), f"`{id_col}` {kind}, predicted string, margin double, accepted boolean")
 
 
 def keep_identified(docs: DataFrame, model: LangModel, text_col: str = "text") -> DataFrame:
@@ -196,4 +196,4 @@ def keep_identified(docs: DataFrame, model: LangModel, text_col: str = "text") -
         for batch in batches:
             yield batch.filter(pa.array(decide(batch.column(at), shared.value)[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(nt.tidy(run), docs.schema)

@@ -50,6 +50,8 @@ from corpusmill.session import cut
 
 N, THRESHOLD = 5, 0.4
 FRAGMENT_ENTRIES = 4_000_000
+#: Texts of about so many bytes are cut into n-grams at once.
+MAP_BYTES = 12 << 20
 BLOCK, WIDTH = 1024, 4096
 
 
@@ -100,25 +102,30 @@ def _blocks(n: int, ranges: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            g, at, node = gram_sets(batch.column(0), n)
-            row = np.repeat(np.arange(len(node)), np.diff(at))
-            first = np.zeros(len(node), bool)
-            first[np.unique(node, return_index=True)[1]] = True  # copies in a batch go once
-            keep = first[row]
-            g, row = g[keep], row[keep]
-            order = np.argsort(g)
-            g, row = g[order], row[order]
-            part = ((g >> nt.U64(32)) * nt.U64(ranges)) >> nt.U64(32)
-            edge = np.searchsorted(part, np.arange(ranges + 1, dtype=nt.U64))
-            size = np.diff(at)
-            parts, blobs = [], []
-            for p in range(ranges):
-                a, b = edge[p], edge[p + 1]
-                if a < b:
-                    used, local = np.unique(row[a:b], return_inverse=True)
-                    parts.append(p)
-                    blobs.append(nt.pack(np.diff(g[a:b], prepend=nt.U64(0)), local, node[used], size[used]))
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), nt.binaries(blobs)], names=["part", "blob"])
+            text = batch.column(0)
+            for a, b in nt.slices(nt.flat(text)[1], MAP_BYTES):
+                yield blocks(text.slice(a, b - a))
+
+    def blocks(text: pa.Array) -> pa.RecordBatch:
+        g, at, node = gram_sets(text, n)
+        row = np.repeat(np.arange(len(node)), np.diff(at))
+        first = np.zeros(len(node), bool)
+        first[np.unique(node, return_index=True)[1]] = True  # copies in a batch go once
+        keep = first[row]
+        g, row = g[keep], row[keep]
+        order = np.argsort(g)
+        g, row = g[order], row[order]
+        part = ((g >> nt.U64(32)) * nt.U64(ranges)) >> nt.U64(32)
+        edge = np.searchsorted(part, np.arange(ranges + 1, dtype=nt.U64))
+        size = np.diff(at)
+        parts, blobs = [], []
+        for p in range(ranges):
+            a, b = edge[p], edge[p + 1]
+            if a < b:
+                used, local = np.unique(row[a:b], return_inverse=True)
+                parts.append(p)
+                blobs.append(nt.pack(np.diff(g[a:b], prepend=nt.U64(0)), local, node[used], size[used]))
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), nt.binaries(blobs)], names=["part", "blob"])
 
     return run
 
@@ -312,7 +319,7 @@ def document_sets(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nt.as_long(node))], names=["doc", "node"]).filter(some)
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text_")).where("doc is not null and text_ is not null")
-    return rows.mapInArrow(run, "doc bigint, node bigint")
+    return rows.mapInArrow(nt.tidy(run), "doc bigint, node bigint")
 
 
 def _placed(docs: DataFrame, n: int, threshold: float, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -321,9 +328,9 @@ def _placed(docs: DataFrame, n: int, threshold: float, text_col: str) -> tuple[D
         raise ValueError("the threshold must be over 0 and at most 1")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(text_col).alias("text_")).where("text_ is not null")
-    blocks = texts.mapInArrow(_blocks(n, parts), "part int, blob binary")
+    blocks = texts.mapInArrow(nt.tidy(_blocks(n, parts)), "part int, blob binary")
     shared = blocks.repartitionById(parts, F.col("part")).mapInArrow(
-        _shared_lists, "node bigint, size bigint, shared bigint, lists array<bigint>, weights array<int>, dfs array<int>"
+        nt.tidy(_shared_lists), "node bigint, size bigint, shared bigint, lists array<bigint>, weights array<int>, dfs array<int>"
     )
     alive = (
         shared.groupBy("node")
@@ -331,7 +338,7 @@ def _placed(docs: DataFrame, n: int, threshold: float, text_col: str) -> tuple[D
         .where(F.col("shared") >= F.ceil(F.col("size") * threshold - 1e-9))
         .select("node", "size", "l", "w", "d")
     )
-    vectors = cut(alive.mapInArrow(_vectors(threshold), "node bigint, size bigint, lists array<bigint>, weights array<bigint>, prefix array<bigint>"))
+    vectors = cut(alive.mapInArrow(nt.tidy(_vectors(threshold)), "node bigint, size bigint, lists array<bigint>, weights array<bigint>, prefix array<bigint>"))
     labels = spread_labels(vectors.select("node", F.explode("prefix").alias("hub")))
     placed = vectors.drop("prefix").join(labels, "node")
     cost = placed.groupBy("label").agg(F.ceil(F.sum(F.size("lists")) / FRAGMENT_ENTRIES).cast("int").alias("of"), F.count("*").alias("members")).where("members > 1")
@@ -351,7 +358,7 @@ def _parted(blocks: DataFrame) -> DataFrame:
 
 
 def _summed(blocks: DataFrame, threshold: float) -> DataFrame:
-    partial = _parted(blocks).mapInArrow(_overlaps(threshold), "a bigint, b bigint, both bigint, sizes bigint")
+    partial = _parted(blocks).mapInArrow(nt.tidy(_overlaps(threshold)), "a bigint, b bigint, both bigint, sizes bigint")
     total = partial.groupBy("a", "b").agg(F.sum("both").alias("both"), F.max("sizes").alias("sizes"))
     return total.withColumn("jaccard", F.col("both") / (F.col("sizes") - F.col("both"))).where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
 
@@ -369,7 +376,7 @@ def set_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, text_c
     the task; only pairs of fragmented blocks become rows. Sets in no block are left out.
     """
     whole, cuts = _placed(docs, n, threshold, text_col)
-    own = _parted(whole).mapInArrow(_overlaps(threshold, labels=True), "node bigint, label bigint")
+    own = _parted(whole).mapInArrow(nt.tidy(_overlaps(threshold, labels=True)), "node bigint, label bigint")
     return own.union(groups_of_pairs(_summed(cuts, threshold), "a", "b"))
 
 

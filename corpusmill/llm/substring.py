@@ -238,12 +238,12 @@ def marked(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFram
     texts = docs.where(F.col(text_col).isNotNull()).select(
         document_key(id_col, text_col).alias("key"), F.col(id_col).cast("bigint").alias("id_"), F.col(text_col).alias("text_")
     )
-    blobs = texts.select("key", "text_").mapInArrow(_anchors(length, period, ranges), "part int, blob binary")
-    found = blobs.repartitionById(ranges, F.col("part")).mapInArrow(_repeated, "key bigint, blob binary")
+    blobs = texts.select("key", "text_").mapInArrow(nt.tidy(_anchors(length, period, ranges)), "part int, blob binary")
+    found = blobs.repartitionById(ranges, F.col("part")).mapInArrow(nt.tidy(_repeated), "key bigint, blob binary")
     found = found.groupBy("key").agg(F.collect_list("blob").alias("marks"))
     near = texts.join(found, "key").select("key", "id_", "text_", "marks")
-    blobs = near.mapInArrow(_windows(length, period, ranges), "part int, blob binary")
-    found = blobs.repartitionById(ranges, F.col("part")).mapInArrow(_originals, "key bigint, blob binary")
+    blobs = near.mapInArrow(nt.tidy(_windows(length, period, ranges)), "part int, blob binary")
+    found = blobs.repartitionById(ranges, F.col("part")).mapInArrow(nt.tidy(_originals), "key bigint, blob binary")
     return found.groupBy("key").agg(F.collect_list("blob").alias("blobs"))
 
 
@@ -317,7 +317,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     # the row travels as one struct, so that no name of its columns can clash
     keyed = docs.select(document_key(id_col, text_col).alias("key"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
     found = marked(docs, length, id_col, text_col)
-    out = keyed.join(found, "key", "left").select(*(F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(names)), "blobs").mapInArrow(cut_all, docs.schema)
+    out = keyed.join(found, "key", "left").select(*(F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(names)), "blobs").mapInArrow(nt.tidy(cut_all), docs.schema)
     if chars_col in names:
         out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
     return out

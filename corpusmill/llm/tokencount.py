@@ -168,8 +168,8 @@ def dictionary(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "t
     with open(vocabulary, "rb") as f:
         ranks = f.read()
     texts = docs.select(F.col(text_col).alias("text_")).where("text_ <> ''")
-    found = texts.mapInArrow(_distinct, "hash bigint, token binary, n bigint").repartition("hash")
-    return found.mapInArrow(_pieces(ranks), "hash bigint, pieces bigint, n bigint")
+    found = texts.mapInArrow(nt.tidy(_distinct), "hash bigint, token binary, n bigint").repartition("hash")
+    return found.mapInArrow(nt.tidy(_pieces(ranks)), "hash bigint, pieces bigint, n bigint")
 
 
 def _frequent(table: DataFrame, most: int) -> DataFrame:
@@ -226,7 +226,7 @@ def token_counts(
             )
 
     rows = docs.select(document_key(id_col, text_col).alias("key"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text_"))
-    base = rows.mapInArrow(count, "key bigint, doc_id bigint, known bigint, hashes array<bigint>, times array<bigint>")
+    base = rows.mapInArrow(nt.tidy(count), "key bigint, doc_id bigint, known bigint, hashes array<bigint>, times array<bigint>")
     base = cut(base.dropDuplicates(["key"]))
     tail = base.select("key", F.explode(F.arrays_zip("hashes", "times")).alias("x")).select("key", F.col("x.hashes").alias("hash"), "x.times")
     tail = tail.join(table.select("hash", "pieces"), "hash").groupBy("key").agg(F.sum(F.col("times") * F.col("pieces")).alias("more"))
