@@ -51,21 +51,35 @@ def tags(
     meta = lambda key: F.coalesce(F.col("metadata")[key], F.lit("")) if has_meta else F.lit("")
     notes = F.coalesce(F.nullif(meta("description"), F.lit("")), meta("notes"))
     searched = F.lower(F.concat_ws(" ", meta("title"), notes, content if content_keywords else F.lit("")))
-    any_of = lambda words: F.expr(" OR ".join("contains(s_, '" + w.lower().replace("'", "\\'") + "')" for w in words))
+
+    def by_keyword(text_: Column) -> Column:
+        def any_of(words: Sequence[str]) -> Column:
+            out = text_.contains(words[0].lower())
+            for w in words[1:]:
+                out = out | text_.contains(w.lower())
+            return out
+
+        tests = [F.when(any_of(words), F.lit(tag)) for tag, words in keyword_rules.items() if words]
+        return F.array_compact(F.array(F.lit(None).cast("string"), *tests))
+
     found = [F.when(path.rlike(rule), F.lit(tag)) for rule, tag in path_rules.items()]
     found += [F.when(paths.basename(path).rlike(rule), F.lit(tag)) for rule, tag in file_rules.items()]
-    found += [F.when(any_of(words), F.lit(tag)) for tag, words in keyword_rules.items()]
+    # as the variable of a function the lowered text is made once, not once for every keyword
+    keywords = F.element_at(F.transform(F.array(searched), by_keyword), 1)
     found += characteristics(content)
     languages = F.transform(text.code_languages(content, lower=True), lambda x: F.concat(F.lit("lang:"), x))
     languages = F.when(text.has_fence(content), languages).otherwise(F.array().cast("array<string>"))
-    parts = [F.array_compact(F.array(*found)), languages] + ([from_metadata(F.col("metadata"))] if has_meta else [])
-    keep = ["path", "content"] + (["metadata"] if has_meta else [])
-    return docs.select(*keep, searched.alias("s_")).select("path", F.array_sort(F.array_distinct(F.concat(*parts))).alias("tags"))
+    parts = [F.array_compact(F.array(*found)), keywords, languages] + ([from_metadata(F.col("metadata"))] if has_meta else [])
+    return docs.select("path", F.array_sort(F.array_distinct(F.concat(*parts))).alias("tags"))
 
 
 def long_form(tagged: DataFrame) -> DataFrame:
-    """(path, tag)."""
-    return tagged.select("path", F.explode("tags").alias("tag"))
+    """(path, tag).
+
+    Every document has a tag of its length. An inner explode would add a filter on the
+    array's size, and with it all rules a second time.
+    """
+    return tagged.select("path", F.explode_outer("tags").alias("tag"))
 
 
 def inverted(tagged: DataFrame) -> DataFrame:
