@@ -16,6 +16,8 @@ Plan
    ``length`` words around an anchor is hashed, and again grouped by range. No pair
    of places is ever formed, so a passage with thousands of copies costs its copies.
 3. Runs of windows become spans of words.
+``remove_repeats`` cuts every word under a later window, and does so again on what is
+left, as words that come together make new windows, until no window stands twice.
 Every step is exact but for 64-bit hash collisions; nothing is capped.
 
 Defined results
@@ -36,6 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import numtext as nt
+from corpusmill.session import cut, drop_cut
 
 LENGTH = 50
 #: Perfect difference sets: every non-zero difference modulo the period once.
@@ -193,22 +196,28 @@ def _windows(length: int, period: int, ranges: int):
     return run
 
 
-def _originals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A range of windows: per document its repeated windows, the originals and the others."""
-    found = from_ranges(batches)
-    if found is None or not len(found[0]):
-        return
-    h, pos, key, _ = found
-    same = h[1:] == h[:-1]
-    later, first = np.zeros(len(h), bool), np.zeros(len(h), bool)
-    later[1:] = same
-    first[:-1] = same & ~later[:-1]
-    many = later | first
-    rows = list(by_key(key[many], pos[many], first[many]))
-    for a in range(0, len(rows), 20000):
-        part = rows[a : a + 20000]
-        blobs = [nt.pack(np.sort(p[f]), np.sort(p[~f])) for _, (p, f) in part]
-        yield pa.RecordBatch.from_arrays([pa.array(nt.as_long(np.array([k for k, _ in part], nt.U64))), nt.binaries(blobs)], names=["key", "blob"])
+def _originals(length: int):
+    """Per document its repeated windows: the originals, the others, and those of the others that overlap their own original, with its position."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = from_ranges(batches)
+        if found is None or not len(found[0]):
+            return
+        h, pos, key, _ = found
+        same = h[1:] == h[:-1]
+        later, first = np.zeros(len(h), bool), np.zeros(len(h), bool)
+        later[1:] = same
+        first[:-1] = same & ~later[:-1]
+        source = np.maximum.accumulate(np.where(later, 0, np.arange(len(h))))
+        near = later & (key == key[source]) & (pos.astype(np.int64) - pos[source].astype(np.int64) < length)
+        many = later | first
+        rows = list(by_key(key[many], pos[many], first[many], near[many], pos[source][many]))
+        for a in range(0, len(rows), 20000):
+            part = rows[a : a + 20000]
+            blobs = [nt.pack(np.sort(p[f]), np.sort(p[~f]), p[o], q[o]) for _, (p, f, o, q) in part]
+            yield pa.RecordBatch.from_arrays([pa.array(nt.as_long(np.array([k for k, _ in part], nt.U64))), nt.binaries(blobs)], names=["key", "blob"])
+
+    return run
 
 
 def runs_of(pos: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,12 +234,19 @@ def _merged(blobs: list[bytes], length: int) -> tuple[tuple[np.ndarray, np.ndarr
     return tuple(runs_of(np.concatenate([p[i] for p in parts]), length) for i in (0, 1))  # type: ignore[return-value]
 
 
+def _cuts(blobs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spans under later windows; of a window that overlaps its own original, what comes after that."""
+    _, later, near, source = (np.concatenate(x).astype(np.int64) for x in zip(*(nt.unpack(b) for b in blobs)))
+    far = np.setdiff1d(later, near)
+    return np.concatenate([far, source + length]), np.concatenate([far, near]) + length
+
+
 def document_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col))
 
 
-def marked(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
-    """(key, blobs): packed positions of each document's repeated windows."""
+def marked(docs: DataFrame, length: int, id_col: str, text_col: str, few: bool = False) -> DataFrame:
+    """(key, blobs): packed positions of each document's repeated windows. ``few``: where few anchors repeat."""
     if length < 2:
         raise ValueError("a passage has two words at least")
     period = period_for(length)
@@ -241,9 +257,11 @@ def marked(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFram
     blobs = texts.select("key", "text_").mapInArrow(nt.tidy(_anchors(length, period, ranges)), "part int, blob binary")
     found = blobs.repartitionById(ranges, F.col("part")).mapInArrow(nt.tidy(_repeated), "key bigint, blob binary")
     found = found.groupBy("key").agg(F.collect_list("blob").alias("marks"))
+    if few:  # written, so that the planner sees its size and need not shuffle the texts
+        found = cut(found)
     near = texts.join(found, "key").select("key", "id_", "text_", "marks")
     blobs = near.mapInArrow(nt.tidy(_windows(length, period, ranges)), "part int, blob binary")
-    found = blobs.repartitionById(ranges, F.col("part")).mapInArrow(nt.tidy(_originals), "key bigint, blob binary")
+    found = blobs.repartitionById(ranges, F.col("part")).mapInArrow(nt.tidy(_originals(length)), "key bigint, blob binary")
     return found.groupBy("key").agg(F.collect_list("blob").alias("blobs"))
 
 
@@ -274,18 +292,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     return found.mapInArrow(spans, "doc_id bigint, start_word bigint, end_word bigint, original boolean")
 
 
-def cut_words(text: bytes, first: tuple[np.ndarray, np.ndarray], later: tuple[np.ndarray, np.ndarray]) -> bytes:
-    """The text without the words of ``later`` that no run of ``first`` covers."""
+def cut_words(text: bytes, start: np.ndarray, end: np.ndarray) -> bytes:
+    """The text without the words of these spans."""
     buf = np.frombuffer(text, np.uint8)
     begin, stop, _ = nt.word_bounds(buf, np.array([0, len(buf)]), nt.SPACE)
-    n = len(begin)
-    cover = []
-    for a, b in (first, later):
-        edge = np.zeros(n + 1, np.int64)
-        np.add.at(edge, a, 1)
-        np.add.at(edge, b, -1)
-        cover.append(np.cumsum(edge[:-1]) > 0)
-    drop = cover[1] & ~cover[0]
+    edge = np.zeros(len(begin) + 1, np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, end, -1)
+    drop = np.cumsum(edge[:-1]) > 0
     if not drop.any():
         return text
     # a dropped word goes with the white space after it
@@ -295,11 +309,8 @@ def cut_words(text: bytes, first: tuple[np.ndarray, np.ndarray], later: tuple[np
     return buf[np.cumsum(edge[:-1]) == 0].tobytes()
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """``docs`` with every repeated passage cut but its first place.
-
-    Documents of which no word is left go. Where ``chars_col`` exists it follows the text.
-    """
+def _without(docs: DataFrame, found: DataFrame, length: int, id_col: str, text_col: str, chars_col: str) -> DataFrame:
+    """``docs`` without the words under the later windows of ``found``."""
     names = docs.columns
     at = names.index(text_col)
 
@@ -307,7 +318,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         for batch in batches:
             text, blobs = batch.column(at), batch.column(len(names)).to_pylist()
             new = [
-                None if t is None else t if m is None else cut_words(t.encode(), *_merged(m, length)).decode()
+                None if t is None else t if m is None else cut_words(t.encode(), *_cuts(m, length)).decode()
                 for t, m in zip(text.to_pylist(), blobs)
             ]
             keep = [m is None or bool(t.strip(" \t\n\v\f\r")) for t, m in zip(new, blobs)]
@@ -316,8 +327,27 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     # the row travels as one struct, so that no name of its columns can clash
     keyed = docs.select(document_key(id_col, text_col).alias("key"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
-    found = marked(docs, length, id_col, text_col)
     out = keyed.join(found, "key", "left").select(*(F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(names)), "blobs").mapInArrow(nt.tidy(cut_all), docs.schema)
     if chars_col in names:
         out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
     return out
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """``docs`` with every repeated passage cut but its first place.
+
+    In the result no ``length`` words in a row stand twice; every word that is cut stands
+    at an earlier place, in the same words. Every round cuts a word, so the rounds end.
+    Documents of which no word is left go. Where ``chars_col`` exists it follows the text.
+    """
+    given = docs
+    while True:
+        found = cut(marked(docs, length, id_col, text_col, few=docs is not given))
+        if found.isEmpty():
+            drop_cut(found)
+            return docs
+        left = cut(_without(docs, found, length, id_col, text_col, chars_col))
+        drop_cut(found)
+        if docs is not given:
+            drop_cut(docs)
+        docs = left

@@ -477,6 +477,35 @@ def test_substring_awkward(odd, none):
     assert substring.repeated_spans(none).count() == 0 and substring.remove_repeats(none).count() == 0
 
 
+def words_left(kept, length):
+    """The documents' words; fails if ``length`` words in a row stand twice."""
+    found = {r.doc_id: r.text.split() for r in kept.collect()}
+    windows = [tuple(w[i : i + length]) for w in found.values() for i in range(len(w) - length + 1)]
+    assert len(windows) == len(set(windows))
+    return found
+
+
+def test_substring_leaves_no_window_twice(spark):
+    docs = [(1, PASSAGE), (2, f"x {PASSAGE} y"), (3, f"x {PASSAGE}"), (4, f"{PASSAGE} y")]
+    assert words_left(substring.remove_repeats(spark.createDataFrame(docs, "doc_id bigint, text string")), 50) == {1: PASSAGE.split(), 2: ["x", "y"]}
+    # words that come together when a passage goes make windows that repeat; a text that repeats in itself keeps its first place
+    left, right = (" ".join(f"{k}{i}" for i in range(30)) for k in "lr")
+    other = PASSAGE.replace("shared", "other")
+    docs = [(1, PASSAGE), (2, other), (3, f"{left} {PASSAGE} {right}"), (4, f"{left} {other} {right}"), (5, "a " * 120)]
+    found = words_left(substring.remove_repeats(spark.createDataFrame(docs, "doc_id bigint, text string")), 50)
+    assert found == {1: PASSAGE.split(), 2: other.split(), 3: f"{left} {right}".split(), 5: ["a"] * 50}
+
+
+@pytest.mark.parametrize("length", [3, 10])
+def test_substring_recount(spark, length):
+    rng = random.Random(length)
+    docs = [(i, " ".join(str(rng.randrange(4)) for _ in range(rng.randrange(0, 40)))) for i in range(60)]
+    found = words_left(substring.remove_repeats(spark.createDataFrame(docs, "doc_id bigint, text string"), length), length)
+    for i, w in found.items():
+        rest = iter(docs[i][1].split())
+        assert all(x in rest for x in w)
+
+
 # --- mixing
 
 
