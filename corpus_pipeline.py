@@ -33,8 +33,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every document in the training sequences."""
-    return packing.pack(docs)
+    """The place of every document in the training sequences, which follow the curriculum's order."""
+    return packing.pack(docs, in_order=True)
 
 
 STAGES = [

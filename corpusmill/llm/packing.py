@@ -11,6 +11,11 @@ Plan
     id to shards of about ``shard_tokens`` tokens; the number of shards follows from
     the table and not from the cluster, so that the result is the same on any. Each
     shard is packed in order of id by one task, row by row, in constant memory.
+    With ``in_order`` documents keep the order of the table: running sums of tokens
+    over its parts give the place of each, shards are contiguous ranges of about
+    ``shard_tokens`` tokens, and each is packed in that order. The order of Parquet
+    files that are read as they are is by file and row; of any other plan, by
+    partition and row.
 
 Defined results
     null or empty text: no tokens, in no bin. Null id: packed, last of its shard.
@@ -24,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.words import word_count
@@ -90,16 +95,42 @@ def _pieces(packer: Packer, size: int) -> Iterator[tuple[int, int, int, int]]:
         start += n
 
 
+def _arrival(docs: DataFrame) -> list[Column]:
+    """Which part of the table a row stands in (number, name), and where in it."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        # files are read in splits and not in their order
+        name = F.col("_metadata.file_name")
+        number = F.coalesce(F.expr("try_cast(regexp_extract(_metadata.file_name, 'part-([0-9]+)', 1) as bigint)"), F.lit(0).cast("bigint"))
+        return [number.alias("part"), name.alias("name"), F.col("_metadata.row_index").alias("at")]
+    place = F.monotonically_increasing_id()
+    return [F.shiftright(place, 33).alias("part"), F.lit("").alias("name"), place.alias("at")]
+
+
+def _before(rows: DataFrame) -> DataFrame:
+    """``rows`` with the tokens that stand before each in the table."""
+    inside = Window.partitionBy("part", "name").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a part of the table
+    ahead = Window.orderBy("part", "name").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut(rows.groupBy("part", "name").agg(F.sum("n").alias("sum"))).withColumn("first", F.coalesce(F.sum("sum").over(ahead), F.lit(0))).drop("sum")
+    found = rows.join(F.broadcast(starts), ["part", "name"])
+    return found.withColumn("before", F.col("first") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+
+
 def pack(
-    docs: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text", in_order: bool = False
 ) -> DataFrame:
     """(shard, bin, offset, doc_id, start, n_tokens): the place of each piece of each document."""
     spark = docs.sparkSession
-    rows = cut(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), word_count(F.col(text_col)).alias("n")).where("n > 0"))
+    place = _arrival(docs) if in_order else []
+    rows = cut(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), word_count(F.col(text_col)).alias("n"), *place).where("n > 0"))
     total = rows.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-int(total) // shard_tokens))
     parts = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(shards)).cast("int"))
+    if in_order:
+        rows = _before(rows).withColumn("shard", F.floor(F.col("before") / shard_tokens).cast("int"))
+    else:
+        rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(shards)).cast("int"))
+    order = ["before"] if in_order else [F.asc_nulls_last("doc_id"), "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, shard = Packer(capacity, open_bins), None
@@ -120,5 +151,5 @@ def pack(
                 names=["shard", "bin", "offset", "doc_id", "start", "n_tokens"],
             )
 
-    placed = rows.repartitionById(parts, F.pmod("shard", F.lit(parts)).cast("int")).sortWithinPartitions("shard", F.asc_nulls_last("doc_id"), "n")
+    placed = rows.repartitionById(parts, F.pmod("shard", F.lit(parts)).cast("int")).sortWithinPartitions("shard", *order)
     return placed.select("shard", "doc_id", "n").mapInArrow(run, "shard int, bin bigint, offset bigint, doc_id bigint, start bigint, n_tokens bigint")

@@ -236,6 +236,28 @@ def test_packing_awkward(odd, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_in_order(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "w " * (1 + i * i % 97), "ab"[i % 8 == 0]) for i in range(900)], "doc_id bigint, text string, source string")
+    schedule = {"a": [(0.0, 3.0), (1.0, 1.0)], "b": [(0.0, 0.0), (1.0, 4.0)]}
+    arrived = [(r.doc_id, r.n_tokens) for r in mixing.positions(docs, schedule).collect()]
+    assert len({d for d, _ in arrived}) < len(arrived)
+    mixing.mix(docs, schedule).write.parquet(str(tmp_path / "mixed"))
+    written = spark.read.parquet(str(tmp_path / "mixed"))
+    want, shards, sum_ = [], {}, 0
+    for d, n in arrived:
+        shards.setdefault(sum_ // 5000, []).append((d, n))
+        sum_ += n
+    for shard, rows_ in shards.items():
+        want += [(shard, b, o, rows_[i][0], s, n) for i, s, n, b, o in packing.pack_sizes([n for _, n in rows_], 100, 4)]
+    assert len(shards) > 3
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")  # splits are read largest first
+    try:
+        for mixed in (written, mixing.mix(docs, schedule)):
+            assert rows(packing.pack(mixed, 100, 4, 5000, in_order=True)) == sorted(want, key=repr)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 # --- WARC
 
 
