@@ -14,13 +14,17 @@ Plan of ``deduplicate``
    one row per task): the original is the first response by (date, record id).
    Revisits and repeated responses join their original.
 3. Decisions (what changes, by offset) go back to their file, where one task reads it
-   again and writes a new archive with fresh headers. No payload is ever shuffled.
+   again and writes a new archive. No payload is ever shuffled. Records that stay are
+   copied byte for byte (a response without a payload digest gets one); a new revisit
+   keeps its HTTP headers and all WARC headers but those of type, lengths, digests
+   and of what it refers to.
 
 Defined results
     Response that is the first of its digest: kept with its payload. Other responses
     of the digest: rewritten as revisits. Revisits: refer to the original response;
     without one (or without a digest) kept as they came, ``resolved`` false. Other
-    record types: copied. Records repeated under one id: the first by (file, offset).
+    record types: copied. Records repeated under one id: the first by (file, offset);
+    records without an id are never repeats.
     Ties of date: by record id. Empty payload: a payload like any other. No file or an
     empty file: no rows. ``captures`` leaves out rows whose URL or HTML is null.
 """
@@ -98,6 +102,35 @@ def payload_of(headers: dict, block: bytes) -> bytes:
     return block if headers.get("warc-type") != "revisit" else b""
 
 
+def edited(raw: bytes, changes: dict[str, str | None], block: bytes) -> bytes:
+    """A record with another block and some headers replaced, added or (None) left out; the others stay as they are."""
+    changes = changes | {"WARC-Block-Digest": digest_of(block), "Content-Length": str(len(block))}
+    first, *lines = raw.partition(b"\r\n\r\n")[0].split(b"\r\n")
+    gone, out, dropped = {name.lower().encode() for name in changes}, [first], False
+    for line in lines:
+        if line[:1] not in (b" ", b"\t"):  # else a folded line, which goes with the one before
+            dropped = line.partition(b":")[0].strip().lower() in gone
+        if not dropped:
+            out.append(line)
+    out += [f"{name}: {' '.join(value.split())}".encode() for name, value in changes.items() if value is not None]
+    return b"\r\n".join(out) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def rewritten_record(raw: bytes, action: str, refers: list[str | None]) -> tuple[dict, int, bytes]:
+    """Fields, payload bytes and content of a record as it is written: kept, or made to refer to an original."""
+    row, payload = parsed(raw)
+    h, block = decode(raw)
+    if action != "revisit":
+        fresh = row["digest"] is not None and "warc-payload-digest" not in h
+        return row, len(payload), edited(raw, {"WARC-Payload-Digest": row["digest"]}, block) if fresh else raw
+    row |= {"warc_type": "revisit"} | dict(zip(("refers_to", "refers_to_uri", "refers_to_date"), refers))
+    named = {name: row[key] for name, key in FIELDS if key in ("warc_type", "digest", "refers_to", "refers_to_uri", "refers_to_date")}
+    if h.get("warc-type") == "response":
+        block = block[: len(block) - len(payload)]  # its HTTP headers
+    profile = h.get("warc-profile") if h.get("warc-type") == "revisit" else None
+    return row, 0, edited(raw, named | {"WARC-Profile": profile or PROFILE}, block)
+
+
 def train(records: DataFrame, sample: int = SAMPLE_RECORDS) -> bytes | None:
     """A dictionary of at most ``sample`` records; None if they are too few for one."""
     import zstandard
@@ -195,11 +228,14 @@ class Writer:
         self.out, self.at = None, 0
 
     def add(self, record: dict, payload: bytes) -> tuple[int, int]:
+        return self.put(encode(record, payload))
+
+    def put(self, content: bytes) -> tuple[int, int]:
         if self.out is None:
             self.out = self.fs.open_output_stream(self.partial, compression=None)
             self.out.write(self.codec.head)
             self.at = len(self.codec.head)
-        raw = self.codec.pack(encode(record, payload))
+        raw = self.codec.pack(content)
         self.out.write(raw)
         self.at += len(raw)
         return self.at - len(raw), len(raw)
@@ -328,13 +364,10 @@ def deduplicate(spark: SparkSession, folder: str, out: str) -> DataFrame:
             action, *refers = decisions.get(at, ("keep",))
             if action == "drop":
                 continue
-            row, payload = parsed(raw)
-            old = row["warc_type"]
-            if action == "revisit":
-                row |= {"warc_type": "revisit"} | dict(zip(("refers_to", "refers_to_uri", "refers_to_date"), refers))
-                payload = b""
-            offset, length = writer.add(row, payload)
-            rows.append(row | {"old_type": old, "file": writer.path, "offset": offset, "length": length, "payload_bytes": len(payload), "resolved": old != "revisit" or action == "revisit"})
+            old = decode(raw)[0].get("warc-type")
+            row, size, content = rewritten_record(raw, action, refers)
+            offset, length = writer.put(content)
+            rows.append(row | {"old_type": old, "file": writer.path, "offset": offset, "length": length, "payload_bytes": size, "resolved": old != "revisit" or action == "revisit"})
             if len(rows) == 10000:
                 yield _table(rows, names)
                 rows = []

@@ -289,6 +289,45 @@ def test_warc_round_trip_and_revisits(spark, tmp_path, kind):
         assert warc.digest_of(payload) == h["warc-payload-digest"] and warc.digest_of(block) == h["warc-block-digest"] and len(block) == int(h["content-length"])
 
 
+def archived(path, *records):
+    """An archive of records as another crawler writes them: header lines and a block each."""
+    codec = warc.Codec("gzip")
+    path.parent.mkdir(exist_ok=True)
+    raws = ["\r\n".join(["WARC/1.0", *lines, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n" for lines, block in records]
+    path.write_bytes(b"".join(map(codec.pack, raws)))
+    return raws
+
+
+def unarchived(found):
+    out = []
+    for r in found:
+        with open(r.file, "rb") as f:
+            f.seek(r.offset)
+            out.append(warc.Codec("gzip").unpack(f.read(r.length)))
+    return out
+
+
+def test_warc_keeps_what_archives_hold(spark, tmp_path):
+    http = b"HTTP/1.1 404 Not Found\r\nContent-Type: image/png\r\nContent-Encoding: gzip\r\nX-A: 1\r\n\r\n"
+    web = "Content-Type: application/http; msgtype=response"
+    head = lambda i, kind, *more: [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:{i}>", f"WARC-Date: 2024-01-0{i}T00:00:00Z", f"WARC-Target-URI: http://a/{i}", *more]
+    digest = f"WARC-Payload-Digest: {warc.digest_of(b'body')}"
+    raws = archived(
+        tmp_path / "in" / "a.warc.gz",
+        (head(1, "warcinfo", "Content-Type: application/warc-fields"), b"software: x\r\n"),
+        (head(2, "response", digest, web, "WARC-IP-Address: 10.0.0.1", "WARC-Concurrent-To: <urn:8>", "WARC-Concurrent-To: <urn:9>"), http + b"body"),
+        (head(3, "response", web, "WARC-IP-Address: 10.0.0.2"), http + b"body"),
+        (head(4, "revisit", "WARC-Payload-Digest: sha1:NONE", "WARC-Profile: http://x/server-not-modified", web), http),
+        (head(5, "request", "Content-Type: application/http; msgtype=request"), b"GET / HTTP/1.1\r\n\r\n"),
+    )
+    found = sorted(warc.deduplicate(spark, str(tmp_path / "in"), str(tmp_path / "out")).collect(), key=lambda r: r.offset)
+    new = unarchived(found)
+    assert [new[i] for i in (0, 1, 3, 4)] == [raws[i] for i in (0, 1, 3, 4)]
+    h, block = warc.decode(new[2])
+    assert block == http and h["warc-ip-address"] == "10.0.0.2" and h["content-type"] == web[14:] and int(h["content-length"]) == len(http)
+    assert h["warc-type"] == "revisit" and h["warc-refers-to"] == "<urn:2>" and h["warc-block-digest"] == warc.digest_of(http) and h["warc-payload-digest"] == digest[21:]
+
+
 def test_warc_empty(spark, tmp_path):
     empty = spark.createDataFrame([], "page_id bigint, url string, html string")
     warc.write(warc.captures(empty), str(tmp_path / "in"))
