@@ -323,9 +323,12 @@ def resolve(found: DataFrame) -> DataFrame:
     a row stay as they are.
     """
     # written, so that the planner sees its size: as a rule nothing repeats, and the join is a map
-    repeats = cut(found.groupBy(F.xxhash64("record_id").alias("rid")).agg(F.min(F.struct("file", "offset")).alias("m"), F.count("*").alias("times")).where("times > 1").drop("times"))
     place = F.struct("file", "offset")
-    marked = found.select("file", "offset", "record_id", "warc_type", "target_uri", "date", "digest").join(repeats, F.xxhash64("record_id") == F.col("rid"), "left")
+    known = found.where("record_id is not null").select("record_id", "file", "offset", F.xxhash64("record_id").alias("hash"))
+    # hashes are shuffled first, being short; the ids decide
+    suspects = cut(known.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").drop("times"))
+    repeats = cut(known.join(suspects, "hash").groupBy(F.col("record_id").alias("rid")).agg(F.min(place).alias("m"), F.count("*").alias("times")).where("times > 1").drop("times"))
+    marked = found.select("file", "offset", "record_id", "warc_type", "target_uri", "date", "digest").join(repeats, F.col("record_id") == F.col("rid"), "left")
     marked = marked.withColumn("again", F.coalesce(place != F.col("m"), F.lit(False))).drop("rid", "m")
     captured = marked.where("not again and digest is not null and warc_type in ('response', 'revisit')")
     first = captured.where("warc_type = 'response'").groupBy("digest").agg(F.min(F.struct("date", "record_id", "target_uri", "file", "offset")).alias("o"))

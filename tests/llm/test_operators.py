@@ -328,6 +328,14 @@ def test_warc_keeps_what_archives_hold(spark, tmp_path):
     assert h["warc-type"] == "revisit" and h["warc-refers-to"] == "<urn:2>" and h["warc-block-digest"] == warc.digest_of(http) and h["warc-payload-digest"] == digest[21:]
 
 
+def test_warc_records_without_ids_stay(spark, tmp_path):
+    bare = lambda i: (["WARC-Type: response", f"WARC-Date: 2024-01-0{i}T00:00:00Z"], b"HTTP/1.1 200 OK\r\n\r\nbody%d" % i)
+    named = [([*bare(i)[0], "WARC-Record-ID: <urn:a>"], bare(i)[1]) for i in (4, 5)]
+    archived(tmp_path / "in" / "a.warc.gz", *map(bare, (1, 2, 3)), *named)
+    found = warc.deduplicate(spark, str(tmp_path / "in"), str(tmp_path / "out")).collect()
+    assert sorted((r.date[9:10], r.record_id, r.warc_type) for r in found) == [(str(i), "<urn:a>" if i == 4 else None, "response") for i in (1, 2, 3, 4)]
+
+
 def test_warc_empty(spark, tmp_path):
     empty = spark.createDataFrame([], "page_id bigint, url string, html string")
     warc.write(warc.captures(empty), str(tmp_path / "in"))
