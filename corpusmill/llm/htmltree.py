@@ -11,6 +11,10 @@ ATTRIBUTE = re.compile(r"""(class|id|role|href)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^
 SPLIT = re.compile(r"[^a-z0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe svg math".split())
+#: Of these, what holds text only, to the end of the page if nothing closes it, and what may be self-closed.
+PLAIN, FOREIGN = frozenset("script style textarea".split()), frozenset("svg math".split())
+#: A slash at the end of an unquoted value is part of the value.
+UNQUOTED = re.compile(r"""=\s*[^\s"'=<>`]+/\Z""")
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
     "li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul title head html br".split()
@@ -32,12 +36,39 @@ class Tree:
     texts: list[tuple[int, str]] = field(default_factory=list)
 
 
+def self_closed(tag: str, attributes: str) -> bool:
+    return tag in FOREIGN and attributes.endswith("/") and not UNQUOTED.search(attributes)
+
+
+def plain_end(source: str, tag: str, at: int) -> int:
+    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+    return end.end() if end else len(source)
+
+
+def raw_ends(source: str, at: int) -> dict[int, int]:
+    """Where the raw elements from ``at`` on end, by the end of their opening tag; unclosed ones are left out."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {tag: [] for tag in RAW - PLAIN}
+    while m := TOKEN.search(source, at):
+        at = m.end()
+        tag = (m.group(2) or "").lower()
+        if tag in PLAIN and not m.group(1):
+            at = plain_end(source, tag, at)
+        elif tag in opened and not m.group(1):
+            if not self_closed(tag, m.group(3)):
+                opened[tag].append(at)
+        elif tag in opened and opened[tag]:
+            ends[opened[tag].pop()] = at
+    return ends
+
+
 def parse(source: str) -> Tree:
     """Elements and texts; unclosed and misnested tags are repaired, scripts and comments go."""
     tree = Tree()
     tags, parents, depths, tokens, texts = tree.tags, tree.parents, tree.depths, tree.tokens, tree.texts
     stack: list[int] = []
     at = 0
+    ends: dict[int, int] | None = None
 
     def open_(tag: str, attributes: str) -> None:
         found: tuple[str, ...] = ()
@@ -76,8 +107,12 @@ def parse(source: str) -> Tree:
             close_upto((tag,), frozenset())
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            at = end.end() if end else len(source)
+            if tag in PLAIN:
+                at = plain_end(source, tag, at)
+            elif not self_closed(tag, m.group(3)):
+                if ends is None:
+                    ends = raw_ends(source, m.start())
+                at = ends.get(at, at)
             continue
         if tag in CLOSES_P:
             close_upto(("p",), P_SCOPE)

@@ -355,6 +355,20 @@ def test_parser_repairs():
     assert all(p < i for i, p in enumerate(tree.parents))
 
 
+@pytest.mark.parametrize(
+    "source, said",
+    [
+        ('<p>a<svg width="1"/>b<math/>c<svg><svg/>no<svg>no</svg>no</svg>d', "abcd"),
+        ("<p>a<noscript>b<template>c<iframe src=x/>d<svg>e", "abcde"),
+        ("<p>a<iframe/>b<iframe>no</iframe>c", "abc"),
+        ("<p>a<template>no<template>no</template>no</template>b<svg href=http://x/>no</svg>c", "abc"),
+        ("<p>a<template>no<script>'</template>'</script>no<!-- </template> -->no</template>b<script>no", "ab"),
+    ],
+)
+def test_parser_reads_past_raw_tags(source, said):
+    assert "".join(t for _, t in htmltree.parse(source).texts) == said
+
+
 def test_extraction_held_out_accuracy(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     forest = extraction.fit(pages.where("page_id % 2 = 0"))
