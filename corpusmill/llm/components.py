@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.session import cut, drop_cut
 
 
-def spread_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def spread_labels(edges: DataFrame) -> DataFrame:
     """``edges(node, hub)``, both bigint -> ``(node, label)``.
 
     Nodes that share a hub, directly or over other nodes and hubs, get one label:
@@ -24,7 +24,7 @@ def spread_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = cut(star.union(star.select(F.col("hub").alias("node"), "hub").distinct()).distinct())
     labels = cut(edges.groupBy("node").agg(F.min("hub").alias("label")))
     before = None
-    for _ in range(rounds):
+    while True:
         low = edges.join(labels, "node").groupBy("hub").agg(F.min("label").alias("low"))
         near = edges.join(low, "hub").groupBy("node").agg(F.min("low").alias("near"))
         far = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
@@ -37,10 +37,3 @@ def spread_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
             drop_cut(edges)
             return labels
         before = total
-    raise RuntimeError(f"labels still changed after {rounds} rounds")
-
-
-def groups_of_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Components of the graph whose edges are the rows of ``pairs``: (node, label)."""
-    edges = pairs.select(F.col(a).alias("node"), F.col(a).alias("hub")).union(pairs.select(F.col(b).alias("node"), F.col(a).alias("hub")))
-    return spread_labels(edges)

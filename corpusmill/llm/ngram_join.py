@@ -15,22 +15,23 @@ Plan
 3. Back by node: a node with fewer than ceil(t * size) shared n-grams cannot
    pair and drops out. The others know their prefix in the global order (rarest
    first): similar sets share an entry of both prefixes.
-4. Nodes that share prefix entries form blocks. A block's list order is cut into
-   fragments; each fragment counts the overlaps of its part as a matrix product
-   over sets sorted by size, skipping blocks of sizes that cannot reach t; the
-   partial counts are summed per pair and the threshold decides.
+4. Nodes that share prefix entries form blocks, and a block of many sets is cut into
+   tiles of two strips of sizes that can reach t. The order of the lists is cut into
+   fragments, at least ``FRAGMENTS``; each fragment of each tile counts the overlaps
+   of its part as a matrix product, in a task of its own. The partial counts are
+   summed per pair where the tile's fragments meet, and the threshold decides.
 Every step is exact but for 64-bit hash collisions. No candidate is capped.
 
-Result of ``similar_pairs``: (doc_a, doc_b, jaccard). Documents with equal sets
-are represented by the smallest id: each other copy is listed with it (jaccard
-1), and similar sets are listed by their representatives. So the full set of
-pairs is the result with each representative replaced by any of its copies.
+Result of ``similar_classes``: (doc_id, class_id, links), one row per document.
+``links`` is the number of other documents at the threshold or over it, copies
+included. Documents that are similar, directly or over others, are one class, named
+by its smallest id. ``similar_pairs`` lists the pairs themselves.
 
 Defined results
-    null text, or no word in it: pairs with nothing. Null id: not taken part.
-    Repeated rows (same id): one document if the texts agree; the id is never
-    paired with itself. Ties do not arise. Empty table: no rows. Other columns
-    are not read.
+    null text, or no word in it: a class of its own, no links. Null id: not taken part.
+    Repeated rows (same id): one document if the sets agree; each different set of
+    one id is a row, and counts as another document. Ties do not arise. Empty table:
+    no rows. Ids are integers, or what casts to bigint. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -45,11 +46,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import numtext as nt
-from corpusmill.llm.components import groups_of_pairs, spread_labels
+from corpusmill.llm.components import spread_labels
 from corpusmill.session import cut
 
 N, THRESHOLD = 5, 0.4
-FRAGMENT_ENTRIES = 4_000_000
+#: Fragments of the order that any block has; a large block has more, of about so many entries.
+FRAGMENTS, FRAGMENT_ENTRIES = 4, 1_000_000
+#: Sets in a strip of a large block, about.
+STRIP = 1024
 #: Texts of about so many bytes are cut into n-grams at once.
 MAP_BYTES = 12 << 20
 BLOCK, WIDTH = 1024, 4096
@@ -209,83 +213,126 @@ def _vectors(threshold: float):
     return run
 
 
-def _overlaps(threshold: float, labels: bool = False):
-    """Blocks' fragments: partial overlap of each pair of sets whose sizes allow t.
+def _overlaps(threshold: float):
+    """Partial overlaps of one fragment of the order in one tile: (label, a, b, split, blob).
 
-    ``labels``: for whole blocks the group of each set instead, (node, label).
+    The blob holds the sets, their sizes and copies, and each pair with its count.
     """
 
-    def count(block: int, whole: bool, node: np.ndarray, size: np.ndarray, lists: list, weights: list):
-        order = np.lexsort((node, size))
-        node, size = node[order], size[order]
-        length = np.array([len(lists[i]) for i in order])
+    def count(size: np.ndarray, own: np.ndarray, lists: list, weights: list, square: bool):
+        length = np.array([len(x) for x in lists])
         off = np.concatenate([[0], np.cumsum(length)])
-        name, back, = np.unique(np.concatenate([lists[i] for i in order]), return_inverse=True)
-        flat = np.concatenate([weights[i] for i in order])
+        name, back = np.unique(np.concatenate(lists), return_inverse=True)
         weight = np.zeros(len(name), np.float32)
-        weight[back] = flat
-        row = np.repeat(np.arange(len(node)), length)
-        m = len(node)
-        for i in range(0, m, BLOCK):
-            for j in range(i, m, BLOCK):
-                if size[min(i + BLOCK, m) - 1] < threshold * size[j]:
+        weight[back] = np.concatenate(weights)
+        m, half = len(size), len(size) if square else int(own.sum())
+        for i in range(0, half, BLOCK):
+            for j in range(i if square else half, m, BLOCK):
+                rows, cols = min(BLOCK, half - i), min(BLOCK, m - j)
+                if size[i + rows - 1] < threshold * size[j]:
                     break  # sorted: all further sets are larger still
-                total = np.zeros((min(BLOCK, m - i), min(BLOCK, m - j)), np.float32)
+                if size[j + cols - 1] < threshold * size[i]:
+                    continue
+                total = np.zeros((rows, cols), np.float32)
                 for c in range(0, len(name), WIDTH):
-                    total += dense(row, back, off, i, c, len(name), m) * weight[c : c + WIDTH] @ dense(row, back, off, j, c, len(name), m).T
+                    total += dense(back, off, i, i + rows, c, len(name)) * weight[c : c + WIDTH] @ dense(back, off, j, j + cols, c, len(name)).T
                 x, y = np.nonzero(total)
                 both = total[x, y].astype(np.int64)
                 x, y = x + i, y + j
-                fit = (x < y) & (size[x] >= threshold * size[y])
-                if whole:
-                    fit &= both / (size[x] + size[y] - both) >= threshold
-                x, y, both = x[fit], y[fit], both[fit]
-                yield order[x], order[y], both, size[x] + size[y]
-
-    def dense(row, back, off, i, c, width, m) -> np.ndarray:
-        end = min(i + BLOCK, m)
+                fit = (np.minimum(size[x], size[y]) >= threshold * np.maximum(size[x], size[y])) & ((x < y) | (not square))
+                yield x[fit], y[fit], both[fit]
+
+    def dense(back, off, i, end, c, width) -> np.ndarray:
         a, b = off[i], off[end]
         out = np.zeros((end - i, min(WIDTH, width - c)), np.float32)
+        row = np.repeat(np.arange(end - i), np.diff(off[i : end + 1]))
         col = back[a:b]
         here = (col >= c) & (col < c + WIDTH)
-        out[row[a:b][here] - i, col[here] - c] = 1
+        out[row[here], col[here] - c] = 1
         return out
 
-    def rest(block: tuple, rows: list) -> Iterator[pa.RecordBatch]:
-        node, size = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        if len(node) < 2:
-            return
-        found = count(block[0], block[2] == 1, node, size, [r[2] for r in rows], [r[3] for r in rows])
-        if labels:  # a whole block holds whole groups
-            group = np.arange(len(node))
-            for x, y, _, _ in found:
-                unite(group, x, y)
-            group = roots(group)
-            least = np.full(len(node), np.iinfo(np.int64).max)
-            np.minimum.at(least, group, node)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(least[group])], names=["node", "label"])
+    def tile(key: tuple, rows: list) -> Iterator[pa.RecordBatch]:
+        label, a, b, split, _ = key
+        node, size, copies, strip = (np.array([r[i] for r in rows]) for i in range(4))
+        order = np.lexsort((node, size, strip != a))
+        node, size, copies, strip = node[order], size[order], copies[order], strip[order]
+        if a != b and (strip == a).all() or (strip == b).all() and a != b or len(node) < 2:
             return
-        for x, y, both, sizes in found:
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y])), pa.array(both), pa.array(sizes)], names=["a", "b", "both", "sizes"])
+        found = list(count(size, strip == a, [rows[i][4] for i in order], [rows[i][5] for i in order], a == b))
+        x, y, both = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
+        if len(x):
+            used, back = np.unique(np.concatenate([x, y]), return_inverse=True)
+            blob = nt.pack(nt.as_word(node[used]), size[used], copies[used], back[: len(x)], back[len(x) :], both)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([label]), pa.array([a], pa.int64()), pa.array([b], pa.int64()), pa.array([split]), nt.binaries([blob])], names=["label", "a", "b", "split", "blob"]
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: tuple = ((), [])
         for batch in batches:
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
-            node, size = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(5))))
+            rest = [batch.column(i).to_pylist() for i in range(5, 9)]
             flat = []
-            for i in (5, 6):
+            for i in (9, 10):
                 o, v = batch.column(i).offsets.to_numpy(), batch.column(i).values.to_numpy()
                 flat.append([v[x:y] for x, y in zip(o[:-1].tolist(), o[1:].tolist())])
-            for key, n, s, l, w in zip(keys, node, size, *flat):
+            for key, *row in zip(keys, *rest, *flat):
                 if key != have[0]:
                     if have[1]:
-                        yield from rest(*have)
+                        yield from tile(*have)
                     have = (key, [])
-                have[1].append((n, s, l, w))
+                have[1].append(row)
         if have[1]:
-            yield from rest(*have)
+            yield from tile(*have)
+
+    return run
+
+
+def _totals(threshold: float, links: bool):
+    """A tile's partial overlaps summed per pair, and the threshold.
+
+    ``links``: (node, links, root, split) for each set of a pair, the smallest set that it hangs
+    on in this tile; else the pairs, (a, b, both, sizes).
+    """
+
+    def total(blobs: list[bytes], split: bool) -> pa.RecordBatch | None:
+        parts = [nt.unpack(raw) for raw in blobs]
+        node, one = np.unique(np.concatenate([nt.as_long(p[0]) for p in parts]), return_index=True)
+        size, copies = (np.concatenate([p[i] for p in parts])[one].astype(np.int64) for i in (1, 2))
+        at = [np.searchsorted(node, nt.as_long(p[0])) for p in parts]
+        x, y = (np.concatenate([w[p[i].astype(np.int64)] for w, p in zip(at, parts)]) for i in (3, 4))
+        both = np.concatenate([p[5] for p in parts]).astype(np.int64)
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        key, back = np.unique(low * len(node) + high, return_inverse=True)
+        both = np.bincount(back, weights=both).astype(np.int64)
+        x, y = key // len(node), key % len(node)
+        fit = both / (size[x] + size[y] - both) >= threshold
+        x, y, both = x[fit], y[fit], both[fit]
+        if not len(x):
+            return None
+        if not links:
+            return pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y]), pa.array(both), pa.array(size[x] + size[y])], names=["a", "b", "both", "sizes"])
+        group = np.arange(len(node))
+        unite(group, x, y)
+        group = roots(group)
+        many = np.bincount(x, weights=copies[y], minlength=len(node)) + np.bincount(y, weights=copies[x], minlength=len(node))
+        some = np.flatnonzero(many)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(node[some]), pa.array(many[some].astype(np.int64)), pa.array(node[group[some]]), pa.array(np.full(len(some), split))], names=["node", "links", "root", "split"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have: tuple = ((), [])
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
+            for key, raw in zip(keys, batch.column(4).to_pylist()):
+                if key != have[0]:
+                    if have[1] and (out := total(have[1], have[0][3])):
+                        yield out
+                    have = (key, [])
+                have[1].append(raw)
+        if have[1] and (out := total(have[1], have[0][3])):
+            yield out
 
     return run
 
@@ -310,23 +357,22 @@ def unite(parent: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
 
 
 def document_sets(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, node): the set's hash of each document that has a word."""
+    """(doc, node): the hash of each document's set; null where it has no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, at, node = gram_sets(batch.column(1), n)
-            some = pa.array(np.diff(at) > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nt.as_long(node))], names=["doc", "node"]).filter(some)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nt.as_long(node), mask=np.diff(at) == 0)], names=["doc", "node"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text_")).where("doc is not null and text_ is not null")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text_")).where("doc is not null")
     return rows.mapInArrow(nt.tidy(run), "doc bigint, node bigint")
 
 
-def _placed(docs: DataFrame, n: int, threshold: float, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Sets in blocks (label, frag, of, node, size, lists, weights): whole blocks, and those cut into fragments."""
+def _vectors_of(docs: DataFrame, n: int, threshold: float, text_col: str) -> DataFrame:
+    """(node, size, lists, weights, prefix) of the sets that share enough n-grams to pair."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be over 0 and at most 1")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = nt.ranges(docs)
     texts = docs.select(F.col(text_col).alias("text_")).where("text_ is not null")
     blocks = texts.mapInArrow(nt.tidy(_blocks(n, parts)), "part int, blob binary")
     shared = blocks.repartitionById(parts, F.col("part")).mapInArrow(
@@ -338,51 +384,77 @@ def _placed(docs: DataFrame, n: int, threshold: float, text_col: str) -> tuple[D
         .where(F.col("shared") >= F.ceil(F.col("size") * threshold - 1e-9))
         .select("node", "size", "l", "w", "d")
     )
-    vectors = cut(alive.mapInArrow(nt.tidy(_vectors(threshold)), "node bigint, size bigint, lists array<bigint>, weights array<bigint>, prefix array<bigint>"))
+    return cut(alive.mapInArrow(nt.tidy(_vectors(threshold)), "node bigint, size bigint, lists array<bigint>, weights array<bigint>, prefix array<bigint>"))
+
+
+def _tiles(vectors: DataFrame, copies: DataFrame, threshold: float) -> DataFrame:
+    """Sets in tiles and fragments: (label, a, b, split, frag, node, size, copies, strip, lists, weights).
+
+    A block of over ``STRIP`` sets is cut into strips by size and then by hash; tiles are the
+    pairs of strips whose sizes can reach the threshold. Each tile has every fragment.
+    """
     labels = spread_labels(vectors.select("node", F.explode("prefix").alias("hub")))
-    placed = vectors.drop("prefix").join(labels, "node")
-    cost = placed.groupBy("label").agg(F.ceil(F.sum(F.size("lists")) / FRAGMENT_ENTRIES).cast("int").alias("of"), F.count("*").alias("members")).where("members > 1")
-    placed = placed.join(cost.select("label", "of"), "label")
-    # a fragment is a range of the list order; a small block has one
+    placed = vectors.drop("prefix").join(labels, "node").join(copies, "node")
+    entries = F.sum(F.size("lists"))
+    cost = placed.groupBy("label").agg(F.greatest(F.lit(FRAGMENTS), F.ceil(entries / FRAGMENT_ENTRIES)).cast("int").alias("of"), F.count("*").alias("members"))
+    placed = placed.join(cost.where("members > 1"), "label").withColumn("split", F.col("members") > STRIP)
+    steps = 4  # classes of size from the threshold to 1
+    level = F.floor(F.log("size") * (steps / -math.log(threshold)) + 1e-9).cast("bigint") if threshold < 1 else F.col("size")
+    large = placed.where("split").withColumn("class", level)
+    counts = large.groupBy("label", "class").agg(F.ceil(F.count("*") / STRIP).alias("salts"))
+    large = large.join(counts, ["label", "class"]).withColumn("strip", F.col("class") * (1 << 24) + F.pmod(F.xxhash64("node"), "salts"))
+    strips = counts.withColumn("strip", F.explode(F.transform(F.sequence(F.lit(0), F.col("salts").cast("int") - 1), lambda i: F.col("class") * (1 << 24) + i)))
+    one = strips.select("label", F.col("class").alias("ca"), F.col("strip").alias("a"))
+    two = strips.select("label", F.col("class").alias("cb"), F.col("strip").alias("b"))
+    pairs = one.join(two, "label").where(f"a <= b and cb - ca <= {steps + 1 if threshold < 1 else 0}").select("label", "a", "b")
+    of_strip = pairs.select("label", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("strip"))
+    keys = ["label", "a", "b", "split", "of", "node", "size", "copies", "strip", "lists", "weights"]
+    small = placed.where("not split").withColumns({"a": F.lit(0).cast("bigint"), "b": F.lit(0).cast("bigint"), "strip": F.lit(0).cast("bigint")})
+    tiles = small.select(keys).union(large.join(of_strip, ["label", "strip"]).select(keys))
+    # a fragment is a range of the list order
     at = F.transform("lists", lambda x: F.pmod(F.shiftrightunsigned(x, 1), F.col("of")).cast("int"))
-    whole = placed.where("of = 1").select("label", F.lit(0).alias("frag"), "of", "node", "size", "lists", "weights")
-    cuts = placed.where("of > 1").withColumn("at", at).withColumn("frag", F.explode(F.array_distinct("at")))
+    tiles = tiles.withColumn("at", at).withColumn("frag", F.explode(F.array_distinct("at")))
     pick = lambda c: F.transform(F.filter(F.arrays_zip(F.col(c).alias("v"), F.col("at").alias("f")), lambda z: z["f"] == F.col("frag")), lambda z: z["v"])
-    cuts = cuts.select("label", "frag", "of", "node", "size", pick("lists").alias("lists"), pick("weights").alias("weights"))
-    return whole, cuts
-
+    return tiles.select("label", "a", "b", "split", "frag", "node", "size", "copies", "strip", pick("lists").alias("lists"), pick("weights").alias("weights"))
 
-def _parted(blocks: DataFrame) -> DataFrame:
-    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return blocks.repartition(parts, "label", "frag").sortWithinPartitions("label", "frag")
 
-
-def _summed(blocks: DataFrame, threshold: float) -> DataFrame:
-    partial = _parted(blocks).mapInArrow(nt.tidy(_overlaps(threshold)), "a bigint, b bigint, both bigint, sizes bigint")
-    total = partial.groupBy("a", "b").agg(F.sum("both").alias("both"), F.max("sizes").alias("sizes"))
-    return total.withColumn("jaccard", F.col("both") / (F.col("sizes") - F.col("both"))).where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
+def _counted(tiles: DataFrame, threshold: float, links: bool) -> DataFrame:
+    parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = ["label", "a", "b", "frag"]
+    partial = tiles.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(nt.tidy(_overlaps(threshold)), "label bigint, a bigint, b bigint, split boolean, blob binary")
+    schema = "node bigint, links bigint, root bigint, split boolean" if links else "a bigint, b bigint, both bigint, sizes bigint"
+    return partial.repartition(parts, *key[:3]).sortWithinPartitions(*key[:3]).mapInArrow(nt.tidy(_totals(threshold, links)), schema)
 
 
 def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """(a, b, jaccard): pairs of different sets, by their hashes."""
-    whole, cuts = _placed(docs, n, threshold, text_col)
-    return _summed(whole.union(cuts), threshold)
+    vectors = _vectors_of(docs, n, threshold, text_col)
+    pairs = _counted(_tiles(vectors, vectors.select("node", F.lit(1).cast("bigint").alias("copies")), threshold), threshold, False)
+    return pairs.select("a", "b", (F.col("both") / (F.col("sizes") - F.col("both"))).alias("jaccard"))
 
 
-def set_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """(node, label): sets that are similar, directly or over others, have one label.
+def set_groups(docs: DataFrame, of: DataFrame, n: int = N, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """(node, label, links) of each set that is similar to another.
 
-    A whole block is grouped where its overlaps are counted and its pairs never leave
-    the task; only pairs of fragmented blocks become rows. Sets in no block are left out.
+    ``of``: (doc, node). Sets that are similar, directly or over others, have one label;
+    ``links`` counts the documents of the sets that reach the threshold with it. A pair of
+    sets never leaves the task that sums it.
     """
-    whole, cuts = _placed(docs, n, threshold, text_col)
-    own = _parted(whole).mapInArrow(nt.tidy(_overlaps(threshold, labels=True)), "node bigint, label bigint")
-    return own.union(groups_of_pairs(_summed(cuts, threshold), "a", "b"))
+    copies = of.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"))
+    found = cut(_counted(_tiles(_vectors_of(docs, n, threshold, text_col), copies, threshold), threshold, True))
+    whole = found.where("not split").select("node", F.col("root").alias("label"))
+    parted = spread_labels(found.where("split").select("node", F.col("root").alias("hub")))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    return whole.union(parted.select("node", "label")).join(links, "node")
 
 
 def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_a, doc_b, jaccard): see the module's text."""
-    of = cut(document_sets(docs, n, id_col, text_col).distinct())
+    """(doc_a, doc_b, jaccard): pairs of representatives, and each other copy with its own (jaccard 1).
+
+    The representative is the smallest id with an equal set. All pairs of documents are
+    these with each representative replaced by any of its copies.
+    """
+    of = cut(document_sets(docs, n, id_col, text_col).where("node is not null").distinct())
     first = of.groupBy("node").agg(F.min("doc").alias("rep"))
     copies = of.join(first, "node").where("doc <> rep").select(F.col("rep").alias("doc_a"), F.col("doc").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     pairs = similar_sets(docs, n, threshold, text_col)
@@ -391,14 +463,22 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_
     return copies.union(near).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
+def similar_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, links): see the module's text."""
+    of = cut(document_sets(docs, n, id_col, text_col).distinct())
+    groups = set_groups(docs, of, n, threshold, text_col)
+    sets = of.where("node is not null").groupBy("node").agg(F.min("doc").alias("rep"), F.count("*").alias("same"))
+    sets = cut(sets.join(groups, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"), (F.col("same") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
+    least = sets.groupBy("label").agg(F.min("rep").alias("class_id"))
+    known = sets.join(least, "label").select("node", "class_id", "links")
+    return of.join(known, "node", "left").select(F.col("doc").alias("doc_id"), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def one_per_group(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that are similar, directly or over others, to one of a smaller id.
 
-    An id goes if any of its texts is in a group with a smaller id.
+    An id goes if any of its texts is in a class of a smaller id. Documents without a word or an id stay.
     """
-    of = document_sets(docs, n, id_col, text_col).distinct()
-    groups = set_groups(docs, n, threshold, text_col)
-    placed = of.join(groups, "node", "left").select("doc", F.coalesce("label", "node").alias("group"))
-    first = placed.groupBy("group").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = cut(placed.join(first, "group").where("doc > first").select(F.col("doc").alias("gone_")).distinct())
-    return docs.join(gone, docs[id_col] == gone["gone_"], "left_anti")
+    gone = similar_classes(docs, n, threshold, id_col, text_col).where("class_id < doc_id").select(F.col("doc_id").alias("gone_")).distinct()
+    gone = cut(gone)
+    return docs.join(gone, docs[id_col].cast("bigint") == gone["gone_"], "left_anti")

@@ -15,11 +15,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)
 STEP = U64(0xD1342543DE82EF95)
 SLICE_BYTES = 1 << 20
+MOST_RANGES = 1 << 17
 
 #: Bytes that end a word: ASCII white space, or all ASCII but letters and digits.
 SPACE = np.zeros(256, bool)
@@ -154,6 +156,15 @@ def unpack(raw: bytes) -> list[np.ndarray]:
     return out
 
 
+def ranges(table: DataFrame, bytes_each: int = 32 << 20) -> int:
+    """Into how many ranges of a hash the shuffles of a table of texts are cut: as the session
+    says, and more where a range would get over ``bytes_each`` of the files' bytes."""
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = size < 1 << 60  # a plan that does not start from files has no size
+    return max(parts, min(-(-size // bytes_each), MOST_RANGES)) if known else parts
+
+
 def tidy(run):
     """``run`` for mapInArrow, returning its memory when a task ends: workers are used again,
     and what an allocator keeps would count beside the next task's."""

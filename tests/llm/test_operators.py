@@ -142,20 +142,71 @@ def test_jaccard_brute_force(spark):
     assert all(abs(found[p] - want[p]) < 1e-6 for p in found)
 
 
+def brute_classes(docs, n, threshold):
+    """(doc, class, links) by union of all pairs; documents without words are alone."""
+    parent = {i: i for i, _ in docs}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    links = dict.fromkeys(parent, 0)
+    for a, b in brute_pairs(docs, n, threshold):
+        links[a] += 1
+        links[b] += 1
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return sorted(((i, root(i), links[i]) for i in parent), key=repr)
+
+
+@pytest.mark.parametrize("strip", [4, 1024])
+def test_jaccard_classes_brute_force(spark, monkeypatch, strip):
+    """Blocks of one tile and of many, in fragments; chains, copies, and texts without words."""
+    monkeypatch.setattr(ngram_join, "STRIP", strip)
+    rng = random.Random(7)
+    docs = []
+    for i in range(150):
+        w = [f"v{i % 12}x{j}" for j in range(rng.randrange(4, 40))]  # prefixes of one text: sizes differ, chains form
+        for _ in range(rng.randrange(0, 3)):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(60)}"
+        docs.append((i, " ".join(w)))
+    docs += [(200 + i, docs[i][1]) for i in range(20)] + [(300, ""), (301, "one"), (302, " . "), (303, "one")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = brute_classes(docs, 3, 0.5)
+    assert rows(ngram_join.similar_classes(df, 3, 0.5)) == want
+    assert {r.doc_id for r in ngram_join.one_per_group(df, 3, 0.5).collect()} == {i for i, c, _ in want if i == c}
+    pairs = {(a, b): x for (a, b), x in brute_pairs([d for d in docs if d[0] < 150], 3, 0.5).items() if x < 1}
+    assert {(r.doc_a, r.doc_b) for r in ngram_join.similar_pairs(df, 3, 0.5).where("jaccard < 1").collect()} <= set(pairs)
+
+
 def test_jaccard_fragments_sum_to_the_whole(spark, monkeypatch, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    whole = rows(ngram_join.similar_pairs(docs))
+    whole, classes = rows(ngram_join.similar_pairs(docs)), rows(ngram_join.similar_classes(docs))
     monkeypatch.setattr(ngram_join, "FRAGMENT_ENTRIES", 50)
+    monkeypatch.setattr(ngram_join, "STRIP", 2)
     assert rows(ngram_join.similar_pairs(docs)) == whole and whole
+    assert rows(ngram_join.similar_classes(docs)) == classes
+
+
+def test_jaccard_counts_in_fragments(spark, sf):
+    """More than one fragment counts a part of the overlap of some pair, without any setting."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    vectors = ngram_join._vectors_of(docs, 5, 0.4, "text")
+    tiles = ngram_join._tiles(vectors, vectors.select("node", F.lit(1).cast("bigint").alias("copies")), 0.4)
+    assert tiles.select("label", "frag").distinct().groupBy("label").count().where("count > 1").count()
 
 
 def test_jaccard_awkward(odd, none):
     found = {(r.doc_a, r.doc_b) for r in ngram_join.similar_pairs(odd).collect()}
     assert found == {(6, 7)}
+    # one id with two texts is two rows; its text of other words is another document
+    assert rows(ngram_join.similar_classes(odd)) == sorted([(i, 6 if i == 7 else i, int(i in (6, 7))) for i in (1, 1, 2, 3, 4, 5, 6, 7, 8, 9)], key=repr)
     kept = ngram_join.one_per_group(odd)
     assert kept.columns == odd.columns and kept.where("doc_id = 7").count() == 0
     assert kept.count() == len(awkward()) - 1
     assert ngram_join.similar_pairs(none).count() == 0
+    assert ngram_join.similar_classes(none).count() == 0
 
 
 # --- token counts
