@@ -1,13 +1,17 @@
 """Approximate nearest neighbours: a hierarchical k-means tree, searched best bin first.
 
 Plan
-1. The tree grows level by level. A node with more rows than a leaf may have is
-   split into ``branching`` children by Lloyd rounds over all its rows: each round is
-   one map over the table with the centroids broadcast, and one sum per child comes
-   back. Only first guesses come from a bounded sample. The tree has at most
-   ``most_leaves`` leaves, which bounds the broadcast; beyond it leaves grow.
+1. The tree is fitted on a bounded sample of ``SAMPLE_ROWS`` vectors: a node is split
+   into ``branching`` children by k-means until its share of the table would fit a leaf.
+   It has at most as many leaves as the sample can tell apart (``SAMPLE_LEAF`` rows
+   each), which bounds its broadcast. Every row of the table is indexed: one map sends it
+   down the tree, one shuffle brings leaves together, in blocks of ``BLOCK`` rows, so
+   that a leaf of any size is blocks of one size.
 2. A query walks the tree with a priority queue over node centroids: the nearest
-   waiting node is taken, an inner node puts its children in, a leaf is visited.
+   waiting node is taken, an inner node puts its children in, a leaf is visited. Of two
+   leaves the queue gives the one first whose path has the smaller largest distance below
+   the node where the paths part, so that the order is a sort by the largest distance on
+   the path, and on the path below each node; it is computed for many queries at once.
 3. How many leaves to visit is calibrated: the true neighbours of up to
    ``calibration`` queries (an exact scan of all rows) are looked up in their leaf
    orders, and the visits widen until the recall, less two standard errors, reaches
@@ -15,13 +19,14 @@ Plan
 4. Queries stay with the others of their part of the tree, as a group; these visit
    much the same leaves. Each leaf goes once to every group that visits it, and is a
    matrix product with the group's queries that do. A group holds its k nearest:
-   nothing is merged afterwards, and no query is sent twice.
+   nothing is merged afterwards, and no query is sent twice. What a query visits is one
+   bit a leaf.
 
 Defined results
     (query_id, neighbor_id, rank, distance) as in the exact search: ties by id, never
-    oneself, no row for null or unfit vectors, repeated rows once, an empty table
-    gives no rows. Distances are exact; only a neighbour may be missed. Other columns
-    are not read.
+    oneself, an id counts once, no row for null or unfit vectors, repeated rows once,
+    an empty table gives no rows. Distances are exact; only a neighbour may be missed.
+    Ids are integers, or what casts to bigint. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,14 +37,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import vectors as vs
 from corpusmill.session import Shared, cut
 
-K, BRANCHING, LEAF_ROWS, MOST_LEAVES, ROUNDS = 10, 16, 256, 16384, 4
-CALIBRATION, RECALL, SAMPLE_ROWS, BLOCK, GROUP_ROWS = 256, 0.95, 65536, 1024, 65536
+K, BRANCHING, LEAF_ROWS, ROUNDS = 10, 16, 256, 4
+CALIBRATION, RECALL, SAMPLE_ROWS, SAMPLE_LEAF, BLOCK, GROUP_ROWS = 256, 0.95, 65536, 8, 1024, 32768
 
 
 @dataclass
@@ -53,32 +58,52 @@ class Tree:
     def leaves(self) -> list[int]:
         return [i for i, c in enumerate(self.children) if not c]
 
-    def descend(self, x: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
-        """The leaf of each row by nearest children, from ``start`` or the root."""
-        at = np.zeros(len(x), np.int64) if start is None else start.copy()
-        while True:
-            moved = False
-            for node in np.unique(at).tolist():
-                if kids := self.children[node]:
-                    rows = np.flatnonzero(at == node)
-                    at[rows] = np.array(kids)[vs.squares(x[rows], self.centroids[kids]).argmin(1)]
-                    moved = True
-            if not moved:
-                return at
-
-    def visits(self, x: np.ndarray, most: int) -> Iterator[list[int]]:
+    def descend(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each row by nearest children from the root."""
+        at, waiting = np.zeros(len(x), np.int64), [(0, np.arange(len(x)))]
+        while waiting:
+            node, rows = waiting.pop()
+            kids = self.children[node]
+            if not kids or not len(rows):
+                at[rows] = node
+                continue
+            which = np.concatenate([vs.squares(x[rows[a : a + 4096]], self.centroids[kids]).argmin(1) for a in range(0, len(rows), 4096)])
+            waiting += [(kid, rows[which == i]) for i, kid in enumerate(kids)]
+        return at
+
+    def visits(self, x: np.ndarray, most: int) -> Iterator[np.ndarray]:
         """Per query the first ``most`` leaves, best bin first."""
-        for a in range(0, len(x), 512):
-            for d in vs.squares(x[a : a + 512], self.centroids).tolist():
-                heap, out = [(0.0, 0)], []
-                while heap and len(out) < most:
-                    _, node = heapq.heappop(heap)
-                    if kids := self.children[node]:
-                        for kid in kids:
-                            heapq.heappush(heap, (d[kid], kid))
-                    else:
-                        out.append(node)
-                yield out
+        leaves = np.array(self.leaves)
+        up = np.zeros(len(self.children), np.int64)
+        for node, kids in enumerate(self.children):
+            up[kids] = node
+        paths = []  # from below the root down; a leaf that is higher than others repeats itself
+        for leaf in leaves.tolist():
+            path = [leaf]
+            while up[path[-1]] > 0:
+                path.append(int(up[path[-1]]))
+            paths.append(path[::-1])
+        deep = max(map(len, paths))
+        levels = np.array([path + path[-1:] * (deep - len(path)) for path in paths]).T
+        for a in range(0, len(x), 64):
+            d = vs.squares(x[a : a + 64], self.centroids)
+            keys = [d[:, levels[-1]]]
+            for nodes in levels[-2::-1]:
+                keys.append(np.maximum(d[:, nodes], keys[-1]))
+            for row in range(len(d)):
+                yield leaves[np.lexsort([k[row] for k in keys])[:most]]
+
+    def queued(self, x: np.ndarray) -> list[int]:
+        """All leaves in one query's order, by the queue itself: what ``visits`` computes at once."""
+        d = vs.squares(x[None], self.centroids)[0].tolist()
+        heap, out = [(0.0, 0)], []
+        while heap:
+            _, node = heapq.heappop(heap)
+            for kid in self.children[node]:
+                heapq.heappush(heap, (d[kid], kid))
+            if not self.children[node]:
+                out.append(node)
+        return out
 
 
 def _spread(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -92,70 +117,48 @@ def _spread(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     return x[chosen]
 
 
-def _sums(own: DataFrame, tree: Tree, dim: int) -> dict[int, tuple[int, np.ndarray]]:
-    """Count and sum of the rows of every leaf, over the whole table."""
-    shared = Shared(own.sparkSession, tree)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
-        total, count = np.zeros(t.centroids.shape), np.zeros(len(t.centroids), np.int64)
-        for batch in batches:
-            x = vs.matrix(batch.column(1), dim).astype(np.float64)
-            leaf = t.descend(x)
-            order = np.argsort(leaf, kind="stable")
-            name, start = np.unique(leaf[order], return_index=True)
-            if len(name):
-                total[name] += np.add.reduceat(x[order], start)
-                count += np.bincount(leaf, minlength=len(count))
-        some = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some]), pa.array(list(total[some]), pa.list_(pa.float64()))], names=["leaf", "n", "s"])
-
-    parts = own.mapInArrow(run, "leaf bigint, n bigint, s array<double>")
-    # one row per leaf reaches the driver, not one per leaf and task
-    sums = parts.groupBy("leaf").agg(F.sum("n").alias("n"), *(F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(dim)))
-    return {r[0]: (r[1], np.array(r[2:], np.float64)) for r in sums.collect()}
-
-
-def grow(own: DataFrame, dim: int, branching: int, leaf_rows: int, most_leaves: int, rounds: int) -> Tree:
-    n = own.count()
-    keep = F.pmod(F.xxhash64("id", "vec"), F.lit(1 << 30)) < int(min(1.0, 2.0 * SAMPLE_ROWS / max(n, 1)) * (1 << 30)) + 1
-    table = own.where(keep).limit(SAMPLE_ROWS).toArrow().sort_by("id")
-    sample = vs.matrix(table["vec"].combine_chunks(), dim).astype(np.float64) if n else np.zeros((0, max(dim, 1)))
+def _split(x: np.ndarray, k: int, rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """k-means: the centroids that have rows, and each row's."""
+    guess = _spread(x, k, seed)
+    for left in range(rounds, -1, -1):
+        which = np.concatenate([vs.squares(x[a : a + 4096], guess).argmin(1) for a in range(0, len(x), 4096)])
+        name, which = np.unique(which, return_inverse=True)
+        guess = guess[name]
+        if left:
+            order = np.argsort(which, kind="stable")
+            count = np.bincount(which)
+            guess = np.add.reduceat(x[order], np.cumsum(count) - count) / count[:, None]
+    return guess, which
+
+
+def grow(own: DataFrame, dim: int, n: int, branching: int, leaf_rows: int, rounds: int) -> Tree:
+    share = min(1.0, 1.2 * SAMPLE_ROWS / max(n, 1))
+    keep = F.pmod(F.xxhash64("id", "vec"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
+    table = own.where(keep).select("id", "vec").limit(SAMPLE_ROWS).toArrow().sort_by("id")
+    sample = vs.matrix(table["vec"].combine_chunks(), dim).astype(np.float64)
     tree = Tree(np.zeros((1, max(dim, 1))), [[]])
-    size, done = {0: n}, set()
-    while True:
-        wide = [i for i in tree.leaves if size.get(i, 0) > leaf_rows and i not in done]
-        room = most_leaves - len(tree.leaves)
-        wide = sorted(wide, key=lambda i: -size[i])[: max(room // max(branching - 1, 1), 0)]
-        if not wide:
-            return tree
-        at = tree.descend(sample)
-        fresh: list[int] = []
-        for node in wide:
-            done.add(node)
-            x = sample[at == node]
-            guess = _spread(x, min(branching, -(-size[node] // leaf_rows)), node) if len(x) else x
-            if len(guess) > 1:
-                first = len(tree.centroids)
-                tree.centroids = np.vstack([tree.centroids, guess])
-                tree.children += [[] for _ in guess]
-                tree.children[node] = list(range(first, first + len(guess)))
-                fresh += tree.children[node]
-        if not fresh:
+    scale = n / max(len(sample), 1)
+    waiting = [(0, np.arange(len(sample)))]
+    while waiting:
+        node, rows = waiting.pop(0)
+        if len(rows) * scale <= leaf_rows or len(rows) <= SAMPLE_LEAF:
             continue
-        for _ in range(rounds):
-            sums = _sums(own, tree, dim)
-            for i in fresh:
-                if i in sums:
-                    tree.centroids[i] = sums[i][1] / sums[i][0]
-        size |= {i: c for i, (c, _) in _sums(own, tree, dim).items()}
+        want = int(min(branching, max(2, -(-len(rows) * scale // leaf_rows))))
+        centers, which = _split(sample[rows], want, rounds, node)
+        if len(centers) > 1:
+            first = len(tree.children)
+            tree.centroids = np.vstack([tree.centroids, centers])
+            tree.children += [[] for _ in centers]
+            tree.children[node] = list(range(first, first + len(centers)))
+            waiting += [(first + i, rows[which == i]) for i in range(len(centers))]
+    return tree
 
 
 def calibrated(own: DataFrame, tree: Tree, dim: int, k: int, calibration: int, recall: float) -> int:
     """Leaf visits at which the recall of a sample of queries reaches ``recall``."""
     spark, leaves = own.sparkSession, len(tree.leaves)
     # the sample's bound is ``calibration``; its true neighbours come from all rows
-    asked = own.orderBy(F.xxhash64("id", "vec"), "id").limit(calibration).toArrow()
+    asked = own.where("asks").orderBy(F.xxhash64("id", "vec"), "id").select("id", "vec").limit(calibration).toArrow()
     if not len(asked) or leaves == 1:
         return leaves
     ids, x = asked["id"].to_numpy(), vs.matrix(asked["vec"].combine_chunks(), dim).astype(np.float64)
@@ -175,8 +178,7 @@ def calibrated(own: DataFrame, tree: Tree, dim: int, k: int, calibration: int, r
     found = own.mapInArrow(truth, "q bigint, n bigint, d double, leaf bigint")
     near = F.slice(F.array_sort(F.collect_list(F.struct("d", "n", "leaf"))), 1, k)
     rows = found.groupBy("q").agg(near.alias("near")).select("q", F.col("near.leaf").alias("leaf")).collect()
-    order = list(tree.visits(x, leaves))
-    rank = [{leaf: i for i, leaf in enumerate(o)} for o in order]
+    rank = [{int(leaf): i for i, leaf in enumerate(o)} for o in tree.visits(x, leaves)]
     needed = [np.array([rank[q][leaf] for leaf in near]) for q, near in rows]
     visits = 1
     while visits < leaves:
@@ -188,66 +190,82 @@ def calibrated(own: DataFrame, tree: Tree, dim: int, k: int, calibration: int, r
 
 
 def neighbors(
-    rows: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", branching: int = BRANCHING, leaf_rows: int = LEAF_ROWS,
-    most_leaves: int = MOST_LEAVES, rounds: int = ROUNDS, calibration: int = CALIBRATION, recall: float = RECALL,
+    rows: DataFrame, k: int = K, queries: Column | None = None, id_col: str = "vec_id", vec_col: str = "embedding", branching: int = BRANCHING,
+    leaf_rows: int = LEAF_ROWS, rounds: int = ROUNDS, calibration: int = CALIBRATION, recall: float = RECALL,
 ) -> DataFrame:
+    """``queries``: which rows ask, a condition on the columns of ``rows``; all where it is not given."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own, dim = vs.clean(rows, id_col, vec_col)
-    own = cut(own)
-    tree = grow(own, dim, branching, leaf_rows, most_leaves, rounds)
+    own, dim = vs.fit(rows, id_col, vec_col, queries)
+    own = cut(own.distinct())
+    n, asking = own.agg(F.count("*"), F.coalesce(F.count_if("asks"), F.lit(0))).first()
+    tree = grow(own, dim, n, branching, leaf_rows, rounds)
     visits = calibrated(own, tree, dim, k, calibration, recall)
-    shared = Shared(spark, (tree, _groups(tree, max(1, min(len(tree.leaves), max(parts, own.count() // GROUP_ROWS))))))
+    groups = max(1, min(len(tree.leaves), max(parts, asking // GROUP_ROWS)))
+    shared = Shared(spark, (tree, _groups(tree, groups)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, _ = shared.value
         for batch in batches:
             leaf = t.descend(vs.matrix(batch.column(1), dim).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), *batch.columns], names=["leaf", "id", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), *batch.columns], names=["leaf", "id", "vec", "asks"])
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A leaf's rows in blocks, each with the leaves that its rows visit as queries."""
+        """A leaf's rows in blocks, and its queries with the leaves that they visit, a bit each."""
         t, group = shared.value
         for batch in batches:
             of, ids, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), vs.matrix(batch.column(2), dim)
+            asks = batch.column(3).to_numpy(zero_copy_only=False)
             edge = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else []
             for a, end in zip(edge, [*edge[1:], len(of)]):
                 for b in range(a, end, BLOCK):
                     c = min(b + BLOCK, end)
-                    seen = np.array(list(t.visits(x[b:c].astype(np.float64), visits)), "<i4")
-                    values = (int(of[b]), int(group[of[b]]), ids[b:c].astype("<i8").tobytes(), x[b:c].astype("<f4").tobytes(), seen.tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["leaf", "grp", "ids", "vecs", "seen"])
+                    yield out(int(of[b]), int(group[of[b]]), ids[b:c], x[b:c], None)
+                    q = np.flatnonzero(asks[b:c]) + b
+                    if len(q):
+                        seen = np.zeros((len(q), len(t.children)), bool)
+                        for i, leaf in enumerate(t.visits(x[q].astype(np.float64), visits)):
+                            seen[i, leaf] = True
+                        yield out(int(of[b]), int(group[of[b]]), ids[q], x[q], np.packbits(seen, axis=1).tobytes())
+
+    def out(leaf: int, grp: int, ids: np.ndarray, x: np.ndarray, seen: bytes | None) -> pa.RecordBatch:
+        values = (leaf, grp, ids.astype("<i8").tobytes(), x.astype("<f4").tobytes(), seen)
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=["leaf", "grp", "ids", "vecs", "seen"])
+
+    def bits(raw: bytes, rows: int, width: int) -> np.ndarray:
+        return np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, -1), axis=1)[:, :width].astype(bool)
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = len(shared.value[0].children)
         for batch in batches:
-            for grp, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                leaf = np.unique(np.frombuffer(raw, "<i4")).astype(np.int64)
+            for grp, raw, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                leaf = np.flatnonzero(bits(raw, n, width).any(0))
                 yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(np.full(len(leaf), grp, np.int32))], names=["leaf", "to"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = len(shared.value[0].children)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        best, starts, rows = None, None, None
+        best, seen = None, None
         for batch in batches:
             for leaf, i, v, raw in zip(*(batch.column(j).to_pylist() for j in range(4))):
                 ids, x = np.frombuffer(i, "<i8").astype(np.int64), np.frombuffer(v, "<f4").reshape(-1, dim)
-                if raw is not None:  # the group's own queries come first
-                    held.append((ids, x, np.frombuffer(raw, "<i4").reshape(len(ids), -1)))
+                if raw is not None:  # the group's queries come first
+                    held.append((ids, x, bits(raw, len(ids), width)))
                     continue
                 if best is None:
-                    best, starts, rows = _asked(held, k)
-                if leaf in starts:
-                    a, b = starts[leaf]
-                    best.offer(rows[a:b], ids, x)
+                    best, seen = vs.Best(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), k), np.concatenate([h[2] for h in held])
+                best.offer(np.flatnonzero(seen[:, leaf]), ids, x)
         if best is not None:
             yield best.batch()
 
-    blocks = own.mapInArrow(place, "leaf bigint, id bigint, vec array<float>").repartition(parts, "leaf").sortWithinPartitions("leaf", "id")
+    blocks = own.mapInArrow(place, "leaf bigint, id bigint, vec array<float>, asks boolean").repartition(parts, "leaf").sortWithinPartitions("leaf", "id")
     blocks = cut(blocks.mapInArrow(block, "leaf bigint, grp int, ids binary, vecs binary, seen binary"))
-    to = blocks.select("grp", "seen").mapInArrow(wanted, "leaf bigint, to int").distinct()
-    data = blocks.join(to, "leaf").select(F.col("to").alias("grp"), F.lit(1).alias("kind"), "leaf", "ids", "vecs", F.lit(None).cast("binary").alias("seen"))
-    asked = blocks.select("grp", F.lit(0).alias("kind"), "leaf", "ids", "vecs", "seen")
-    groups = int(shared.value[1].max(initial=0)) + 1
-    sent = asked.union(data).repartitionById(groups, F.col("grp")).sortWithinPartitions("grp", "kind", "leaf").select("leaf", "ids", "vecs", "seen")
+    asked = blocks.where("seen is not null")
+    to = asked.select("grp", "seen", (F.length("ids") / 8).cast("int").alias("n")).mapInArrow(wanted, "leaf bigint, to int").distinct()
+    data = blocks.where("seen is null").drop("grp").join(to, "leaf").select(F.col("to").alias("grp"), F.lit(1).alias("kind"), "leaf", "ids", "vecs", "seen")
+    sent = asked.select("grp", F.lit(0).alias("kind"), "leaf", "ids", "vecs", "seen").union(data)
+    sent = sent.repartitionById(groups, F.col("grp")).sortWithinPartitions("grp", "kind", "leaf").select("leaf", "ids", "vecs", "seen")
     return vs.ranked(sent.mapInArrow(visit, vs.PAIRS), k)
 
 
@@ -262,15 +280,3 @@ def _groups(tree: Tree, groups: int) -> np.ndarray:
     out = np.zeros(len(tree.centroids), np.int32)
     out[order] = np.arange(len(order)) * groups // max(len(order), 1)
     return out
-
-
-def _asked(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[vs.Best, dict[int, tuple[int, int]], np.ndarray]:
-    """A group's queries, and for each leaf the range of the returned rows that visit it."""
-    best = vs.Best(np.concatenate([i for i, _, _ in held]), np.concatenate([x for _, x, _ in held]), k)
-    leaf = np.concatenate([s.ravel() for _, _, s in held])
-    at = np.cumsum([0, *(len(i) for i, _, _ in held)])
-    row = np.concatenate([np.repeat(np.arange(len(i)) + a, s.shape[1]) for (i, _, s), a in zip(held, at)])
-    order = np.argsort(leaf, kind="stable")
-    name, start = np.unique(leaf[order], return_index=True)
-    ends = np.append(start[1:], len(leaf))
-    return best, {int(n): (int(a), int(b)) for n, a, b in zip(name, start, ends)}, row[order]

@@ -1,28 +1,29 @@
-"""What the searches over vectors share: clean rows, cells, and merging of top k."""
+"""What the searches over vectors share: sound rows, exact distances, and merging of top k."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PAIRS = "q bigint, n bigint, d double"
 
 
-def clean(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, int]:
-    """(id, vec) without what is no vector, repeated rows once; and the dimension.
+def fit(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", queries: Column | None = None) -> tuple[DataFrame, int]:
+    """(id, vec, asks) without what is no vector; and the dimension.
 
     The dimension is the length that most rows have (of ties the larger). Rows with a
     null id, a null vector, another length, or an element that is null or not finite
-    are left out.
+    are left out. ``asks``: whether ``queries`` holds; true where it is not given.
     """
     vec = F.col(vec_col).cast("array<float>")
     bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    fit = rows.select(F.col(id_col).cast("bigint").alias("id"), vec.alias("vec")).where(F.col("id").isNotNull() & F.col("vec").isNotNull() & ~bad & (F.size("vec") > 0))
-    most = fit.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
+    asks = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
+    sound = rows.select(F.col(id_col).cast("bigint").alias("id"), vec.alias("vec"), asks.alias("asks")).where(F.col("id").isNotNull() & F.col("vec").isNotNull() & ~bad & (F.size("vec") > 0))
+    most = sound.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
     dim = most[0] if most else 1
-    return fit.where(F.size("vec") == dim).distinct(), dim
+    return sound.where(F.size("vec") == dim), dim
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -48,13 +49,18 @@ class Best:
             return
         vecs = vecs.astype(np.float64)
         step = max(1, (1 << 21) // len(ids))
+        order = np.argsort(ids, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
+        starts = None if len(starts) == len(ids) else starts
         for a in range(0, len(rows), step):
             part = rows[a : a + step]
             d = squares(self.vecs[part], vecs)
             d[self.ids[part][:, None] == ids[None]] = np.inf
+            # each id counts once, so the limit is the kth of the ids' nearest
+            least = d if starts is None else np.minimum.reduceat(d[:, order], starts, axis=1)
             limit = self.worst[part]
-            if len(ids) > self.k:
-                limit = np.minimum(limit, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
+            if least.shape[1] > self.k:
+                limit = np.minimum(limit, np.partition(least, self.k - 1, axis=1)[:, self.k - 1])
             # a margin for rounding; what is within it is measured exactly below
             x, y = np.nonzero((d <= (limit * (1 + 1e-9) + 1e-9)[:, None]) & np.isfinite(d))
             if len(x):
@@ -65,15 +71,17 @@ class Best:
         touched[row] = True
         old = touched[self.row]
         row, other, dist = (np.concatenate([a[old], b]) for a, b in ((self.row, row), (self.other, other), (self.dist, dist)))
-        order = np.lexsort((other, dist, row))
+        order = np.lexsort((dist, other, row))
         row, other, dist = row[order], other[order], dist[order]
         new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (other[1:] != other[:-1]) | (dist[1:] != dist[:-1])
+        new[1:] = (row[1:] != row[:-1]) | (other[1:] != other[:-1])
         row, other, dist = row[new], other[new], dist[new]
+        order = np.lexsort((other, dist, row))
+        row, other, dist = row[order], other[order], dist[order]
         start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         rank = np.arange(len(row)) - np.repeat(start, np.diff(np.append(start, len(row))))
         last = np.flatnonzero(rank == self.k - 1)
-        self.worst[row[last]] = dist[last]
+        self.worst[row[last]] = np.minimum(self.worst[row[last]], dist[last])
         keep = rank < self.k
         self.row, self.other, self.dist = (np.concatenate([a[~old], b[keep]]) for a, b in ((self.row, row), (self.other, other), (self.dist, dist)))
 
@@ -90,7 +98,12 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def ranked(pairs: DataFrame, k: int) -> DataFrame:
-    """(query_id, neighbor_id, rank, distance): the k first of every query's pairs."""
-    near = F.slice(F.array_sort(F.array_distinct(F.collect_list(F.struct("d", "n")))), 1, k)
-    top = pairs.groupBy("q").agg(near.alias("near")).select("q", F.posexplode("near").alias("at", "x"))
+    """(query_id, neighbor_id, rank, distance): the k first of every query's pairs.
+
+    An id that asks with several vectors has several lists; a neighbour counts once.
+    """
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nearest = pairs.repartition(parts, "q").groupBy("q", "n").agg(F.min("d").alias("d"))
+    near = F.slice(F.array_sort(F.collect_list(F.struct("d", "n"))), 1, k)
+    top = nearest.groupBy("q").agg(near.alias("near")).select("q", F.posexplode("near").alias("at", "x"))
     return top.select(F.col("q").alias("query_id"), F.col("x.n").alias("neighbor_id"), (F.col("at") + 1).alias("rank"), F.round("x.d", 5).alias("distance"))

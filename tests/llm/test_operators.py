@@ -483,13 +483,17 @@ def vectors(n=400, dim=8, seed=2):
     return [(i, [float(v) for v in row.astype(np.float32)]) for i, row in enumerate(x)]
 
 
-def brute_near(data, k):
+def brute_near(data, k, asks=lambda i: True):
+    """The k nearest other ids, each at its nearest vector, of the ids that ask."""
     ids, x = np.array([i for i, _ in data]), np.array([v for _, v in data])
     out = set()
-    for i in range(len(ids)):
-        d = np.square(x - x[i]).sum(1)
-        d[ids == ids[i]] = np.inf
-        out |= {(int(ids[i]), int(ids[j]), r + 1) for r, j in enumerate(np.lexsort((ids, d))[:k]) if np.isfinite(d[j])}
+    for i in sorted({int(i) for i in ids if asks(i)}):
+        near = {}
+        for j in np.flatnonzero(ids == i):
+            for n, d in zip(ids.tolist(), np.square(x - x[j]).sum(1).tolist()):
+                if n != i:
+                    near[n] = min(d, near.get(n, np.inf))
+        out |= {(i, n, r + 1) for r, (_, n) in enumerate(sorted((d, n) for n, d in near.items())[:k])}
     return out
 
 
@@ -503,13 +507,39 @@ def test_dual_tree_is_exact(spark, monkeypatch, cell_rows):
     data = vectors()
     df = spark.createDataFrame(data, "vec_id bigint, embedding array<float>")
     assert search_rows(covertree.top_k(df, 5, cell_rows=cell_rows)) == brute_near(data, 5)
+    asked = covertree.top_k(df, 5, F.col("vec_id") % 20 == 0, cell_rows=cell_rows)
+    assert search_rows(asked) == brute_near(data, 5, lambda i: i % 20 == 0)
+
+
+def test_dual_tree_with_a_hot_vector(spark, monkeypatch):
+    """A third of the rows are one vector: the smallest ids are the neighbours, and all ids that ask get theirs."""
+    monkeypatch.setattr(covertree, "LEAF", 16)
+    data = vectors(300, 4)
+    data = [(i, data[0][1] if i % 3 == 0 else v) for i, v in data]
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<float>")
+    assert search_rows(covertree.top_k(df, 5, cell_rows=20)) == brute_near(data, 5)
+
+
+def counted(tree, x, k):
+    seen = []
+
+    class Counting(covertree.vs.Best):
+        def offer(self, rows, ids, vecs):
+            seen.append(len(rows) * len(ids))
+            super().offer(rows, ids, vecs)
+
+    covertree.search(tree, tree, Counting(np.arange(len(x)), x, k), np.arange(len(x)), x)
+    return sum(seen)
+
+
+def depth(node):
+    return 1 + max((depth(c) for c in node.children), default=0)
 
 
 def test_dual_tree_prunes(monkeypatch):
     monkeypatch.setattr(covertree, "LEAF", 32)
     x = np.array([v for _, v in vectors(2000, 3)])
     tree = covertree.build(x)
-    assert tree.children
 
     def check(node):
         assert np.sqrt(np.square(x[node.rows] - node.center).sum(1)).max() <= node.radius + 1e-9
@@ -517,17 +547,42 @@ def test_dual_tree_prunes(monkeypatch):
             check(c)
         if node.children:
             assert sorted(np.concatenate([c.rows for c in node.children])) == sorted(node.rows)
+            centers = np.array([c.center for c in node.children])
+            apart = np.sqrt(np.square(centers[:, None] - centers[None]).sum(2))[np.triu_indices(len(centers), 1)]
+            nearest = np.sqrt(np.square(x[node.rows][:, None] - centers[None]).sum(2)).min(1)
+            assert apart.min() >= nearest.max() - 1e-9  # a net
+        else:
+            assert len(node.rows) <= 32 or node.radius == 0
 
     check(tree)
-    seen = []
+    assert counted(tree, x, 5) < 0.5 * len(x) ** 2
 
-    class Counting(covertree.vs.Best):
-        def offer(self, rows, ids, vecs):
-            seen.append(len(rows) * len(ids))
-            super().offer(rows, ids, vecs)
 
-    covertree.search(tree, tree, Counting(np.arange(len(x)), x, 5), np.arange(len(x)), x)
-    assert sum(seen) < 0.5 * len(x) ** 2
+def test_dual_tree_on_the_embeddings(spark, sf):
+    """The tree of real vectors has inner levels; how much it prunes is up to them."""
+    table = spark.read.parquet(sf.replace("sf0.001", "sf0.1") + "/embeddings.parquet").toPandas()
+    x = np.array(table.embedding.to_list(), np.float64)
+    tree = covertree.build(x)
+    assert depth(tree) > 2 and len(tree.children) > 1
+    pruned = 1 - counted(tree, x, 10) / len(x) ** 2
+    print(f"pruned {pruned:.3f} of all pairs, depth {depth(tree)}")
+    assert 0 <= pruned < 1
+
+
+def test_upper_levels_prune(spark):
+    """Pairs of nodes of the upper levels end where the covering radii say so; no neighbour is behind them."""
+    x = np.concatenate([np.random.default_rng(i).normal(size=(300, 3)) + 40 * i for i in range(8)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vec array<float>")
+    tree = covertree.upper(df, 3, len(x), 40)
+    cell = tree.cells(x)
+    radius = np.array([np.sqrt(np.square(x[cell == c] - tree.centers[tree.leaves[c]]).sum(1)).max() if (cell == c).any() else -np.inf for c in range(len(tree.leaves))])
+    bound = np.full(len(tree.leaves), 4.0)
+    for mine in (np.array([0]), np.arange(3)):
+        left, far, looked = tree.unpruned(radius, bound, mine)
+        centers = tree.centers[tree.leaves]
+        gap = np.sqrt(np.square(centers[mine][:, None] - centers[None]).sum(2)) - radius[mine][:, None] - radius[None]
+        assert set(left) == {int(c) for c in np.flatnonzero(((gap <= 4.0) & np.isfinite(radius)).any(0))}
+        assert len(left) < len(tree.leaves) / 2 and looked < len(tree.children) ** 2 / 4
 
 
 @pytest.mark.parametrize("leaf_rows", [16, 64])
@@ -538,16 +593,44 @@ def test_k_means_tree_recall(spark, leaf_rows):
     want = {(q, n) for q, n, _ in brute_near(data, 5)}
     got = {(r.query_id, r.neighbor_id) for r in found.collect()}
     assert len(got & want) / len(want) >= 0.9
+    asked = {(r.query_id, r.neighbor_id) for r in kmeanstree.neighbors(df, 5, F.col("vec_id") % 20 == 0, leaf_rows=leaf_rows).collect()}
+    want = {(q, n) for q, n in want if q % 20 == 0}
+    assert {q for q, _ in asked} == {q for q, _ in want} and len(asked & want) / len(want) >= 0.9
+
+
+def test_k_means_tree_recall_of_the_query(spark, sf):
+    from corpusmill.llm import queries
+
+    table = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
+    want = {(q, n) for q, n, _ in brute_near(list(zip(table.vec_id, table.embedding)), 10, lambda i: i % 20 == 0)}
+    got = {(r.query_id, r.neighbor_id) for r in queries.op8_approximate_neighbors(spark, sf).collect()}
+    assert len(got & want) / len(want) >= 0.9 and len(got) == len(want)
+
+
+def test_best_bin_first_is_the_order_of_the_queue(spark):
+    data = vectors(900, 6)
+    df = spark.createDataFrame(data, "id bigint, vec array<float>")
+    tree = kmeanstree.grow(df, 6, len(data), 4, 10, 4)
+    assert max(len(c) for c in tree.children) <= 4 and len(tree.leaves) > 40
+    x = np.array([v for _, v in data[:50]])
+    for row, order in zip(x, tree.visits(x, len(tree.leaves))):
+        assert tree.queued(row) == order.tolist()
 
 
 @pytest.mark.parametrize("search", [covertree.top_k, kmeanstree.neighbors])
 def test_vectors_awkward(spark, search):
     data = [(1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.5]), (None, [0.0, 0.0]), (3, None), (4, []), (5, [1.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [9.0, 9.0])]
-    df = spark.createDataFrame([(*r, 1, 2) for r in data], "vec_id bigint, embedding array<float>, id int, cell int")
+    df = spark.createDataFrame([(*r, 1, 2, "q", 0) for r in data], "vec_id bigint, embedding array<float>, id int, cell int, asks string, leaf int")
     assert search_rows(search(df, 1)) == {(1, 2, 1), (2, 1, 1), (8, 2, 1)}
     assert search_rows(search(df, 5)) == {(1, 2, 1), (1, 8, 2), (2, 1, 1), (2, 8, 2), (8, 2, 1), (8, 1, 2)}
     assert search(df.limit(0)).count() == 0
     assert search(df.where("vec_id = 8")).count() == 0
+    assert search(df, 2, F.col("vec_id") > 100).count() == 0
+    # one id with several vectors counts once, at its nearest, and asks with all
+    data = [(1, [0.0, 0.0]), (7, [1.0, 0.0]), (7, [0.0, 1.0]), (9, [2.0, 0.0]), (10, [50.0, 50.0])]
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<float>")
+    assert search_rows(search(df, 2)) == brute_near(data, 2)
+    assert {(1, 7, 1), (1, 9, 2)} <= search_rows(search(df, 2))
 
 
 # --- substring dedup
