@@ -25,15 +25,24 @@ Defined results
     without one (or without a digest) kept as they came, ``resolved`` false. Other
     record types: copied. Records repeated under one id: the first by (file, offset);
     records without an id are never repeats.
+    Digests of any spelling (hex or base32, any case) are one digest. What a response
+    claims is verified, in its chunked form too; where it is wrong or missing, the SHA-1
+    of the payload takes its place, so that a wrong claim costs no payload.
+    Files: gzip or Zstandard, one member a record or many, or plain. Where a file is cut
+    off or damaged, the records before stay, what follows is copied as it is, and a row of
+    type ``damaged`` tells its place and length.
     Ties of date: by record id. Empty payload: a payload like any other. No file or an
-    empty file: no rows. ``captures`` leaves out rows whose URL or HTML is null.
+    empty file: no rows. ``captures`` leaves out rows whose URL or HTML is null. A
+    record is held in memory by the task that reads it; other columns are not read.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import posixpath
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -46,7 +55,10 @@ from corpusmill.session import cut, drop_cut
 
 RECORD = "record_id string, warc_type string, target_uri string, date string, digest string, refers_to string, refers_to_uri string, refers_to_date string, payload binary"
 HEADER = "file string, offset bigint, length bigint, record_id string, warc_type string, target_uri string, date string, digest string, refers_to string, refers_to_uri string, refers_to_date string, payload_bytes bigint"
-DICTIONARY_BYTES, SAMPLE_RECORDS, LEVEL = 64 << 10, 400, 3
+DICTIONARY_BYTES, SAMPLE_RECORDS, SAMPLE_BYTES, LEVEL = 64 << 10, 400, 64 << 10, 3
+#: Digests that can be verified, and their bytes.
+SIZES = {"md5": 16, "sha1": 20, "sha256": 32, "sha512": 64}
+DAMAGED = "damaged"
 SKIPPABLE = b"\x5d\x2a\x4d\x18"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FIELDS = (
@@ -65,6 +77,51 @@ def digest_of(payload: bytes) -> str:
     return "sha1:" + hashlib.sha1(payload).hexdigest()
 
 
+def spelled(digest: str | None) -> str | None:
+    """One spelling, in hex, for the digests that say the same; what is not understood stays."""
+    name, _, value = (digest or "").strip().partition(":")
+    name = name.lower().replace("-", "")
+    if name not in SIZES:
+        return (digest or "").strip() or None
+    value = value.strip()
+    if len(value) != 2 * SIZES[name]:
+        try:
+            value = base64.b32decode(value.upper() + "=" * (-len(value) % 8)).hex()
+        except ValueError:
+            return digest
+    return f"{name}:{value.lower()}"
+
+
+def dechunked(payload: bytes) -> bytes | None:
+    """What a chunked HTTP body holds; None if it is none."""
+    out, at = [], 0
+    while True:
+        end = payload.find(b"\r\n", at)
+        try:
+            size = int(payload[at:end].partition(b";")[0], 16) if end >= 0 else -1
+        except ValueError:
+            return None
+        if size < 0 or end + 2 + size > len(payload):
+            return None
+        if size == 0:
+            return b"".join(out)
+        out.append(payload[end + 2 : end + 2 + size])
+        at = end + 4 + size
+
+
+def verified(claim: str | None, block: bytes, payload: bytes) -> str:
+    """A response's digest: the one it claims, in one spelling, or the SHA-1 of the payload where that is wrong."""
+    claim = spelled(claim)
+    name = (claim or "").partition(":")[0]
+    if name in SIZES:
+        forms = [payload]
+        if b"chunked" in block[: len(block) - len(payload)].lower() and (plain := dechunked(payload)) is not None:
+            forms.append(plain)
+        if any(f"{name}:{hashlib.new(name, x).hexdigest()}" == claim for x in forms):
+            return claim
+    return digest_of(payload)
+
+
 def encode(record: dict, payload: bytes) -> bytes:
     """One record with fresh headers: lengths and digests are of what is written."""
     kind = record["warc_type"]
@@ -132,10 +189,13 @@ def rewritten_record(raw: bytes, action: str, refers: list[str | None]) -> tuple
 
 
 def train(records: DataFrame, sample: int = SAMPLE_RECORDS) -> bytes | None:
-    """A dictionary of at most ``sample`` records; None if they are too few for one."""
+    """A dictionary of the first ``SAMPLE_BYTES`` of at most ``sample`` records, those of the smallest hashes; None if they are too few for one."""
     import zstandard
 
-    rows = [r.asDict() for r in records.limit(sample).collect()]
+    h = F.xxhash64("record_id", "target_uri", "date")
+    keys = [r[0] for r in records.select(h.alias("h")).distinct().orderBy("h").limit(sample).collect()]
+    head = records.withColumn("payload", F.substring("payload", 1, SAMPLE_BYTES)).withColumn("h", h).where(F.col("h").isin(keys)).dropDuplicates(["h"]).orderBy("h")
+    rows = [r.asDict() for r in head.drop("h").collect()]
     texts = [encode(r, bytes(r.pop("payload") or b"")) for r in rows]
     if len(texts) < 8:
         return None
@@ -146,7 +206,7 @@ def train(records: DataFrame, sample: int = SAMPLE_RECORDS) -> bytes | None:
 
 
 class Codec:
-    """How the records of one archive are packed: gzip, or Zstandard with a dictionary or none."""
+    """How the records of one archive are packed: plain, gzip, or Zstandard with a dictionary or none."""
 
     def __init__(self, kind: str = "zstd", dictionary: bytes | None = None):
         self.kind, self.dictionary = kind, dictionary
@@ -163,6 +223,8 @@ class Codec:
         head = file.read(8)
         if head[:2] == b"\x1f\x8b":
             return cls("gzip"), 0
+        if head[:5] == b"WARC/":
+            return cls("plain"), 0
         if head[:4] == SKIPPABLE:
             n = int.from_bytes(head[4:8], "little")
             return cls("zstd", file.read(n)), 8 + n
@@ -174,9 +236,11 @@ class Codec:
 
     @property
     def suffix(self) -> str:
-        return ".warc.gz" if self.kind == "gzip" else ".warc.zst"
+        return {"gzip": ".warc.gz", "plain": ".warc"}.get(self.kind, ".warc.zst")
 
     def pack(self, raw: bytes) -> bytes:
+        if self.kind == "plain":
+            return raw
         return gzip.compress(raw, 1, mtime=0) if self.kind == "gzip" else self.packer.compress(raw)
 
     def reader(self):
@@ -186,8 +250,16 @@ class Codec:
         return self.reader().decompress(packed)
 
 
-def members(file, codec: Codec, at: int, size: int = 1 << 20, step: int = 1 << 13) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, content) of every record from offset ``at`` of a file, reading in steps."""
+def members(file, codec: Codec, at: int, size: int = 1 << 20, step: int = 1 << 13) -> Iterator[tuple[int, int, bytes | None]]:
+    """(offset, length, content) of every packed member from offset ``at`` of a file, reading in steps.
+
+    A member that is cut off or damaged has no content, and ends the file.
+    """
+    errors = (zlib.error, EOFError)
+    if codec.kind == "zstd":
+        import zstandard
+
+        errors += (zstandard.ZstdError,)
     data, pos = b"", 0
     while True:
         unzip, out, used = codec.reader(), [], 0
@@ -196,24 +268,80 @@ def members(file, codec: Codec, at: int, size: int = 1 << 20, step: int = 1 << 1
                 data, pos = file.read(size), 0
                 if not data:
                     if used:
-                        raise EOFError("a record is cut off")
+                        yield at, used, None
                     return
             part = data[pos : pos + step]
-            out.append(unzip.decompress(part))
+            try:
+                out.append(unzip.decompress(part))
+            except errors:
+                rest = len(data) - pos
+                while data := file.read(size):
+                    rest += len(data)
+                yield at, used + rest, None
+                return
             n = len(part) - len(unzip.unused_data)
             used, pos = used + n, pos + n
         yield at, used, b"".join(out)
         at += used
 
 
+def length_of(head: bytes) -> int | None:
+    """The bytes of a record that begins so, with the two line ends after it; None if its headers are not whole."""
+    end = head.find(b"\r\n\r\n")
+    if end < 0 or not head.startswith(b"WARC/"):
+        return None
+    said = re.search(rb"(?i)\ncontent-length:[ \t]*(\d+)", head[:end])
+    return end + 8 + int(said.group(1)) if said else None
+
+
+def plain(file, size: int = 1 << 20, most: int = 1 << 24) -> Iterator[tuple[int, int, bytes | None]]:
+    """The records of a file that is not packed; as ``members`` gives them."""
+    data, at = b"", 0
+    while True:
+        while (n := length_of(data)) is None and len(data) < most and (more := file.read(size)):
+            data += more
+        while n is not None and len(data) < n and (more := file.read(max(size, n - len(data)))):
+            data += more
+        if n is not None and len(data) >= n - 4:  # the last line ends may be missing
+            n = min(n, len(data))
+            yield at, n, data[:n]
+            data, at = data[n:], at + n
+            if data or (data := file.read(size)):
+                continue
+            return
+        if rest := len(data):
+            while data := file.read(size):
+                rest += len(data)
+            yield at, rest, None
+        return
+
+
 def opened(system, path: str):
-    """An archive's records as ``members`` gives them."""
+    """The codec of an archive, then its records: (offset, length, content), content None for what is damaged.
+
+    Records that share a member are told apart by offsets within it.
+    """
     with system.open_input_stream(path, compression=None) as file:
         codec, at = Codec.of(file)
     with system.open_input_stream(path, compression=None) as file:
-        file.read(at)
         yield codec
-        yield from members(file, codec, at)
+        if codec.kind == "plain":
+            yield from plain(file)
+            return
+        file.read(at)
+        for at, used, content in members(file, codec, at):
+            n = length_of(content) if content is not None else None
+            if n is None or n >= len(content):
+                yield at, used, content
+                continue
+            first = 0
+            for i in range(used):
+                n = length_of(content[first : first + (1 << 20)])
+                last = n is None or first + n >= len(content)
+                yield at + i, used, content[first:] if last else content[first : first + n]
+                if last:
+                    break
+                first += n
 
 
 class Writer:
@@ -231,14 +359,18 @@ class Writer:
         return self.put(encode(record, payload))
 
     def put(self, content: bytes) -> tuple[int, int]:
+        return self.copy(self.codec.pack(content))
+
+    def copy(self, *raws: bytes) -> tuple[int, int]:
         if self.out is None:
             self.out = self.fs.open_output_stream(self.partial, compression=None)
             self.out.write(self.codec.head)
             self.at = len(self.codec.head)
-        raw = self.codec.pack(content)
-        self.out.write(raw)
-        self.at += len(raw)
-        return self.at - len(raw), len(raw)
+        began = self.at
+        for raw in raws:
+            self.out.write(raw)
+            self.at += len(raw)
+        return began, self.at - began
 
     def close(self) -> None:
         if self.out is not None:
@@ -274,14 +406,17 @@ def files_of(folder: str) -> list[str]:
 
     system, root = file_system(folder)
     found = system.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True))
-    return sorted(f.path for f in found if f.is_file and not f.base_name.startswith("_") and f.base_name.endswith((".warc.gz", ".warc.zst")))
+    return sorted(f.path for f in found if f.is_file and not f.base_name.startswith("_") and f.base_name.endswith((".warc", ".warc.gz", ".warc.zst")))
 
 
-def parsed(raw: bytes) -> tuple[dict, bytes]:
-    """The fields and the payload of a record; a response without a digest gets one."""
+def parsed(raw: bytes | None) -> tuple[dict, bytes]:
+    """The fields and the payload of a record; digests in one spelling, a response's verified."""
+    if raw is None:
+        return {key: None for _, key in FIELDS} | {"warc_type": DAMAGED}, b""
     h, block = decode(raw)
     payload = payload_of(h, block)
-    digest = h.get("warc-payload-digest") or (digest_of(payload) if h.get("warc-type") == "response" else None)
+    claim = h.get("warc-payload-digest")
+    digest = verified(claim, block, payload) if h.get("warc-type") == "response" else spelled(claim)
     return {key: h.get(name.lower()) for name, key in FIELDS} | {"digest": digest}, payload
 
 
@@ -367,6 +502,12 @@ def deduplicate(spark: SparkSession, folder: str, out: str) -> DataFrame:
             action, *refers = decisions.get(at, ("keep",))
             if action == "drop":
                 continue
+            if raw is None:
+                with system.open_input_file(path) as file:
+                    file.seek(at)
+                    offset, length = writer.copy(*iter(lambda: file.read(1 << 20), b""))
+                rows.append(parsed(None)[0] | {"old_type": DAMAGED, "file": writer.path, "offset": offset, "length": length, "payload_bytes": length, "resolved": False})
+                continue
             old = decode(raw)[0].get("warc-type")
             row, size, content = rewritten_record(raw, action, refers)
             offset, length = writer.put(content)
