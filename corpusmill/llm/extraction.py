@@ -11,11 +11,14 @@ Labels
     Distant ones: pages that mark their text (``article`` or ``main``) label their own
     nodes. The tags that tell (article, main, nav, aside, header, footer) are hidden
     from the features, so that the model also serves pages without them. The forest is
-    fitted on the driver on at most ``sample_pages`` labelled pages, chosen by a hash.
+    fitted on the driver on at most ``sample_pages`` labelled pages of at most
+    ``SAMPLE_CHARS`` characters, chosen by a hash; all pages are extracted.
 
 Plan
     Extraction is a map over the pages with the forest broadcast; nothing shuffles.
-    Sums over subtrees and decoding are array operations over all pages of a batch.
+    A subtree is a range of the document's order, so that sums over subtrees are
+    differences of running sums; decoding is one pass up and one down. All of it is
+    linear in a page, however long or deeply nested.
 
 Defined results
     (page_id, text, n_nodes, n_kept). Blocks of text are parted by newlines. null or
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm import boosting, htmltree
 from corpusmill.session import Shared
 
-SAMPLE_PAGES = 400
+SAMPLE_PAGES, SAMPLE_CHARS = 400, 1 << 18
 HIDDEN = frozenset("article main nav aside header footer".split())
 TOKENS, TAGS = 24, 16
 CHUNK_CHARS = 8 << 20
@@ -53,23 +56,26 @@ class Nodes:
         parent = np.array([p for t in trees for p in t.parents], np.int64)
         self.parent = np.where(parent < 0, -1, parent + shift)
         self.depth = np.array([d for t in trees for d in t.depths], np.int64)
-        self.levels = [np.flatnonzero(self.depth == d) for d in range(1, int(self.depth.max(initial=0)) + 1)]
         self.tags = [g for t in trees for g in t.tags]
         self.trees = trees
+        size = [1] * len(self.tags)
+        for i, p in zip(range(len(size) - 1, -1, -1), reversed(self.parent.tolist())):
+            if p >= 0:
+                size[p] += size[i]
+        self.end = np.arange(len(size)) + np.array(size, np.int64)  # a subtree is a range of the document's order
 
     def up(self, value: np.ndarray) -> np.ndarray:
-        """Sums over subtrees."""
-        total = value.astype(np.float64).copy()
-        for level in reversed(self.levels):
-            np.add.at(total, self.parent[level], total[level])
-        return total
+        """Sums of whole numbers over subtrees."""
+        total = np.concatenate([[0.0], np.cumsum(value)])
+        return total[self.end] - total[:-1]
 
     def down(self, value: np.ndarray) -> np.ndarray:
         """Whether the node or an ancestor has the value."""
-        out = value.copy()
-        for level in self.levels:
-            out[level] |= out[self.parent[level]]
-        return out
+        out = value.tolist()
+        for i, p in enumerate(self.parent.tolist()):
+            if p >= 0 and out[p]:
+                out[i] = True
+        return np.array(out, bool)
 
     def features(self) -> np.ndarray:
         n = len(self.tags)
@@ -124,17 +130,23 @@ class Nodes:
 
     def decode(self, logit: np.ndarray) -> np.ndarray:
         """The most probable choice in which a chosen node's descendants are all chosen."""
-        whole = self.up(logit)  # the node and all below it are chosen
-        best = np.zeros(len(logit))  # the node is not chosen: the sum of its children's best
-        for level in [*reversed(self.levels)]:
-            np.add.at(best, self.parent[level], np.maximum(whole[level], best[level]))
-        return self.down(whole > best)
+        whole = logit.tolist()  # the node and all below it are chosen
+        best = [0.0] * len(whole)  # the node is not chosen: the sum of its children's best
+        for i, p in zip(range(len(whole) - 1, -1, -1), reversed(self.parent.tolist())):
+            if p >= 0:
+                whole[p] += whole[i]
+                best[p] += max(whole[i], best[i])
+        return self.down(np.array([w > b for w, b in zip(whole, best)], bool))
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> boosting.Forest:
-    """A forest of at most ``sample_pages`` pages that mark their main text."""
-    marked = pages.where(F.col(html_col).rlike("(?i)<(article|main)[\\s>]")).select(F.col(html_col).alias("html_"), F.xxhash64(id_col, html_col).alias("h_"))
-    sample = [r[0] for r in marked.orderBy("h_").limit(sample_pages).collect()]
+    """A forest of at most ``sample_pages`` pages of at most ``SAMPLE_CHARS`` characters that mark their main text."""
+    marked = pages.where(F.col(html_col).rlike("(?i)<(article|main)[\\s>]") & (F.length(html_col) <= SAMPLE_CHARS))
+    marked = marked.select(F.col(html_col).alias("html_"), F.xxhash64(id_col, html_col).alias("h_"))
+    # hashes are ranked without their pages
+    keys = [r[0] for r in marked.select("h_").distinct().orderBy("h_").limit(sample_pages).collect()]
+    found = {r["h_"]: r["html_"] for r in marked.where(F.col("h_").isin(keys)).dropDuplicates(["h_"]).collect()}
+    sample = [found[k] for k in keys]
     nodes = Nodes([htmltree.parse(x) for x in sample])
     return boosting.fit(nodes.features(), nodes.labels().astype(np.float64))
 

@@ -49,7 +49,8 @@ def raw_ends(source: str, at: int) -> dict[int, int]:
     """Where the raw elements from ``at`` on end, by the end of their opening tag; unclosed ones are left out."""
     ends: dict[int, int] = {}
     opened: dict[str, list[int]] = {tag: [] for tag in RAW - PLAIN}
-    while m := TOKEN.search(source, at):
+    last = source.rfind(">") + 1
+    while at < last and (m := TOKEN.search(source, at)):
         at = m.end()
         tag = (m.group(2) or "").lower()
         if tag in PLAIN and not m.group(1):
@@ -63,11 +64,16 @@ def raw_ends(source: str, at: int) -> dict[int, int]:
 
 
 def parse(source: str) -> Tree:
-    """Elements and texts; unclosed and misnested tags are repaired, scripts and comments go."""
+    """Elements and texts; unclosed and misnested tags are repaired, scripts and comments go.
+
+    Linear in the page, however it is nested: where each tag was last opened is known.
+    """
     tree = Tree()
     tags, parents, depths, tokens, texts = tree.tags, tree.parents, tree.depths, tree.tokens, tree.texts
     stack: list[int] = []
+    opened: dict[str, list[int]] = {}  # where in the stack each tag stands
     at = 0
+    last = source.rfind(">") + 1  # what follows can only be text, or a comment that is not closed
     ends: dict[int, int] | None = None
 
     def open_(tag: str, attributes: str) -> None:
@@ -78,15 +84,18 @@ def parse(source: str) -> Tree:
         parents.append(stack[-1] if stack else -1)
         depths.append(len(stack))
         tokens.append(found)
+        opened.setdefault(tag, []).append(len(stack))
         stack.append(len(tags) - 1)
 
+    def cut(to: int) -> None:
+        for i in range(len(stack) - 1, to - 1, -1):
+            opened[tags[stack[i]]].pop()
+        del stack[to:]
+
     def close_upto(names: tuple[str, ...], scope: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if tags[stack[i]] in names:
-                del stack[i:]
-                return
-            if tags[stack[i]] in scope:
-                return
+        at = max((opened[t][-1] for t in names if opened.get(t)), default=-1)
+        if at >= 0 and not any(opened[t][-1] > at for t in scope if opened.get(t)):
+            cut(at)
 
     def say(piece: str) -> None:
         if piece and not piece.isspace():
@@ -95,7 +104,7 @@ def parse(source: str) -> Tree:
             texts.append((stack[-1], html.unescape(piece) if "&" in piece else piece))
 
     search = TOKEN.search
-    while m := search(source, at):
+    while at < last and (m := search(source, at)):
         if m.start() > at:
             say(source[at : m.start()])
         at = m.end()
@@ -120,6 +129,7 @@ def parse(source: str) -> Tree:
             close_upto(ENDS[tag], SCOPE - {tag} - frozenset(ENDS[tag]))
         open_(tag, m.group(3))
         if tag in VOID:
-            stack.pop()
-    say(source[at:])
+            cut(len(stack) - 1)
+    comment = source.find("<!--", at)
+    say(source[at:] if comment < 0 else source[at:comment])
     return tree

@@ -387,6 +387,59 @@ def test_warc_records_without_ids_stay(spark, tmp_path):
     assert sorted((r.date[9:10], r.record_id, r.warc_type) for r in found) == [(str(i), "<urn:a>" if i == 4 else None, "response") for i in (1, 2, 3, 4)]
 
 
+def test_warc_digests_are_verified():
+    import base64
+    import hashlib
+
+    sha, body = hashlib.sha1(b"body").digest(), b"4\r\nbody\r\n0\r\n\r\n"
+    want = "sha1:" + sha.hex()
+    for claim in (want, want.upper(), "sha1:" + base64.b32encode(sha).decode(), "SHA-1:" + base64.b32encode(sha).decode().lower(), None, "sha1:" + "0" * 40, "sha9:x", ""):
+        assert warc.verified(claim, b"HTTP/1.1 200 OK\r\n\r\nbody", b"body") == want
+    assert warc.verified(want, b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + body, body) == want
+    assert warc.verified("md5:" + hashlib.md5(b"body").hexdigest(), b"body", b"body").startswith("md5:")
+    assert warc.dechunked(b"zz\r\n") is None and warc.dechunked(b"5\r\nbod") is None and warc.spelled(None) is None
+
+
+def test_warc_claims_cost_no_payload(spark, tmp_path):
+    """Two payloads under one claimed digest both stay; one payload under two spellings meets."""
+    import base64
+    import hashlib
+
+    body = b"HTTP/1.1 200 OK\r\n\r\n"
+    head = lambda i, digest: [f"WARC-Type: response", f"WARC-Record-ID: <urn:{i}>", f"WARC-Date: 2024-01-0{i}T00:00:00Z", f"WARC-Payload-Digest: {digest}"]  # noqa: E731, F541
+    b32 = "sha1:" + base64.b32encode(hashlib.sha1(b"one").digest()).decode()
+    archived(tmp_path / "in" / "a.warc.gz", (head(1, warc.digest_of(b"one")), body + b"one"), (head(2, warc.digest_of(b"one")), body + b"two"), (head(3, b32), body + b"one"))
+    found = {r.record_id[5]: r for r in warc.deduplicate(spark, str(tmp_path / "in"), str(tmp_path / "out")).collect()}
+    assert {k: r.warc_type for k, r in found.items()} == {"1": "response", "2": "response", "3": "revisit"} and found["3"].refers_to == "<urn:1>"
+
+
+@pytest.mark.parametrize("kind", ["plain", "gzip", "zstd", "one member"])
+def test_warc_damaged_files_keep_all_bytes(spark, tmp_path, kind):
+    codec = warc.Codec("gzip" if kind == "one member" else kind)
+    raws = [warc.encode({"record_id": f"<urn:{i}>", "warc_type": "response", "date": f"2024-01-0{i + 1}T00:00:00Z"}, b"body%d" % (i % 3) * 50) for i in range(5)]
+    packed = [codec.pack(r) for r in raws] if kind != "one member" else [codec.pack(b"".join(raws))]
+    (tmp_path / "in").mkdir()
+    name = f"a{codec.suffix}"
+    (tmp_path / "in" / name).write_bytes(b"".join(packed) + (b"" if kind == "one member" else packed[0][:-9]))
+    found = warc.deduplicate(spark, str(tmp_path / "in"), str(tmp_path / "out")).collect()
+    kinds = sorted((r.record_id or "", r.warc_type, r.payload_bytes) for r in found)
+    tail = [] if kind == "one member" else [("", "damaged", len(packed[0]) - 9)]
+    assert kinds == tail + [("<urn:0>", "response", 250), ("<urn:1>", "response", 250), ("<urn:2>", "response", 250), ("<urn:3>", "revisit", 0), ("<urn:4>", "revisit", 0)]
+    if tail:
+        whole = next(p for p in (tmp_path / "out").iterdir()).read_bytes()
+        assert whole.endswith(packed[0][:-9])
+    again = warc.deduplicate(spark, str(tmp_path / "out"), str(tmp_path / "out2")).collect()
+    assert sorted((r.record_id or "", r.warc_type, r.payload_bytes) for r in again) == kinds
+
+
+def test_warc_long_payloads_and_clashing_columns(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", ("x%d " % (i % 2)) * 400000, "p", "d", "v") for i in range(3)], "page_id bigint, url string, html string, payload string, digest string, visit string")
+    records = warc.captures(pages)
+    warc.write(records, str(tmp_path / "in"), dictionary=warc.train(records))
+    found = warc.deduplicate(spark, str(tmp_path / "in"), str(tmp_path / "out")).collect()
+    assert len(found) == 9 and sorted(r.payload_bytes for r in found if r.payload_bytes) == [1200000, 1200000]
+
+
 def test_warc_empty(spark, tmp_path):
     empty = spark.createDataFrame([], "page_id bigint, url string, html string")
     warc.write(warc.captures(empty), str(tmp_path / "in"))
@@ -420,6 +473,86 @@ def test_parser_reads_past_raw_tags(source, said):
     assert "".join(t for _, t in htmltree.parse(source).texts) == said
 
 
+@pytest.mark.parametrize("piece", ["<h1>", "<!", "<b>", '<a "', "</b>", "<p>", "<svg>"])
+def test_parser_is_linear(piece):
+    import time
+
+    html = piece * ((1 << 20) // len(piece))
+    began = time.process_time()
+    htmltree.parse(html)
+    assert time.process_time() - began < 12  # quadratic would be hours
+    half = htmltree.parse(html[: len(html) // 2])
+    assert len(half.tags) <= len(html)
+
+
+def brute_features(tree):
+    """The dense features, node by node and by recursion."""
+    kids = [[j for j, p in enumerate(tree.parents) if p == i] for i in range(len(tree.tags))]
+    own = [[t for e, t in tree.texts if e == i] for i in range(len(tree.tags))]
+
+    def below(i):
+        return [i] + [x for k in kids[i] for x in below(k)]
+
+    def linked(i):
+        return tree.tags[i] == "a" or (tree.parents[i] >= 0 and linked(tree.parents[i]))
+
+    def chars(i):
+        return sum(len(t) for j in below(i) for t in own[j])
+
+    out = []
+    for i, parent in enumerate(tree.parents):
+        sub = below(i)
+        texts = [t for j in sub for t in own[j]]
+        n, c = len(sub), chars(i)
+        links, link_chars = sum(tree.tags[j] == "a" for j in sub), sum(len(t) for j in sub if linked(j) for t in own[j])
+        words, stops = sum(t.count(" ") + 1 for t in texts), sum(t.count(".") + t.count(",") for t in texts)
+        caps, self_chars = sum(t[:1].isupper() for t in texts), sum(map(len, own[i]))
+        family = kids[parent] if parent >= 0 else [i]
+        among, place, up = sum(map(chars, family)), family.index(i), chars(parent) if parent >= 0 else c
+        per = lambda a, b: a / max(b, 1)
+        out.append([
+            np.log1p(c), np.log1p(self_chars), np.log1p(n), per(c, n), per(link_chars, c), per(links, n), per(words, n), per(c, words), per(stops, words), per(caps, n),
+            tree.depths[i], len(kids[i]), place, per(place, len(family) - 1), len(family), per(c, among), per(among, len(family)), per(c, up), per(self_chars, c),
+        ])
+    return np.array(out)
+
+
+def test_extraction_brute_force(spark, sf):
+    """Features, labels and the decoded text of whole pages against node-by-node versions."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    forest = extraction.fit(pages)
+    sources = [r.html for r in pages.orderBy("page_id").limit(12).collect()] + ["<p>a<a>b</a><div>c", "plain"]
+    found = {r.page_id: r for r in extraction.extract(spark.createDataFrame(list(enumerate(sources)), "page_id bigint, html string"), forest).collect()}
+    for i, source in enumerate(sources):
+        tree = htmltree.parse(source)
+        nodes = extraction.Nodes([tree])
+        features = nodes.features()
+        want = brute_features(tree)
+        assert np.allclose(features[:, : want.shape[1]], want)
+        inside = [any(tree.tags[j] in ("article", "main") for j in ancestors(tree, k)) for k in range(len(tree.tags))]
+        assert nodes.labels().tolist() == inside
+        logit = forest.logit(features)
+
+        def best(k):
+            """(value of choosing k and all below, best value, chosen nodes)"""
+            kids = [j for j, p in enumerate(tree.parents) if p == k]
+            parts = [best(j) for j in kids]
+            whole, rest = logit[k] + sum(p[0] for p in parts), sum(p[1] for p in parts)
+            every = {k}.union(*(p[3] for p in parts))
+            return (whole, whole, every, every) if whole > rest + 1e-12 else (whole, rest, set().union(*(p[2] for p in parts)), every)
+
+        chosen = set().union(*(best(k)[2] for k, p in enumerate(tree.parents) if p < 0))
+        assert found[i].n_nodes == len(tree.tags) and found[i].n_kept == len(chosen)
+        said = "".join(t for e, t in tree.texts if e in chosen)
+        assert "".join(found[i].text.split()) == "".join(said.split())
+
+
+def ancestors(tree, i):
+    while i >= 0:
+        yield i
+        i = tree.parents[i]
+
+
 def test_extraction_held_out_accuracy(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     forest = extraction.fit(pages.where("page_id % 2 = 0"))
