@@ -17,11 +17,13 @@ Defined results
     counts as one): predicted null, not accepted.
     Ties between labels: the alphabetically first. Repeated rows: each is scored.
     Null labels: not used for fitting. No labelled row at all: every text is
-    predicted ``und`` and accepted by none. Other columns are never read.
+    predicted ``und`` and accepted by none. Over ``MOST_LABELS`` labels: an error, as
+    the matrix has a row for each. Other columns are never read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -124,12 +126,13 @@ def fit(
 
     The sample bounds what the driver receives: one count per label and bucket.
     """
-    spark = docs.sparkSession
-    key = docs.select(F.col(id_col).alias("id_"), F.col(label_col).cast("string").alias("label_")).where(
-        F.col("label_").isNotNull() & F.col("id_").isNotNull()
-    )
-    order = Window.partitionBy("label_").orderBy(F.xxhash64("id_"), "id_")
-    chosen = key.withColumn("rank_", F.row_number().over(order)).where(F.col("rank_") <= rows_per_label)
+    h = F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 12), 16, 10).cast("bigint")
+    key = docs.select(F.col(id_col).alias("id_"), F.col(label_col).cast("string").alias("label_"), h.alias("h_")).where(F.col("label_").isNotNull() & F.col("id_").isNotNull())
+    # a label's first rows have hashes under a bound that its count gives, so that only some of a label's rows meet
+    many = key.groupBy("label_").agg(F.least(F.lit(1.0), (rows_per_label + 10 * math.sqrt(rows_per_label)) / F.count("*")).alias("share_"))
+    few = key.join(F.broadcast(many.limit(MOST_LABELS + 1)), "label_").where(F.col("h_") <= F.col("share_") * (1 << 48))
+    order = Window.partitionBy("label_").orderBy("h_", "id_")
+    chosen = few.withColumn("rank_", F.row_number().over(order)).where(F.col("rank_") <= rows_per_label)
     labels = tuple(sorted(r[0] for r in chosen.select("label_").distinct().limit(MOST_LABELS + 1).collect()))
     if len(labels) > MOST_LABELS:
         raise ValueError(f"{label_col} has over {MOST_LABELS} values")
@@ -167,7 +170,7 @@ def decide(texts: pa.Array, model: LangModel) -> tuple[pa.Array, pa.Array, np.nd
     some = grams > 0
     margin = np.zeros(len(best))
     if score.shape[1] > 1:
-        margin = (score.max(1, initial=-np.inf) - rest.max(1, initial=-np.inf)) / np.maximum(grams, 1)
+        margin = np.round((score.max(1, initial=-np.inf) - rest.max(1, initial=-np.inf)) / np.maximum(grams, 1), 4)
     names = np.array([*model.labels, UND], object)[best]
     names[~some] = None
     accepted = some & (best < len(model.labels))
