@@ -9,13 +9,15 @@ whose demand exceeds its supply starts another epoch; documents beyond D(1) are
 placed. The result is sorted by position.
 
 Plan
-    One pass counts tokens per (source, bucket), a bucket being a prefix of the hash
-    order. Sums over buckets give each bucket's start, so that no window ever holds
+    Tokens are those of a byte-level BPE, counted by ``tokencount.row_counts``. One pass
+    sums them per (source, bucket), a bucket being a prefix of the hash order. Sums over buckets give each bucket's start, so that no window ever holds
     a whole source, however hot. Positions are close to uniform in tokens, which
     makes the final range partitioning a computed number, without a sampling job.
 
 Defined results
-    null or empty text: no tokens, not placed. Null source: a source of its own.
+    null or empty text: no tokens, not placed. Null source: a source of its own. A
+    source that a given schedule leaves out: not placed. Over ``MOST_SOURCES`` sources:
+    an error, as their schedules are worked out on the driver.
     Null id: placed, ordered like the empty id. Ties (same id): by token count, then
     a hash of the text. Repeated rows: each is placed. Empty table: no rows. Other
     columns are carried through untouched by ``mix`` and not read by ``positions``.
@@ -30,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.words import word_count
+from corpusmill.llm.tokencount import VOCABULARY, row_counts
 from corpusmill.session import cut
 
 BUCKETS = 4096
@@ -95,12 +97,12 @@ def inverse(x: Column) -> Column:
     return at("times", k) + F.when(y > 0, 2 * y / (a + root)).otherwise(0.0)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep: list[Column]) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, vocabulary: str | None, keep: list[Column]) -> DataFrame:
     h = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = docs.select(
-        F.col(source_col).cast("string").alias("__source"), F.col(id_col).alias("__id"), h.alias("__h"),
-        word_count(F.col(text_col)).alias("__tokens"), F.xxhash64(text_col).alias("__text"), *keep,
-    ).where("__tokens > 0")
+    slim = docs.select(
+        F.col(source_col).cast("string").alias("__source"), F.col(id_col).alias("__id"), h.alias("__h"), F.col(text_col).alias("__text_"), F.xxhash64(text_col).alias("__text"), *keep
+    )
+    rows = row_counts(slim, vocabulary, "__text_").withColumnRenamed("n_tokens", "__tokens").where("__tokens > 0")
     bucket = F.shiftright(F.conv(F.substring("__h", 1, 8), 16, 10).cast("bigint") * BUCKETS, 32).cast("int")
     return rows.withColumn("__bucket", bucket)
 
@@ -112,7 +114,9 @@ def _placed(rows: DataFrame, schedule, budget: int | None) -> DataFrame:
     supply = {r[0]: int(r[1]) for r in sums.groupBy("__source").agg(F.sum("sum")).limit(MOST_SOURCES + 1).collect()}
     if len(supply) > MOST_SOURCES:
         raise ValueError(f"over {MOST_SOURCES} sources")
-    total = int(budget or sum(supply.values()))
+    total = int(sum(supply.values()) if budget is None else budget)
+    if total <= 0 and budget is not None:
+        raise ValueError("the budget must be 1 token at least")
     want = demands(schedule(supply) if callable(schedule) else {s: k for s, k in schedule.items() if s in supply}) if supply else {}
     table = spark.createDataFrame(
         [Row(s, float(supply[s]), list(d.times), list(d.weights), list(d.integrals)) for s, d in want.items()],
@@ -144,24 +148,33 @@ def _sorted(rows: DataFrame) -> DataFrame:
 
 
 def positions(
-    docs: DataFrame, schedule=tempered, budget: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+    docs: DataFrame, schedule=tempered, budget: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", vocabulary: str | None = VOCABULARY
 ) -> DataFrame:
     """(doc_id, source, epoch, n_tokens, position), sorted by position.
 
     ``schedule``: knots (time, weight) by source, or a function of the sources'
-    supplies that returns them. ``budget``: tokens of the whole curriculum; all
-    tokens of the table where it is not given.
+    supplies that returns them; a source that it leaves out has weight 0 and is not
+    placed. ``budget``: tokens of the whole curriculum; all tokens of the table where
+    it is not given. Without a vocabulary, words are counted.
     """
-    rows = cut(_keyed(docs, id_col, text_col, source_col, []))
-    placed = _sorted(_placed(rows, schedule, budget))
+    placed = _sorted(_placed(_keyed(docs, id_col, text_col, source_col, vocabulary, []), schedule, budget))
     return placed.select(
         F.col("__id").alias("doc_id"), F.col("__source").alias("source"), F.col("__epoch").alias("epoch"),
         F.col("__tokens").alias("n_tokens"), F.round("__position", 9).alias("position"),
     )
 
 
-def mix(docs: DataFrame, schedule=tempered, budget: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs``, with their columns, as often and in the order that the curriculum places them."""
-    keep = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)]
-    placed = _sorted(_placed(_keyed(docs, id_col, text_col, source_col, keep), schedule, budget))
-    return placed.select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)))
+def mix(
+    docs: DataFrame, schedule=tempered, budget: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", vocabulary: str | None = VOCABULARY
+) -> DataFrame:
+    """The rows of ``docs``, with their columns, as often and in the order that the curriculum places them.
+
+    Rows are placed without their texts, by their file and row; a table that is no file is
+    written first. Texts move to their places, and then in order.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = cut(docs)
+    row = F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    placed = _placed(_keyed(docs, id_col, text_col, source_col, vocabulary, [row.alias("__row")]), schedule, budget).drop("__bucket", "k_", "start", "supply", "times", "weights", "integrals")
+    whole = docs.select(*(F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)), row.alias("__row"))
+    return _sorted(whole.join(placed, "__row")).select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)))

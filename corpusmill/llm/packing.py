@@ -7,8 +7,9 @@ opened; were that one too many, the fullest open bin closes first. A document lo
 than a sequence is cut into full pieces, each a bin of its own, and a rest.
 
 Plan
-    Only (id, token count) is shuffled, never a text. Documents go by a hash of the
-    id to shards of about ``shard_tokens`` tokens; the number of shards follows from
+    Tokens are those of a byte-level BPE, counted by ``tokencount.row_counts`` (or words,
+    without a vocabulary). Only (id, token count) is shuffled, never a text. Documents go by
+    a hash of the id to shards of about ``shard_tokens`` tokens; the number of shards follows from
     the table and not from the cluster, so that the result is the same on any. Each
     shard is packed in order of id by one task, row by row, in constant memory.
     With ``in_order`` documents keep the order of the table: running sums of tokens
@@ -20,7 +21,7 @@ Plan
 Defined results
     null or empty text: no tokens, in no bin. Null id: packed, last of its shard.
     Ties (same id): by token count. Repeated rows: each is packed. Empty table: no
-    rows. Other columns are not read.
+    rows. Ids are integers, or what casts to bigint. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.words import word_count
+from corpusmill.llm.tokencount import VOCABULARY, row_counts
 from corpusmill.session import cut
 
 CAPACITY, OPEN_BINS, SHARD_TOKENS = 2048, 64, 8 << 20
@@ -117,19 +118,22 @@ def _before(rows: DataFrame) -> DataFrame:
 
 
 def pack(
-    docs: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text", in_order: bool = False
-) -> DataFrame:
+    docs: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text",
+    in_order: bool = False, vocabulary: str | None = VOCABULARY,
+) -> DataFrame:
     """(shard, bin, offset, doc_id, start, n_tokens): the place of each piece of each document."""
     spark = docs.sparkSession
     place = _arrival(docs) if in_order else []
-    rows = cut(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), word_count(F.col(text_col)).alias("n"), *place).where("n > 0"))
+    rows = row_counts(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text_"), *place), vocabulary, "text_")
+    rows = rows.where("n_tokens > 0").withColumnRenamed("n_tokens", "n")
     total = rows.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-int(total) // shard_tokens))
     parts = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
     if in_order:
         rows = _before(rows).withColumn("shard", F.floor(F.col("before") / shard_tokens).cast("int"))
     else:
-        rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(shards)).cast("int"))
+        h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 12), 16, 10).cast("bigint")
+        rows = rows.withColumn("shard", F.pmod(h, F.lit(shards)).cast("int"))
     order = ["before"] if in_order else [F.asc_nulls_last("doc_id"), "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,8 @@ apart by 64-bit hashes.
 Defined results
     One row per distinct (id, text). null or empty text: 0 tokens. Null id: a row
     with null. Repeated rows: one row. Empty table: no rows. Special-token strings
-    in a text are ordinary text. Other columns are not read.
+    in a text are ordinary text. Ids are integers, or what casts to bigint. Other
+    columns are not read. ``row_counts``: one row per row, with all other columns.
 """
 
 from __future__ import annotations
@@ -31,9 +32,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from corpusmill.llm import numtext as nt
 from corpusmill.llm.substring import document_key
+from corpusmill.llm.words import word_count
 from corpusmill.session import cut
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -184,20 +187,26 @@ def _frequent(table: DataFrame, most: int) -> DataFrame:
     return table.where(F.floor(F.log2("n") * 16) >= floor) if floor is not None else table.limit(0)
 
 
-def token_counts(
-    docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", broadcast_entries: int = BROADCAST_ENTRIES
-) -> DataFrame:
-    """(doc_id, n_tokens)."""
-    table = cut(dictionary(docs, vocabulary, text_col))
+def row_counts(rows: DataFrame, vocabulary: str | None = VOCABULARY, text_col: str = "text", broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
+    """The rows of ``rows`` with their columns but the text, and ``n_tokens``.
+
+    Rows that are alike stay apart. Without a vocabulary, words are counted. The result is
+    written as a table once (``session.cut``); only pre-tokens that are not broadcast are
+    joined, by the number that a row has in it.
+    """
+    rest = [c for c in rows.columns if c != text_col]
+    if vocabulary is None:
+        return cut(rows.select(*rest, word_count(F.col(text_col)).alias("n_tokens")))
+    table = cut(dictionary(rows, vocabulary, text_col))
     top = _frequent(table, broadcast_entries).select("hash", "pieces").toArrow()
     hot, pieces = nt.as_word(top["hash"].to_numpy()), top["pieces"].to_numpy()
     order = np.argsort(hot)
-    shared = docs.sparkSession.sparkContext.broadcast((hot[order], pieces[order].astype(np.int32)))
+    shared = rows.sparkSession.sparkContext.broadcast((hot[order], pieces[order].astype(np.int32)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, values = shared.value
         for batch in batches:
-            buf, off = nt.flat(batch.column(2))
+            buf, off = nt.flat(batch.column(0))
             total = np.zeros(batch.num_rows, np.int64)
             rest: list[list[np.ndarray]] = [[], []]
             length = np.zeros(batch.num_rows, np.int64)
@@ -221,13 +230,24 @@ def token_counts(
             at = np.concatenate([[0], np.cumsum(length)])
             cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(total), nt.lists(nt.as_long(cat(rest[0], nt.U64)), at, pa.int64()), nt.lists(cat(rest[1], np.int64), at, pa.int64())],
-                names=["key", "doc_id", "known", "hashes", "times"],
+                [*batch.columns[1:], pa.array(total), nt.lists(nt.as_long(cat(rest[0], nt.U64)), at, pa.int64()), nt.lists(cat(rest[1], np.int64), at, pa.int64())],
+                names=[*batch.schema.names[1:], "known_", "hashes_", "times_"],
             )
 
-    rows = docs.select(document_key(id_col, text_col).alias("key"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text_"))
-    base = rows.mapInArrow(nt.tidy(count), "key bigint, doc_id bigint, known bigint, hashes array<bigint>, times array<bigint>")
-    base = cut(base.dropDuplicates(["key"]))
-    tail = base.select("key", F.explode(F.arrays_zip("hashes", "times")).alias("x")).select("key", F.col("x.hashes").alias("hash"), "x.times")
-    tail = tail.join(table.select("hash", "pieces"), "hash").groupBy("key").agg(F.sum(F.col("times") * F.col("pieces")).alias("more"))
-    return base.join(tail, "key", "left").select("doc_id", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_tokens"))
+    named = rows.select(F.col(text_col), *rest)
+    kinds = StructType([f for f in named.schema.fields if f.name != text_col])
+    kinds = kinds.add("known_", LongType()).add("hashes_", ArrayType(LongType())).add("times_", ArrayType(LongType()))
+    # numbered where it is written, so that a row has one number in all that reads it
+    base = cut(named.mapInArrow(nt.tidy(count), kinds).withColumn("row_", F.monotonically_increasing_id()))
+    tail = base.select("row_", F.explode(F.arrays_zip("hashes_", "times_")).alias("x")).select("row_", F.col("x.hashes_").alias("hash"), F.col("x.times_").alias("times"))
+    tail = tail.join(table.select("hash", "pieces"), "hash").groupBy("row_").agg(F.sum(F.col("times") * F.col("pieces")).alias("more_"))
+    slim = base.drop("hashes_", "times_").join(tail, "row_", "left")
+    return cut(slim.select(*rest, (F.col("known_") + F.coalesce("more_", F.lit(0))).alias("n_tokens")))
+
+
+def token_counts(
+    docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", broadcast_entries: int = BROADCAST_ENTRIES
+) -> DataFrame:
+    """(doc_id, n_tokens)."""
+    rows = docs.select(document_key(id_col, text_col).alias("key_"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text_"))
+    return row_counts(rows, vocabulary, "text_", broadcast_entries).dropDuplicates(["key_"]).drop("key_")

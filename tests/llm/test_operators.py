@@ -272,7 +272,7 @@ def test_packing_brute_force(most):
 
 def test_packing_places_every_token_once(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    placed = packing.pack(docs, capacity=100, open_bins=4, shard_tokens=5000)
+    placed = packing.pack(docs, capacity=100, open_bins=4, shard_tokens=5000, vocabulary=None)
     total = docs.select(F.sum(F.size(F.expr(r"filter(split(text, '[ \\t\\n\\f\\r\\x0B]+'), w -> w <> '')")))).first()[0]
     found = placed.toPandas()
     assert found.n_tokens.sum() == total and found.shard.nunique() > 1
@@ -281,18 +281,36 @@ def test_packing_places_every_token_once(spark, sf):
     assert (bins.n_tokens.cumsum() - found.n_tokens == found.offset).all()
 
 
+def test_packing_counts_tokens(spark, sf):
+    """Every token of the tokenizer once, and no bin over its capacity; one shard equals the brute-force packer."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    encode = tokencount.load_encoding(tokencount.VOCABULARY).encode_ordinary
+    sizes = {r.doc_id: len(encode(r.text or "")) for r in docs.collect()}
+    some = [(i, n) for i, n in sorted(sizes.items()) if n]
+    want = [(0, b, o, some[i][0], start, n) for i, start, n, b, o in brute_pack([n for _, n in some], packing.CAPACITY, packing.OPEN_BINS)]
+    assert rows(packing.pack(docs)) == sorted(want, key=repr)
+
+
+def test_row_counts_keep_repeated_rows_apart(odd):
+    encode = tokencount.load_encoding(tokencount.VOCABULARY).encode_ordinary
+    for entries in (1 << 20, 0):
+        found = tokencount.row_counts(odd.select("doc_id", "text", F.length("text").alias("long")), broadcast_entries=entries)
+        assert found.columns == ["doc_id", "long", "n_tokens"]
+        assert sorted(r.n_tokens for r in found.collect()) == sorted(len(encode(r[1] or "")) for r in awkward())
+
+
 def test_packing_awkward(odd, none):
     found = packing.pack(odd).collect()
-    assert {r.doc_id for r in found} == {1, None, 5, 6, 7, 8, 9}
+    assert {r.doc_id for r in found} == {1, None, 4, 5, 6, 7, 8, 9}  # white space is tokens too
     assert packing.pack(none).count() == 0
 
 
 def test_packing_in_order(spark, tmp_path):
     docs = spark.createDataFrame([(i, "w " * (1 + i * i % 97), "ab"[i % 8 == 0]) for i in range(900)], "doc_id bigint, text string, source string")
     schedule = {"a": [(0.0, 3.0), (1.0, 1.0)], "b": [(0.0, 0.0), (1.0, 4.0)]}
-    arrived = [(r.doc_id, r.n_tokens) for r in mixing.positions(docs, schedule).collect()]
+    arrived = [(r.doc_id, r.n_tokens) for r in mixing.positions(docs, schedule, vocabulary=None).collect()]
     assert len({d for d, _ in arrived}) < len(arrived)
-    mixing.mix(docs, schedule).write.parquet(str(tmp_path / "mixed"))
+    mixing.mix(docs, schedule, vocabulary=None).write.parquet(str(tmp_path / "mixed"))
     written = spark.read.parquet(str(tmp_path / "mixed"))
     want, shards, sum_ = [], {}, 0
     for d, n in arrived:
@@ -303,8 +321,8 @@ def test_packing_in_order(spark, tmp_path):
     assert len(shards) > 3
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")  # splits are read largest first
     try:
-        for mixed in (written, mixing.mix(docs, schedule)):
-            assert rows(packing.pack(mixed, 100, 4, 5000, in_order=True)) == sorted(want, key=repr)
+        for mixed in (written, mixing.mix(docs, schedule, vocabulary=None)):
+            assert rows(packing.pack(mixed, 100, 4, 5000, in_order=True, vocabulary=None)) == sorted(want, key=repr)
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
@@ -863,7 +881,7 @@ def test_mixing_follows_the_schedule(spark):
     docs = [(i, "w " * (1 + i % 7), "abc"[i % 3]) for i in range(3000)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
     schedule = {"a": [(0.0, 3.0), (0.5, 1.0), (1.0, 1.0)], "b": [(0.0, 1.0), (1.0, 1.0)], "c": [(0.0, 0.0), (1.0, 4.0)]}
-    found = mixing.positions(df, schedule).toPandas()
+    found = mixing.positions(df, schedule, vocabulary=None).toPandas()
     total = sum(len(t.split()) for _, t, _ in docs)
     want = mixing.demands(schedule)
     for s in "abc":
@@ -877,10 +895,25 @@ def test_mixing_follows_the_schedule(spark):
         assert np.abs(spent.to_numpy() - np.array(exact)).max() < 0.01 * total
         again = own.groupby("doc_id").epoch.apply(lambda e: sorted(e) == list(range(len(e))))
         assert again.all()
-    order = mixing.positions(df, schedule).select("position").collect()
+    order = mixing.positions(df, schedule, vocabulary=None).select("position").collect()
     assert [r[0] for r in order] == sorted(r[0] for r in order)
 
 
+def test_mixing_awkward_schedules(spark):
+    df = spark.createDataFrame([(i, "w " * 5, "abc"[i % 3]) for i in range(90)], "doc_id bigint, text string, source string")
+    found = mixing.positions(df, {"a": [(0.0, 1.0)], "b": [(0.0, 1.0)]}).collect()
+    assert {r.source for r in found} == {"a", "b"}  # what the schedule leaves out is not placed
+    with pytest.raises(ValueError):
+        mixing.positions(df, budget=0)
+
+
+def test_mixing_repeated_rows(spark):
+    """Rows that are alike are each placed, as often as one another give or take one epoch."""
+    df = spark.createDataFrame([(1, "a b", "x")] * 3 + [(2, "a b", "x")] * 2, "doc_id bigint, text string, source string")
+    mixed = mixing.mix(df, {"x": [(0.0, 1.0)]}, vocabulary=None)
+    assert sorted(r.doc_id for r in mixed.collect()) == [1, 1, 1, 2, 2]
+
+
 def test_mixing_keeps_rows_whole(odd, none):
     mixed = mixing.mix(odd)
     assert mixed.columns == odd.columns
