@@ -250,7 +250,7 @@ def marked(docs: DataFrame, length: int, id_col: str, text_col: str, few: bool =
     if length < 2:
         raise ValueError("a passage has two words at least")
     period = period_for(length)
-    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = nt.ranges(docs)
     texts = docs.where(F.col(text_col).isNotNull()).select(
         document_key(id_col, text_col).alias("key"), F.col(id_col).cast("bigint").alias("id_"), F.col(text_col).alias("text_")
     )

@@ -939,10 +939,144 @@ def test_pipeline_stages(spark, sf):
     assert cp.run(spark, sf).count() == counts[-1]
 
 
+def brute_language(docs, buckets=1 << 16, alpha=0.1):
+    """Ids whose text is in a known language, by loops over characters."""
+    import math
+    from collections import Counter
+
+    def grams(text):
+        t = re.sub(r"[^a-z\x80-\U0010ffff]+", " ", text.lower()).lstrip(" ")
+        code = [int.from_bytes(c.encode(), "little") for c in t]
+        for order in (2, 3):
+            for i in range(len(code) - order + 1):
+                h = (0x811C9DC5 * order) & 0xFFFFFFFF
+                for c in code[i : i + order]:
+                    h = ((h ^ c) * 0x01000193) & 0xFFFFFFFF
+                    h ^= h >> 15
+                h = (h * 0x846CA68B) & 0xFFFFFFFF
+                yield (h ^ (h >> 16)) % buckets
+
+    found = {i: Counter(grams(t or "")) for i, t, _, _ in docs}
+    seen = {}
+    for i, _, lang, _ in docs:
+        if lang is not None:
+            seen.setdefault(lang, Counter()).update(found[i])
+    total = {k: sum(c.values()) + alpha * buckets for k, c in seen.items()}
+    out = set()
+    for i, own in found.items():
+        score = {k: sum(n * (math.log(c[b] + alpha) - math.log(total[k])) for b, n in own.items()) for k, c in seen.items()}
+        if own and max(score.values()) > -math.log(buckets) * sum(own.values()):
+            out.add(i)
+    return out
+
+
+def brute_cut(docs, length):
+    """Rounds over all windows in order of (id, place), until none stands twice."""
+    while True:
+        first, cut = {}, {}
+        for i, text in sorted(docs.items()):
+            w = re.findall(rb"[^ \t\n\v\f\r]+", text.encode())
+            for p in range(len(w) - length + 1):
+                at = first.setdefault(tuple(w[p : p + length]), (i, p))
+                if at != (i, p):
+                    begin = max(p, at[1] + length) if at[0] == i else p
+                    cut.setdefault(i, set()).update(range(begin, p + length))
+        if not cut:
+            return docs
+        for i, words_ in cut.items():
+            raw = docs[i].encode()
+            spans = [m.start() for m in re.finditer(rb"[^ \t\n\v\f\r]+", raw)] + [len(raw)]
+            kept = raw[: spans[0]] + b"".join(raw[spans[k] : spans[k + 1]] for k in range(len(spans) - 1) if k not in words_)
+            docs[i] = kept.decode()
+            if not docs[i].strip(" \t\n\v\f\r"):
+                del docs[i]
+
+
+def brute_curriculum(docs, encode):
+    """(id, tokens) in the order of training, from shares at the start to their roots at the end."""
+    import hashlib
+    import math
+
+    sizes = {i: len(encode(t)) for i, (t, _) in docs.items()}
+    supply, total = {}, float(sum(sizes.values()))
+    for i, (_, source) in docs.items():
+        supply[source] = supply.get(source, 0) + sizes[i]
+    roots = sum(math.sqrt(v / total) for v in supply.values())
+    placed = []
+    for source, have in supply.items():
+        a, b, at = have / total, math.sqrt(have / total) / roots, 0
+        own = sorted((hashlib.md5(str(i).encode()).hexdigest(), i) for i, (_, s) in docs.items() if s == source and sizes[i])
+        for h, i in own:
+            epoch = 0
+            while at + epoch * have < total * (a + b) / 2:
+                y = (at + epoch * have) / total
+                placed.append((2 * y / (a + math.sqrt(a * a + 2 * (b - a) * y)), source, h, i, epoch))
+                epoch += 1
+            at += sizes[i]
+    return [(i, sizes[i]) for *_, i, _ in sorted(placed)]
+
+
+def test_pipeline_brute_force(spark, sf, tmp_path):
+    """The whole pipeline against plain Python."""
+    import corpus_pipeline as cp
+
+    rng, given = random.Random(3), spark.read.parquet(f"{sf}/documents.parquet")
+    noise = [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxyz") for _ in range(7)) for _ in range(60)) for _ in range(5)]
+    long = [r.text for r in given.where("n_chars > 3000").orderBy("doc_id").limit(3).collect()]
+    more = [(1000 + i, t) for i, t in enumerate([*noise, *(" ".join(long[0].split()[20:110]) + "\n" + t for t in long[1:])])]
+    more = spark.createDataFrame([(i, t, None, "src1", len(t)) for i, t in more], given.schema)
+    given.union(more).write.parquet(str(tmp_path / "documents.parquet"))
+    sf = str(tmp_path)
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = [(r.doc_id, r.text, r.lang, r.source) for r in table.collect()]
+    source = {i: s for i, _, _, s in docs}
+    known = brute_language(docs)
+    assert len(known) < len(docs)
+    docs = [(i, t) for i, t, _, _ in docs if i in known]
+    roots = {i for i, c, _ in brute_classes(docs, 5, 0.4) if i == c}
+    assert len(roots) < len(docs)
+    left = brute_cut({i: t for i, t in docs if i in roots}, 50)
+    assert any(left.get(i) != t for i, t in docs if i in roots)
+    order = brute_curriculum({i: (t, source[i]) for i, t in left.items()}, tokencount.load_encoding(tokencount.VOCABULARY).encode_ordinary)
+    assert len(set(order)) < len(order)  # some documents are repeated
+    shards, before = {}, 0
+    for i, n in order:
+        shards.setdefault(before // packing.SHARD_TOKENS, []).append((i, n))
+        before += n
+    want = [(shard, b, o, own[k][0], start, n) for shard, own in shards.items() for k, start, n, b, o in brute_pack([n for _, n in own], packing.CAPACITY, packing.OPEN_BINS)]
+    assert rows(cp.run(spark, sf)) == sorted(want, key=repr)
+
+
+def test_pipeline_keeps_the_curriculum(spark, sf):
+    """Bins follow the order of training, and what is repeated does not meet itself in a bin unless bins are few."""
+    import corpus_pipeline as cp
+
+    found = cp.run(spark, sf.replace("sf0.001", "sf0.01")).toPandas()
+    want = mixing.positions
+    docs = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    for _, stage in cp.STAGES[:3]:
+        docs = stage(spark, docs, sf)
+    first = want(docs).where("epoch = 0").toPandas().set_index("doc_id").position
+    bins = found[found.start == 0].groupby("doc_id").bin.min()
+    both = first.to_frame().join(bins, how="inner")
+    assert both.position.rank().corr(both.bin.rank()) > 0.9
+
+
 def test_pipeline_awkward(spark, odd, none):
     import corpus_pipeline as cp
 
-    for docs in (odd, none):
-        for _, stage in cp.STAGES:
-            docs = stage(spark, docs, "")
-        docs.count()
+    docs, kept = odd, []
+    for name, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == odd.columns, name
+        kept.append(sorted((r.doc_id for r in docs.collect()), key=repr))
+    # texts without letters and null texts go; 7 is close to 6; repeated rows and null ids stay, repeated rows without what repeats
+    assert not {2, 3, 4} & set(kept[0]) and None in kept[0] and kept[0].count(1) == 3
+    assert 7 in kept[0] and 7 not in kept[1] and set(kept[1]) | {7} == set(kept[0])
+    assert set(kept[2]) == set(kept[1]) and set(kept[3]) <= set(kept[2])
+    placed = cp.STAGES[-1][1](spark, docs, "")
+    assert sorted({r.doc_id for r in placed.collect()}, key=repr) == sorted(set(kept[3]), key=repr)
+    docs = none
+    for _, stage in cp.STAGES:
+        docs = stage(spark, docs, "")
+    assert docs.count() == 0
