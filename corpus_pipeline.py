@@ -1,6 +1,15 @@
 """The pipeline over ``documents``: identify the language, drop near copies, cut
 repeated passages, mix the sources and pack. Each stage's rows are written as
-Parquet to the shared folder and read again as the next one's ``docs``."""
+Parquet to the shared folder and read again as the next one's ``docs``.
+
+Defined results
+    null and empty texts, and texts without letters, go in the first stage, as they are
+    in no language. Null ids: kept, in no group of near copies, ordered last among
+    places of a passage, mixed like the empty id, packed with a null id. Repeated rows:
+    kept, as they are one document; each is mixed and packed. Ties: see the operators.
+    Very long texts: whole. Null sources are a source. An empty table: no rows. Other
+    columns are carried to the packing, whatever their names. Folders of stages stay in
+    the shared folder as long as the result can be read."""
 
 from __future__ import annotations
 
