@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 EXIT = {"ok": 0, "generic": 1, "configuration": 2, "input": 3, "processing": 4, "output": 5, "validation": 6}
 
 
-class CatalogError(Exception):
+class BuildError(Exception):
     """Base of all errors of a build; ``kind`` sets the exit code."""
 
     kind = "generic"
@@ -19,34 +19,34 @@ class CatalogError(Exception):
         return EXIT[self.kind]
 
 
-class ConfigurationError(CatalogError):
+class ConfigurationError(BuildError):
     kind = "configuration"
     advice = ("check the names and types in the configuration file", "write a sample with --init-config")
 
 
-class InputError(CatalogError):
+class InputError(BuildError):
     kind = "input"
     advice = ("check that the input directory exists and can be read", "check the include and exclude globs")
 
 
-class ProcessingError(CatalogError):
+class ProcessingError(BuildError):
     kind = "processing"
     advice = ("look at the listed files", "go on past failed files with --continue-on-error")
 
 
-class OutputError(CatalogError):
+class OutputError(BuildError):
     kind = "output"
     advice = ("check that the output directory can be written and has room",)
 
 
-class ValidationError(CatalogError):
+class ValidationError(BuildError):
     kind = "validation"
     advice = ("look at the issues in the report",)
 
 
-def categorize(error: BaseException) -> CatalogError:
+def categorize(error: BaseException) -> BuildError:
     """The error as one of the classes, by its type, then by its message."""
-    if isinstance(error, CatalogError):
+    if isinstance(error, BuildError):
         return error
     message = str(error)
     low = message.lower()
@@ -66,7 +66,7 @@ class ErrorLog:
     """Errors and warnings of a run."""
 
     continue_on_error: bool = False
-    errors: list[CatalogError] = field(default_factory=list)
+    errors: list[BuildError] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
 
     def handle(self, error: BaseException) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import paths, text
 
 #: Substrings that make a path important when documents are ordered.
-IMPORTANT = ("catalog", "doc", "get-started", "getting-started", "intro", "quick-start", "quickstart", "start", "tutorial")
+IMPORTANT = ("doc", "get-started", "getting-started", "intro", "quick-start", "quickstart", "start", "tutorial")
 #: The same when bundles are filled.
 IMPORTANT_IN_BUNDLES = ("api", "doc", "getting-started", "guide", "intro", "overview", "quick-start", "quickstart", "reference", "tutorial", "usage")
 

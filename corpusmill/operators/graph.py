@@ -37,13 +37,15 @@ def ranks(docs: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int
     nodes = docs.select("path").distinct()
     links = edges.where("type <> 'external'").select("source", "target")
     weights = links.groupBy("source", "target").count().join(links.groupBy("source").count().withColumnRenamed("count", "out"), "source")
-    shares = cut(weights.join(nodes.withColumnRenamed("path", "target"), "target", "left_semi").select("source", "target", (F.col("count") / F.col("out")).alias("share")))
-    held = cut(nodes)
-    n = held.count()
+    shares = weights.join(nodes.withColumnRenamed("path", "target"), "target", "left_semi").select("source", "target", (F.col("count") / F.col("out")).alias("share"))
+    # written once: the links, and each document as a link from nowhere
+    rows = cut(shares.unionByName(nodes.select(F.lit(None).cast("string").alias("source"), F.col("path").alias("target"), F.lit(0.0).alias("share"))))
+    n, links_ = rows.agg(F.count_if(F.col("source").isNull()), F.count("source")).first()
     if n == 0:
         return nodes.withColumn("score", F.lit(0.0))
-    if n + shares.count() <= ONE_TASK_EDGES:
-        return _ranks_of_one(held, shares, damping, rounds)
+    if n + links_ <= ONE_TASK_EDGES:
+        return _ranks_of_one(rows, damping, rounds)
+    held, shares = rows.where("source is null").select(F.col("target").alias("path")), rows.where("source is not null")
     scores = held.withColumn("score", F.lit(1.0 / n))
     kept: DataFrame | None = None
     for i in range(rounds):
@@ -59,9 +61,7 @@ def ranks(docs: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int
     return scores
 
 
-def _ranks_of_one(nodes: DataFrame, shares: DataFrame, damping: float, rounds: int) -> DataFrame:
-    rows = shares.select("source", "target", "share").unionByName(nodes.select(F.lit(None).cast("string").alias("source"), F.col("path").alias("target"), F.lit(0.0).alias("share")))
-
+def _ranks_of_one(rows: DataFrame, damping: float, rounds: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = [b for b in batches if b.num_rows]
         if not table:
@@ -132,19 +132,37 @@ def headings(docs: DataFrame) -> DataFrame:
     """(path, pos, line, level, title, anchor, parent_anchor).
 
     W6: the parent is the nearest heading above of a lower level. It is found within
-    the document's own array, so that nothing shuffles.
+    the document's own array, in one pass, so that nothing shuffles.
     """
     title = lambda c: F.trim(F.regexp_extract(c, r"\A#{1,6}\s+(.+)\z", 1), F.lit(" \t\r\f\x0b"))
     rows = F.transform(F.split("content", "\n", -1), lambda l, i: F.struct(l.alias("l"), (i + 1).alias("line")))
     rows = F.filter(rows, lambda x: x["l"].rlike(r"\A#{1,6}\s+.+\z"))
     rows = F.transform(rows, lambda x: F.struct(x["l"].alias("l"), x["line"].alias("line"), F.length(F.regexp_extract(x["l"], r"\A(#{1,6})\s", 1)).alias("level")))
     found = docs.select("path", rows.alias("found")).where(F.size("found") > 0)
-    each = found.select("path", "found", F.posexplode("found").alias("pos", "x"))
-    above = F.filter(F.slice("found", 1, F.col("pos")), lambda y: y["level"] < F.col("x.level"))
-    out = each.select("path", "pos", "x.line", "x.level", "x.l", F.when(F.size(above) > 0, F.element_at(above, -1)["l"]).alias("up"))
+    out = found.mapInArrow(_with_parents, "path string, pos int, line int, level int, l string, up string")
     return out.select("path", "pos", "line", "level", title("l").alias("title"), paths.anchor(title("l")).alias("anchor"), F.when(F.col("up").isNotNull(), paths.anchor(title("up"))).alias("parent_anchor"))
 
 
+def _with_parents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pass over each document's headings: the last heading of every level is known."""
+    for batch in batches:
+        found = batch.column(1)
+        off = found.offsets.to_numpy()
+        off = off - off[0]
+        text, line, level = (found.flatten().field(i) for i in range(3))
+        texts, levels, up, pos = text.to_pylist(), level.to_pylist(), [None] * len(text), np.zeros(len(text), np.int32)
+        for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
+            last = [-1] * 7
+            pos[a:b] = np.arange(b - a)
+            for i in range(a, b):
+                above = max(last[: levels[i]])
+                if above >= 0:
+                    up[i] = texts[above]
+                last[levels[i]] = i
+        path = batch.column(0).take(pa.array(np.repeat(np.arange(len(off) - 1), np.diff(off))))
+        yield pa.RecordBatch.from_arrays([path, pa.array(pos), line.cast(pa.int32()), level.cast(pa.int32()), text, pa.array(up, pa.string())], names=["path", "pos", "line", "level", "l", "up"])
+
+
 def section_edges(docs: DataFrame, edges: DataFrame) -> DataFrame:
     """(source, target, type): links to a section, and headings to those below them."""
     node = lambda c: F.concat("path", F.lit("#"), c)

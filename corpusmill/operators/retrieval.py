@@ -87,15 +87,24 @@ def filter_chunks(chunks: DataFrame, least: int | None = None, most: int | None
     return out.where(F.col("profile").isin(*profiles)) if profiles and "profile" in chunks.columns else out
 
 
-def loader_documents(docs: DataFrame, tagged: DataFrame | None = None) -> DataFrame:
-    """(page_content, metadata) with path, title, section and tags."""
+def loaded(rows: DataFrame, include: Iterable[str] = (), exclude: Iterable[str] = (), column: str = "path") -> DataFrame:
+    """rows whose path matches any of ``include`` (all, if none is given) and none of ``exclude``, which go first."""
+    from corpusmill.sources.files import matches_globs
+
+    return rows.where(matches_globs(F.col(column), include, exclude))
+
+
+def loader_documents(docs: DataFrame, tagged: DataFrame | None = None, include: Iterable[str] = (), exclude: Iterable[str] = ()) -> DataFrame:
+    """(page_content, metadata) with path, title, section and tags."""
+    docs = loaded(docs, include, exclude)
     rows = doc_index(docs, tagged).join(docs.select("path", "content"), "path")
     meta = F.struct(F.col("path").alias("source"), "title", "section", "tags")
     return rows.select(F.coalesce("content", F.lit("")).alias("page_content"), meta.alias("metadata"))
 
 
-def loader_chunks(chunks: DataFrame) -> DataFrame:
-    """(page_content, metadata) with a citation."""
+def loader_chunks(chunks: DataFrame, include: Iterable[str] = (), exclude: Iterable[str] = ()) -> DataFrame:
+    """(page_content, metadata) with a citation."""
+    chunks = loaded(chunks, include, exclude, "source_path")
     cited = text.citation(F.col("source_path"), F.col("heading_path"), F.col("line_range.start"), F.col("line_range.end"))
     return chunks.select(F.col("content").alias("page_content"), F.struct("chunk_id", F.col("source_path").alias("source"), "token_count", cited.alias("citation")).alias("metadata"))
 

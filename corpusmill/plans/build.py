@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusmill.errors import ErrorLog, InputError, ValidationError
 from corpusmill.operators import bundles, chunks, documents, graph, links, manifest, metadata, navigation, patterns, quality, symbols, tags
 from corpusmill.perf import Metrics
-from corpusmill.plans import sinks
+from corpusmill.plans import server, sinks
 from corpusmill.session import cut
 from corpusmill.sources import files
 from corpusmill.sources.config import Options
@@ -119,12 +119,16 @@ def build(spark: SparkSession, options: Options, log: ErrorLog | None = None, me
         code = files.code_files(spark, options.input)
         found = symbols.symbols(code)
         step("symbols", lambda: (sinks.write_jsonl(found, f"{out}/symbols"), sinks.write_rows(sinks.symbols_text(found), f"{out}/symbols.txt", end="\n"), sinks.write_jsonl(symbols.totals(code, found), f"{out}/symbols.totals")))
+    if options.mcp:
+        step("mcp", lambda: server.write_configs(out, "corpusmill", "python", "-m", "corpusmill", options.input))
     valid = None
     if options.validate or options.validate_ai:
         lines = spark.read.text(f"{out}/llms.txt", wholetext=True).select(F.lit("llms.txt").alias("path"), F.col("value").alias("content"))
-        broken = [r.asDict() for r in quality.structure(lines, bool(options.base_url)).limit(100).collect()]
+        found = quality.structure(lines, bool(options.base_url))
+        sinks.write_jsonl(found, f"{out}/report/structure")
+        broken = spark.read.text(f"{out}/report/structure").count()
         if broken:
-            log.handle(ValidationError(f"llms.txt: {broken}"))
+            log.handle(ValidationError(f"llms.txt: {broken} issues, see report/structure"))
     if options.validate_ai:
         found = cut(quality.issues(docs, parts))
         valid = quality.report(found).first().asDict()

@@ -106,7 +106,7 @@ ORDER_SQL = r"""
   SELECT path, CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE 'Root' END AS section,
     CASE WHEN regexp_matches(lower(path), '(^|/)index\.(md|mdx|html)$') THEN 1 WHEN regexp_matches(lower(path), '(^|/)readme\.(md|mdx|html)$') THEN 2
       WHEN regexp_matches(lower(path), '(^|/)home\.(md|mdx|html)$') THEN 3
-      WHEN regexp_matches(lower(path), 'catalog|doc|get-started|getting-started|intro|quick-start|quickstart|start|tutorial') THEN 100 ELSE 200 END AS priority,
+      WHEN regexp_matches(lower(path), 'doc|get-started|getting-started|intro|quick-start|quickstart|start|tutorial') THEN 100 ELSE 200 END AS priority,
     regexp_matches(path, '^nation/1[^/]*\.md$') AS is_optional FROM site"""
 
 

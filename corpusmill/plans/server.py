@@ -49,6 +49,20 @@ def client_config(name: str, command: str, *arguments: str) -> dict:
     return {"mcpServers": {name: {"command": command, "args": list(arguments)}}}
 
 
+def write_configs(folder: str, name: str, command: str, *arguments: str) -> list[str]:
+    """The descriptors as files: tools, prompts and splitter of the server; the server; an entry for clients."""
+    from corpusmill.plans import sinks
+
+    parts = {
+        "mcp.config.json": {"name": name, "protocolVersion": VERSION, "tools": tools(), "prompts": prompts(), "splitter": splitter()},
+        "mcp.server.json": {"name": name, "command": command, "args": list(arguments)},
+        "mcp.client.json": client_config(name, command, *arguments),
+    }
+    for file, value in parts.items():
+        sinks.write_json(value, f"{folder}/{file}")
+    return sorted(parts)
+
+
 class Server:
     """Answers over an index (``retrieval.doc_index``) and the documents."""
 

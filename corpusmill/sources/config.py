@@ -46,6 +46,7 @@ class Options:
     bundle_sizes: list[int] = field(default_factory=lambda: [2000, 8000, 32000])
     validate: bool = False
     validate_ai: bool = False
+    mcp: bool = False
     incremental: bool = False
     cache_dir: str | None = None
     origin: str | None = None

@@ -1,8 +1,9 @@
 """Watch mode on Structured Streaming.
 
-The file source reports a file once and no deletion, so each micro-batch only says
-that something happened; what changed is the difference of the directory's listing
-to the stored state, which sees edits and deletions too.
+A file source reports a file once, and neither an edit nor a deletion, so the stream
+is a clock: each micro-batch lists the directory (paths, times and sizes; no content).
+A listing that differs from the one before restarts the wait; when it has stayed the
+same for one interval and differs from the stored state, that is one batch of changes.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from corpusmill.session import cut, drop_cut
 from corpusmill.sources import files
 from corpusmill.streaming import incremental
 
@@ -28,9 +30,10 @@ def debounced(events: DataFrame, gap: str = "500 milliseconds", late: str | None
     rows = events.withWatermark("ts", late) if late else events
     session = F.session_window("ts", gap)
     own = rows.groupBy(session.alias("s"), "watch_root").agg(F.count("*").alias("events"), F.collect_list(F.struct("path", "ts", "event")).alias("all"))
-    names = F.array_distinct(F.transform("all", lambda x: x["path"]))
-    last = lambda p: F.array_max(F.transform(F.filter("all", lambda x: x["path"] == p), lambda x: F.struct(x["ts"], x["event"])))["event"]
-    own = own.withColumn("last", F.map_from_arrays(names, F.transform(names, last)))
+    # sorted by path and time, a path's last event is the one before another path
+    own = own.withColumn("all", F.array_sort("all"))
+    last = F.filter("all", lambda x, i: (i == F.size("all") - 1) | (x["path"] != F.get("all", i + 1)["path"]))
+    own = own.withColumn("last", F.map_from_arrays(F.transform(last, lambda x: x["path"]), F.transform(last, lambda x: x["event"])))
     return own.select("watch_root", F.col("s.start").alias("first_at"), F.col("s.end").alias("closed_at"), "events", "last")
 
 
@@ -49,25 +52,50 @@ class Watcher:
         self.emit = emit or (lambda line: print(line, flush=True))
         self.query: StreamingQuery | None = None
         self.counts = {"rebuilds": 0, "failures": 0}
+        self.seen: tuple | None = None
+        self.built: tuple | None = None
 
     def say(self, event: str, **fields: object) -> None:
         """K19, R9."""
         self.emit(json.dumps({"event": event, "at": round(time.time(), 3)} | fields))
 
-    def start(self, checkpoint: str, interval: str | None = "500 milliseconds") -> StreamingQuery:
-        """One micro-batch per interval gathers the events in it; without one, what is there now."""
-        stream = self.spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", "true").load(self.folder)
-        writer = stream.select("path", "modificationTime").writeStream.foreachBatch(lambda df, i: self.rebuild(i)).option("checkpointLocation", checkpoint)
-        self.query = (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+    def start(self, checkpoint: str, interval: str = "500 milliseconds") -> StreamingQuery:
+        """Looks at the directory once per interval; a quiet interval after a change ends the wait."""
+        clock = self.spark.readStream.format("rate").option("rowsPerSecond", "10").load()
+        writer = clock.writeStream.foreachBatch(lambda df, i: self.look(i)).option("checkpointLocation", checkpoint)
+        self.query = writer.trigger(processingTime=interval).start()
         self.say("watch_started", folder=self.folder)
         return self.query
 
-    def rebuild(self, batch: int) -> bool:
-        """Build what changed and commit the state; a failure is reported and tried again with the next batch."""
+    def listed(self) -> tuple:
+        """The number of documents and a fingerprint of their paths, times and sizes."""
+        rows = relevant(files.listing(self.spark, self.folder), self.output_dir)
+        return tuple(rows.agg(F.count("*"), F.sum(F.xxhash64("path", "mtime", "size").cast("decimal(38,0)"))).first())
+
+    def look(self, batch: int) -> bool:
+        """Rebuild if the directory has changed and then been quiet since the last look."""
+        try:
+            now = self.listed()
+        except Exception as error:  # noqa: BLE001 - a file may go while the directory is read
+            self.say("watch_error", error=str(error)[:500])
+            return False
+        if now != self.seen:  # the wait starts again
+            self.seen = now
+            return False
+        if now == self.built:
+            return False
+        done = self.rebuild(batch)
+        if done is not None:
+            self.built = now
+        return bool(done)
+
+    def rebuild(self, batch: int) -> bool | None:
+        """Build what changed and commit the state; a failure (None) is reported and tried again at the next look."""
         try:
             old = incremental.load_state(self.spark, self.state)
             now = relevant(files.scan(self.spark, self.folder), self.output_dir)
-            found = incremental.changes(old, incremental.snapshot(now))
+            # written before the build, so that an edit during the build is a change at the next look
+            found = cut(incremental.changes(old, incremental.snapshot(now)))
             changed = found.where("change <> 'unchanged'")
             n = changed.count()
             if not n:
@@ -76,19 +104,20 @@ class Watcher:
             self.say("rebuild_started", batch=batch)
             self.build(self.spark, changed, batch)
             incremental.commit_state(found.where("change <> 'deleted'"), self.state)
+            drop_cut(found)
             self.counts["rebuilds"] += 1
             self.say("rebuild_completed", batch=batch)
             return True
         except Exception as error:  # noqa: BLE001 - the watch goes on, as the next batch may succeed
             self.counts["failures"] += 1
             self.say("rebuild_failed", batch=batch, error=str(error)[:500])
-            return False
+            return None
 
     def force(self) -> bool:
         """R5."""
         self.say("force_rebuild_requested")
         incremental.clear_state(self.spark, self.state)
-        return self.rebuild(-1)
+        return bool(self.rebuild(-1))
 
     def status(self) -> dict:
         """R6."""

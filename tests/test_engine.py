@@ -13,7 +13,7 @@ from corpusmill import __main__ as cli
 from corpusmill import errors, perf
 from corpusmill.functions import paths, text
 from corpusmill.operators import bundles, chunks, documents, graph, links, manifest, metadata, navigation, patterns, quality, retrieval, security, symbols, tags
-from corpusmill.plans import build, sinks
+from corpusmill.plans import build, server, sinks
 from corpusmill.sources import artefacts, config, derived, files
 from corpusmill.streaming import incremental, watch
 
@@ -365,20 +365,45 @@ def test_watch_rebuilds(spark, tmp_path):
     folder.mkdir()
     (folder / "a.md").write_text("# A")
     w = watch.Watcher(spark, str(folder), str(tmp_path / "state"), lambda s, changes, batch: built.append({(r.path, r.change) for r in changes.collect()}), emit=lines.append)
-    w.start(str(tmp_path / "c1"), None).awaitTermination(120)
-    assert built == [{("a.md", "added")}] and w.status()["rebuilds"] == 1
+
+    def until(n):
+        ends = time.time() + 90
+        while w.counts["rebuilds"] < n and time.time() < ends:
+            time.sleep(0.2)
+        assert len(built) == n
+
+    w.start(str(tmp_path / "c1"), "200 milliseconds")
+    until(1)
+    assert built == [{("a.md", "added")}] and w.status()["active"]
+    (folder / "a.md").write_text("# changed")  # an edit alone
+    until(2)
+    assert built[-1] == {("a.md", "changed")}
     (folder / "b.md").write_text("b")
-    time.sleep(0.01)
-    (folder / "a.md").write_text("# changed")
-    w.start(str(tmp_path / "c1"), None).awaitTermination(120)
-    assert built[-1] == {("a.md", "changed"), ("b.md", "added")} and not w.rebuild(9) and w.force()
-    w.build = lambda *_: 1 / 0
-    (folder / "b.md").unlink()
-    assert not w.rebuild(10) and w.counts["failures"] == 1
+    until(3)
+    (folder / "b.md").unlink()  # a deletion alone
+    until(4)
+    assert built[-1] == {("b.md", "deleted")}
     w.stop()
+    assert not w.rebuild(9) and w.force() and w.status()["rebuilds"] == 5
+    w.build = lambda *_: 1 / 0
+    (folder / "c.md").write_text("c")
+    assert not w.look(10) and w.look(11) is False and w.counts["failures"] == 1  # restless, then quiet but failing
+    w.build = lambda s, changes, batch: built.append({(r.path, r.change) for r in changes.collect()})
+    assert w.look(12) and built[-1] == {("c.md", "added")} and not w.look(13)
     assert [json.loads(x)["event"] for x in lines][:4] == ["watch_started", "changes_detected", "rebuild_started", "rebuild_completed"]
 
 
+def test_watch_waits_for_quiet(spark, tmp_path):
+    """Each change restarts the wait; a burst is one rebuild."""
+    folder, built = tmp_path / "docs", []
+    folder.mkdir()
+    w = watch.Watcher(spark, str(folder), str(tmp_path / "state"), lambda s, changes, batch: built.append(changes.count()), emit=lambda line: None)
+    for i in range(3):
+        (folder / f"{i}.md").write_text("x")
+        assert not w.look(i)
+    assert w.look(3) and built == [3]
+
+
 # --- files, configuration, build
 
 
@@ -482,3 +507,16 @@ def test_server(spark):
     assert ask("none")["error"]["code"] == -32601 and ask("tools/call", name="x")["error"]["code"] == -32603
     assert s.handle({"method": "note"}) is None and len(list(s.serve(["", "{", '{"id": 2, "method": "prompts/list"}']))) == 2
     assert ask("prompts/get", name="answer", arguments={"question": "q"})["result"]["messages"] and server.splitter()["chunk_size"] == 1000
+
+
+def test_server_files(spark, tmp_path):
+    assert server.write_configs(str(tmp_path), "docs", "python", "-m", "x") == ["mcp.client.json", "mcp.config.json", "mcp.server.json"]
+    found = {p.name: json.loads(p.read_text()) for p in tmp_path.iterdir()}
+    assert found["mcp.client.json"] == {"mcpServers": {"docs": {"command": "python", "args": ["-m", "x"]}}}
+    assert {t["name"] for t in found["mcp.config.json"]["tools"]} == {"search_docs", "get_document", "list_documents", "get_section"}
+
+
+def test_loader_globs(spark):
+    docs = spark.createDataFrame([("a/x.md", "1"), ("a/y.md", "2"), ("b/x.md", "3")], "path string, content string")
+    pick = lambda *a: sorted(r.page_content for r in retrieval.loader_documents(docs, None, *a).collect())
+    assert pick() == ["1", "2", "3"] and pick(["a/*.md"]) == ["1", "2"] and pick(["a/*.md"], ["**/x.md"]) == ["2"] and pick([], ["**/x.md"]) == ["2"]
