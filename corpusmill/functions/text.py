@@ -121,6 +121,16 @@ def reader_id(path: Column) -> Column:
     return F.substring(F.sha2(path, 256), 1, 12)
 
 
+def rolling_hash(text: Column) -> Column:
+    """The 32-bit hash h * 31 + c over UTF-16 units, signed, in base 36."""
+    units = F.encode(text, "UTF-16BE")
+    code = lambda i: F.conv(F.hex(F.substring(units, i * 2 - 1, F.lit(2))), 16, 10).cast("bigint")
+    places = F.when(F.length(text) > 0, F.sequence(F.lit(1), (F.length(units) / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
+    h = F.aggregate(places, F.lit(0).cast("bigint"), lambda a, i: (a * 31 + code(i)) % (1 << 32))
+    digits = F.lower(F.conv(F.when(h >= 1 << 31, (1 << 32) - h).otherwise(h).cast("string"), 10, 36))
+    return F.when(h >= 1 << 31, F.concat(F.lit("-"), digits)).otherwise(digits)
+
+
 def citation(path: Column, headings: Column, start: Column, end: Column) -> Column:
     """Path, headings if any, and the line range."""
     where = F.when(F.length(headings) > 0, F.concat(F.lit("§ "), headings))
