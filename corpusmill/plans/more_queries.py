@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import posixpath
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,7 +16,7 @@ from corpusmill.operators import bundles, chunks, documents, graph, links, manif
 from corpusmill.plans import build, server, sinks
 from corpusmill.plans import queries as main
 from corpusmill.plans.queries import LINKS_SQL, RANKS_SQL, query, site_edges
-from corpusmill.session import shared_dir
+from corpusmill.session import scratch
 from corpusmill.sources import artefacts, config, derived, files
 from corpusmill.streaming import incremental, watch
 
@@ -342,7 +341,7 @@ def site_folder(spark: SparkSession, sf_dir: str) -> str:
     if key not in _built:
         code = main._code(spark, sf_dir).select(F.col("file").alias("path"), "content")
         odd = spark.createDataFrame([("build/no.md", "no"), ("nation/pic.png", "x"), ("src/vendor/no.py", "no")], "path string, content string")
-        _built[key] = written(spark, derived.site(spark, sf_dir).unionByName(code).unionByName(odd), f"{shared_dir(spark)}/site-{uuid.uuid4().hex}")
+        _built[key] = written(spark, derived.site(spark, sf_dir).unionByName(code).unionByName(odd), scratch(spark, "site"))
     return _built[key]
 
 
@@ -350,7 +349,7 @@ def built(spark: SparkSession, sf_dir: str) -> str:
     """The output of a build of the site with every option, once a session and input."""
     key = (spark.sparkContext.applicationId, "built " + sf_dir)
     if key not in _built:
-        out = f"{shared_dir(spark)}/built-{uuid.uuid4().hex}"
+        out = scratch(spark, "built")
         given = {"input": site_folder(spark, sf_dir), "output": out, "base_url": "https://docs.example.org", "optional": ["nation/1*.md"], "bundle_sizes": [2000, 4000], "continue_on_error": True, "exclude_tokens": ["src/"]}
         flags = ("sitemap", "index", "toc", "ast", "chunks", "manifest", "graph", "graph_sections", "tags", "bundles", "validate", "validate_ai", "incremental", "mcp")
         build.build(spark, config.merge(given, dict.fromkeys(flags, True)))
@@ -418,7 +417,7 @@ def written_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def written_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4."""
-    out = f"{shared_dir(spark)}/legacy-{uuid.uuid4().hex}"
+    out = scratch(spark, "legacy")
     sinks.write_legacy(derived.site(spark, sf_dir), out)
     return spark.read.text(f"{out}/llms-legacy.txt")
 
@@ -460,7 +459,7 @@ def written_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT source_path, chunk_index::BIGINT AS chunk_index, content_md5, token_count::BIGINT AS token_count, count(*) OVER (PARTITION BY source_path) AS listed FROM ({CHUNK_SQL})")
 def written_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk lines read back, bad lines skipped, and how many the manifest lists."""
-    docs, out = derived.threads(spark, sf_dir), f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    docs, out = derived.threads(spark, sf_dir), scratch(spark, "chunks")
     found = chunks.chunks(docs)
     sinks.write_jsonl(found, out)
     spark.createDataFrame([("no chunk {",)], "value string").write.mode("append").text(out)
@@ -526,7 +525,7 @@ def written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stored_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A state committed twice and loaded, its versions, and one cleared."""
-    folder = incremental.state_path(f"{shared_dir(spark)}/state-{uuid.uuid4().hex}", sf_dir)
+    folder = incremental.state_path(scratch(spark, "state"), sf_dir)
     now = incremental.snapshot(derived.flat(spark, sf_dir))
     incremental.commit_state(now.limit(0), folder)
     incremental.commit_state(now, folder)
@@ -591,7 +590,7 @@ def server_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows += [("resource", f"{r['uri']} {r['description']}") for r in ask("resources/list")["result"]["resources"]]
     rows += [("tool", t["name"]) for t in ask("tools/list")["result"]["tools"]] + [("error", str(ask("no/such")["error"]["code"]))]
     rows += [("prompt", p["name"]) for p in ask("prompts/list")["result"]["prompts"]]
-    rows += [("file", x) for x in server.write_configs(f"{shared_dir(spark)}/mcp-{uuid.uuid4().hex}", "docs", "python")]
+    rows += [("file", x) for x in server.write_configs(scratch(spark, "mcp"), "docs", "python")]
     return spark.createDataFrame(rows, "asked string, answer string")
 
 
@@ -601,7 +600,7 @@ UNION ALL SELECT 2, 'region/9.md', 'added' UNION ALL SELECT 3, 'region/1.md', 'd
 )
 def watched_builds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Looks at a directory between edits, additions and deletions; what each build got, and the kinds of events."""
-    folder = f"{shared_dir(spark)}/watched-{uuid.uuid4().hex}"
+    folder = scratch(spark, "watched") + "/docs"
     written(spark, derived.site(spark, sf_dir).where("path like 'region/%'"), folder)
     rows: list[tuple] = []
     said: list[str] = []

@@ -339,10 +339,18 @@ def manifest_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.statistics(derived.flat(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH {TAGS_SQL}, {LINKS_SQL[LINKS_SQL.index(", l AS (") + 2 :]}, {SIMHASH_SQL.replace("FROM flat", "FROM site")}, g AS (SELECT * FROM e WHERE target IS NOT NULL)
+SELECT site.path, substr(sha256(site.path || content), 1, 12) AS id, replace(replace(regexp_replace(split_part(site.path, '/', -1), '\\.[^.]+$', ''), '-', ' '), '_', ' ') AS title,
+  CASE WHEN contains(site.path, '/') THEN split_part(site.path, '/', 1) ELSE 'Root' END AS section, sha256(content) AS sha256, strlen(content)::INT AS size, {WORDS}::INT AS word_count,
+  len(string_split(content, E'\\n'))::INT AS line_count, regexp_matches(content, '`[^`]+`') AS has_code, coalesce(lpad(lower(to_hex(f)), 16, '0'), '0000000000000000') AS simhash,
+  coalesce((SELECT list({{'path': target, 'text': text}} ORDER BY target, text) FROM g WHERE source = site.path), []) AS outgoing,
+  coalesce((SELECT list({{'path': source, 'text': text}} ORDER BY source, text) FROM g WHERE target = site.path), []) AS incoming, t.tags
+FROM site LEFT JOIN f USING (path) JOIN t ON t.path = site.path"""
+)
 def manifest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, edges = site_edges(spark, sf_dir)
-    return manifest.documents(docs, edges, tags.tags(docs), chunks.chunks(docs))
+    return manifest.documents(docs, edges, tags.tags(docs))
 
 
 # --- chunks
@@ -562,10 +570,17 @@ def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(quality.issues(derived.site(spark, sf_dir)))
 
 
-@query()
+@query(
+    f"""WITH {LINKS_SQL}, lines AS (SELECT path, unnest(string_split(content, E'\\n')) AS l FROM site), small AS (SELECT token_count AS t FROM ({_chunk_sql(1000, 1500)})),
+n AS (
+  SELECT 'high' AS priority, 'code_quality' AS category, 'unclosed_code_fence' AS issue, 1 AS least, (SELECT count(*) FROM (SELECT path FROM lines GROUP BY path HAVING count(*) FILTER (starts_with(l, '```')) % 2 = 1)) AS count
+  UNION ALL SELECT 'medium', 'content_quality', 'broken_internal_link', 1, (SELECT count(*) FROM q WHERE r NOT IN (SELECT path FROM site) AND r || '.md' NOT IN (SELECT path FROM site) AND r || '/index.md' NOT IN (SELECT path FROM site))
+  UNION ALL SELECT 'medium', 'chunk_quality', 'chunk_too_small', 6, (SELECT count(*) FROM small WHERE t < 50) UNION ALL SELECT 'medium', 'chunk_quality', 'chunk_too_large', 1, (SELECT count(*) FROM small WHERE t > 3000)
+) SELECT priority, category, issue, count FROM n WHERE count >= least"""
+)
 def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = derived.site(spark, sf_dir)
-    return quality.recommendations(quality.issues(docs, chunks.chunks(docs)))
+    """Of the site's issues and the threads' chunks."""
+    return quality.recommendations(quality.issues(derived.site(spark, sf_dir), chunks.chunks(derived.threads(spark, sf_dir))))
 
 
 @query(
@@ -749,17 +764,17 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NEXT_SQL = r"""
 SELECT path, CASE WHEN b.path IS NULL THEN 'deleted' WHEN a.path IS NULL THEN 'added' WHEN a.h <> b.h THEN 'changed' ELSE 'unchanged' END AS change FROM (
-  SELECT source || '/' || doc_id || '.md' AS path, sha256(text) AS h FROM documents WHERE doc_id % 13 <> 0) a
-FULL JOIN (SELECT source || '/' || doc_id || '.md' AS path, sha256(CASE WHEN doc_id % 10 = 0 THEN text || ' edited' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0) b USING (path)"""
+  SELECT source || '/' || doc_id || '.md' AS path, sha256(text) AS h FROM documents WHERE doc_id IS NULL OR doc_id % 13 <> 0 OR doc_id % 11 = 0) a
+FULL JOIN (SELECT source || '/' || doc_id || '.md' AS path, sha256(CASE WHEN doc_id % 10 = 0 THEN text || ' edited' ELSE text END) AS h FROM documents WHERE doc_id IS NULL OR doc_id % 11 <> 0) b USING (path)"""
 
 
 @query(NEXT_SQL)
 def change_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A state of the corpus against a later one: some documents edited, dropped and new."""
+    """A state of the corpus against a later one: some documents edited, dropped and new; each is in one of them at least."""
     docs = derived.table(spark, sf_dir, "documents").withColumn("path", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")))
-    before = docs.where("doc_id % 13 <> 0").select("path", F.col("text").alias("content"))
+    before = docs.where("doc_id is null or doc_id % 13 <> 0 or doc_id % 11 = 0").select("path", F.col("text").alias("content"))
     edited = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
-    after = docs.where("doc_id % 11 <> 0").select("path", edited.alias("content"))
+    after = docs.where("doc_id is null or doc_id % 11 <> 0").select("path", edited.alias("content"))
     return incremental.changes(incremental.snapshot(before), incremental.snapshot(after)).select("path", "change")
 
 

@@ -3,6 +3,7 @@ the shared folder in which lineage is cut."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import pickle
 import tempfile
@@ -47,6 +48,34 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_scratch: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder, which goes when this process ends.
+
+    What a query writes there may be read as long as its result can be, and no longer:
+    ``release`` lets all of it go at once.
+    """
+    if not _scratch:
+        atexit.register(release)
+    _scratch.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def release() -> None:
+    """Remove every folder that ``scratch`` gave out; for when all results are written."""
+    from pyarrow import fs
+
+    while _scratch:
+        path = _scratch.pop()
+        try:
+            system, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+            system.delete_dir(name)
+        except OSError:  # gone already
+            pass
+
+
 class Shared:
     """A broadcast of an object of any class; workers need no copy of its package."""
 
@@ -68,7 +97,7 @@ def cut(df: DataFrame) -> DataFrame:
     the planner. A lost executor costs the tasks that read it, not its computation.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = scratch(spark, "cut")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
