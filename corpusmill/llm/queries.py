@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import covertree, extraction, kmeanstree, langid, mixing, ngram_join, packing, substring, tokencount, warc
-from corpusmill.session import drop_cut, shared_dir
+from corpusmill.session import drop_cut, scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +39,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as three captures in an archive; the index of the deduplicated archive."""
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = scratch(spark, "warc")
     records = warc.captures(table(spark, sf_dir, "pages"))
     drop_cut(warc.write(records, f"{folder}/crawl", dictionary=warc.train(records)))
     return warc.deduplicate(spark, f"{folder}/crawl", f"{folder}/deduplicated").drop("file", "offset", "length")
