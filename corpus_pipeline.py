@@ -8,17 +8,15 @@ Defined results
     places of a passage, mixed like the empty id, packed with a null id. Repeated rows:
     kept, as they are one document; each is mixed and packed. Ties: see the operators.
     Very long texts: whole. Null sources are a source. An empty table: no rows. Other
-    columns are carried to the packing, whatever their names. Folders of stages stay in
-    the shared folder as long as the result can be read."""
+    columns are carried to the packing, whatever their names. The stages' folders go
+    when the process ends, or by ``session.release()``."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm import langid, mixing, ngram_join, packing, substring
-from corpusmill.session import shared_dir
+from corpusmill.session import scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, "pipeline")
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
