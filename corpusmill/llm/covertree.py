@@ -45,7 +45,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import numtext as nt
@@ -218,20 +218,11 @@ def _unpack(ids: bytes, vecs: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(ids, "<i8").astype(np.int64), np.frombuffer(vecs, "<f4").reshape(-1, dim).astype(np.float64)
 
 
-def tagged(rows: DataFrame, k: int, queries: Column | None, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
-    """(id, vec, asks): data once, without equal vectors that cannot be neighbours, and the queries; and the dimension."""
-    fit, dim = vs.fit(rows, id_col, vec_col, queries)
-    # the limit of a rank is applied before the shuffle as well, so that a hot vector is k + 1 rows a task
-    least = F.dense_rank().over(Window.partitionBy("vec").orderBy("id"))
-    data = fit.select("id", "vec").withColumn("at", least).where(F.col("at") <= k + 1).select("id", "vec").distinct()
-    return data.withColumn("asks", F.lit(False)).union(fit.where("asks").select("id", "vec").distinct().withColumn("asks", F.lit(True))), dim
-
-
 def top_k(rows: DataFrame, k: int = K, queries: Column | None = None, id_col: str = "vec_id", vec_col: str = "embedding", cell_rows: int = CELL_ROWS) -> DataFrame:
     """``queries``: which rows ask, a condition on the columns of ``rows``; all where it is not given."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own, dim = tagged(rows, k, queries, id_col, vec_col)
+    own, dim = vs.tagged(rows, k, queries, id_col, vec_col)
     own = cut(own)
     tree = upper(own, dim, own.count(), cell_rows)
     shared = Shared(spark, tree)
@@ -243,7 +234,7 @@ def top_k(rows: DataFrame, k: int = K, queries: Column | None = None, id_col: st
             yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(salt.astype(np.int32)), *batch.columns], names=["cell", "salt", "id", "vec", "asks"])
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, ids, vecs, asks in _parts(batches, dim):
+        for (cell, salt), ids, vecs, asks in _parts(batches, dim):
             center = shared.value.centers[shared.value.leaves[cell]]
             radius = float(np.sqrt(vs.exact(vecs, np.broadcast_to(center, vecs.shape)).max()))
             best = vs.Best(ids[asks], vecs[asks], k)
@@ -251,13 +242,13 @@ def top_k(rows: DataFrame, k: int = K, queries: Column | None = None, id_col: st
                 data, own_ids = build(vecs[~asks]), ids[~asks]
                 search(build(vecs[asks]), data, best, own_ids, vecs[~asks])
             bound = float(np.sqrt(best.worst.max())) if asks.any() else -1.0
-            values = (cell, *_pack(ids[~asks], vecs[~asks]), *_pack(ids[asks], vecs[asks]), best.worst.astype("<f8").tobytes(), radius, bound)
-            kinds = (pa.int32(), *[pa.binary()] * 5, pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=["cell", "ids", "vecs", "qids", "qvecs", "worst", "radius", "bound"])
+            values = (cell, salt, *_pack(ids[~asks], vecs[~asks]), *_pack(ids[asks], vecs[asks]), best.worst.astype("<f8").tobytes(), radius, bound)
+            kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=["cell", "salt", "ids", "vecs", "qids", "qvecs", "worst", "radius", "bound"])
 
     cells = own.mapInArrow(assign, "cell int, salt int, id bigint, vec array<float>, asks boolean")
     cells = cells.repartition(parts, "cell", "salt").sortWithinPartitions("cell", "salt", "id")
-    cells = cut(cells.mapInArrow(bounded, "cell int, ids binary, vecs binary, qids binary, qvecs binary, worst binary, radius double, bound double"))
+    cells = cut(cells.mapInArrow(bounded, "cell int, salt int, ids binary, vecs binary, qids binary, qvecs binary, worst binary, radius double, bound double"))
     # the cells: at most as many as the sample has leaves, whatever the table's size
     seen = cells.groupBy("cell").agg(F.max("radius").alias("radius"), F.max("bound").alias("bound"), F.sum(F.length("qids") / 8).alias("asking")).toArrow()
     radius, bound, asking = (np.full(len(tree.leaves), x) for x in (-np.inf, -np.inf, 0.0))
@@ -265,25 +256,30 @@ def top_k(rows: DataFrame, k: int = K, queries: Column | None = None, id_col: st
     radius[at], asking[at] = seen["radius"].to_numpy(), seen["asking"].to_numpy()
     bound[at] = np.where(asking[at] > 0, seen["bound"].to_numpy(), -np.inf)
     total = max(1.0, asking.sum())
-    groups = int(max(1, min(np.count_nonzero(asking), max(parts, total // GROUP_ROWS))))
-    group = np.minimum((np.cumsum(asking) - asking) * groups // total, groups - 1).astype(np.int32)
-    levels = Shared(spark, (tree, radius, bound, group))
+    # groups of about as many queries each; a cell with many has several, to which its parts go
+    groups = int(max(1, min(total, max(parts, total // GROUP_ROWS))))
+    ends = np.cumsum(asking)
+    first = np.minimum((ends - asking) * groups // total, groups - 1).astype(np.int32)
+    last = np.minimum(np.maximum(np.ceil(ends * groups / total) - 1, first), first + tree.salts - 1).astype(np.int32)
+    levels = Shared(spark, (tree, radius, bound, first, last))
 
     def unpruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, radius, bound, group = levels.value
+        t, radius, bound, first, last = levels.value
         for batch in batches:
             for g in batch.column(0).to_pylist():
-                cell, far, _ = t.unpruned(radius, bound, np.flatnonzero(group == g))
+                cell, far, _ = t.unpruned(radius, bound, np.flatnonzero((first <= g) & (g <= last)))
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(np.full(len(cell), g, np.int32)), pa.array(far)], names=["cell", "grp", "far"])
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            g = levels.value[3][batch.column(0).to_numpy()]
-            yield pa.RecordBatch.from_arrays([pa.array(g), *batch.columns[1:]], names=["grp", "ids", "vecs", "worst"])
+            t, _, _, first, last = levels.value
+            cell, salt = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            g = first[cell] + salt * (last - first + 1)[cell] // t.salts[cell]
+            yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), *batch.columns[2:]], names=["grp", "ids", "vecs", "worst"])
 
     wanted = spark.range(groups).mapInArrow(unpruned, "cell int, grp int, far double")
     data = cells.where(F.length("ids") > 0).select("cell", "ids", "vecs").join(wanted, "cell")
-    asked = cells.where(F.length("qids") > 0).select("cell", "qids", "qvecs", "worst").mapInArrow(grouped, "grp int, ids binary, vecs binary, worst binary")
+    asked = cells.where(F.length("qids") > 0).select("cell", "salt", "qids", "qvecs", "worst").mapInArrow(grouped, "grp int, ids binary, vecs binary, worst binary")
     sent = asked.withColumn("far", F.lit(-1.0)).select("grp", "far", "ids", "vecs", "worst").union(data.select("grp", "far", "ids", "vecs", F.lit(None).cast("binary")))
     sent = sent.repartitionById(groups, F.col("grp")).sortWithinPartitions("grp", "far", F.length("ids"), "ids").select("ids", "vecs", "worst")
 
@@ -319,7 +315,7 @@ def _group(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tup
     return best, trees
 
 
-def _parts(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _parts(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[tuple[int, int], np.ndarray, np.ndarray, np.ndarray]]:
     """Whole parts of cells of batches that are sorted by cell and salt."""
     key, held = (-1, -1), []
     for batch in batches:
@@ -328,12 +324,12 @@ def _parts(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[int, n
         edge = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]).any(1)])) if len(of) else []
         for a, b in zip(edge, [*edge[1:], len(of)]):
             if tuple(of[a]) != key and held:
-                yield key[0], *_joined(held)
+                yield key, *_joined(held)
                 held = []
             key = (int(of[a][0]), int(of[a][1]))
             held.append((own[a:b], x[a:b].astype(np.float64), asks[a:b]))
     if held:
-        yield key[0], *_joined(held)
+        yield key, *_joined(held)
 
 
 def _joined(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -5,8 +5,9 @@ Plan
    into ``branching`` children by k-means until its share of the table would fit a leaf.
    It has at most as many leaves as the sample can tell apart (``SAMPLE_LEAF`` rows
    each), which bounds its broadcast. Every row of the table is indexed: one map sends it
-   down the tree, one shuffle brings leaves together, in blocks of ``BLOCK`` rows, so
-   that a leaf of any size is blocks of one size.
+   down the tree, one shuffle brings leaves together, in blocks of ``BLOCK`` rows. A leaf
+   that the sample shows to be large is salted, so that no task gets all of it. Of equal
+   vectors only the k + 1 smallest ids are data, as in the exact search.
 2. A query walks the tree with a priority queue over node centroids: the nearest
    waiting node is taken, an inner node puts its children in, a leaf is visited. Of two
    leaves the queue gives the one first whose path has the smaller largest distance below
@@ -40,11 +41,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm import numtext as nt
 from corpusmill.llm import vectors as vs
 from corpusmill.session import Shared, cut
 
 K, BRANCHING, LEAF_ROWS, ROUNDS = 10, 16, 256, 4
-CALIBRATION, RECALL, SAMPLE_ROWS, SAMPLE_LEAF, BLOCK, GROUP_ROWS = 256, 0.95, 65536, 8, 1024, 32768
+CALIBRATION, RECALL, SAMPLE_ROWS, SAMPLE_LEAF, BLOCK, SALT_ROWS, GROUP_ROWS = 256, 0.95, 65536, 8, 1024, 16384, 32768
 
 
 @dataclass
@@ -53,6 +55,8 @@ class Tree:
 
     centroids: np.ndarray
     children: list[list[int]] = field(default_factory=list)
+    #: Rows of the table in each node, as far as the sample tells.
+    rows: list[float] = field(default_factory=list)
 
     @property
     def leaves(self) -> list[int]:
@@ -136,8 +140,8 @@ def grow(own: DataFrame, dim: int, n: int, branching: int, leaf_rows: int, round
     keep = F.pmod(F.xxhash64("id", "vec"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
     table = own.where(keep).select("id", "vec").limit(SAMPLE_ROWS).toArrow().sort_by("id")
     sample = vs.matrix(table["vec"].combine_chunks(), dim).astype(np.float64)
-    tree = Tree(np.zeros((1, max(dim, 1))), [[]])
     scale = n / max(len(sample), 1)
+    tree = Tree(np.zeros((1, max(dim, 1))), [[]], [float(n)])
     waiting = [(0, np.arange(len(sample)))]
     while waiting:
         node, rows = waiting.pop(0)
@@ -149,6 +153,7 @@ def grow(own: DataFrame, dim: int, n: int, branching: int, leaf_rows: int, round
             first = len(tree.children)
             tree.centroids = np.vstack([tree.centroids, centers])
             tree.children += [[] for _ in centers]
+            tree.rows += (np.bincount(which, minlength=len(centers)) * scale).tolist()
             tree.children[node] = list(range(first, first + len(centers)))
             waiting += [(first + i, rows[which == i]) for i in range(len(centers))]
     return tree
@@ -175,7 +180,7 @@ def calibrated(own: DataFrame, tree: Tree, dim: int, k: int, calibration: int, r
         leaf = pa.array([leaf_of[n] for n in best.other.tolist()], pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(best.row), pa.array(best.other), pa.array(best.dist), leaf], names=["q", "n", "d", "leaf"])
 
-    found = own.mapInArrow(truth, "q bigint, n bigint, d double, leaf bigint")
+    found = own.where("not asks").mapInArrow(truth, "q bigint, n bigint, d double, leaf bigint")
     near = F.slice(F.array_sort(F.collect_list(F.struct("d", "n", "leaf"))), 1, k)
     rows = found.groupBy("q").agg(near.alias("near")).select("q", F.col("near.leaf").alias("leaf")).collect()
     rank = [{int(leaf): i for i, leaf in enumerate(o)} for o in tree.visits(x, leaves)]
@@ -196,37 +201,42 @@ def neighbors(
     """``queries``: which rows ask, a condition on the columns of ``rows``; all where it is not given."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own, dim = vs.fit(rows, id_col, vec_col, queries)
-    own = cut(own.distinct())
+    own, dim = vs.tagged(rows, k, queries, id_col, vec_col)
+    own = cut(own)
     n, asking = own.agg(F.count("*"), F.coalesce(F.count_if("asks"), F.lit(0))).first()
     tree = grow(own, dim, n, branching, leaf_rows, rounds)
     visits = calibrated(own, tree, dim, k, calibration, recall)
-    groups = max(1, min(len(tree.leaves), max(parts, asking // GROUP_ROWS)))
-    shared = Shared(spark, (tree, _groups(tree, groups)))
+    groups = int(max(1, min(asking, max(parts, asking // GROUP_ROWS))))
+    # a leaf of many rows is salted, and its queries are of several groups
+    salts = np.maximum(np.array(tree.rows) // SALT_ROWS, 1).astype(np.int64)
+    shared = Shared(spark, (tree, salts, *_groups(tree, groups, salts)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, _ = shared.value
+        t, salts, _, _ = shared.value
         for batch in batches:
             leaf = t.descend(vs.matrix(batch.column(1), dim).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), *batch.columns], names=["leaf", "id", "vec", "asks"])
+            salt = (nt.mix(nt.as_word(batch.column(0).to_numpy())) % salts[leaf].astype(np.uint64)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(salt), *batch.columns], names=["leaf", "salt", "id", "vec", "asks"])
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A leaf's rows in blocks, and its queries with the leaves that they visit, a bit each."""
-        t, group = shared.value
+        t, salts, first, last = shared.value
         for batch in batches:
-            of, ids, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), vs.matrix(batch.column(2), dim)
-            asks = batch.column(3).to_numpy(zero_copy_only=False)
-            edge = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else []
+            of, salt, ids, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), vs.matrix(batch.column(3), dim)
+            asks = batch.column(4).to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (salt[1:] != salt[:-1])])) if len(of) else []
             for a, end in zip(edge, [*edge[1:], len(of)]):
-                for b in range(a, end, BLOCK):
-                    c = min(b + BLOCK, end)
-                    yield out(int(of[b]), int(group[of[b]]), ids[b:c], x[b:c], None)
-                    q = np.flatnonzero(asks[b:c]) + b
-                    if len(q):
-                        seen = np.zeros((len(q), len(t.children)), bool)
-                        for i, leaf in enumerate(t.visits(x[q].astype(np.float64), visits)):
-                            seen[i, leaf] = True
-                        yield out(int(of[b]), int(group[of[b]]), ids[q], x[q], np.packbits(seen, axis=1).tobytes())
+                leaf = int(of[a])
+                grp = int(first[leaf] + salt[a] * (last[leaf] - first[leaf] + 1) // salts[leaf])
+                rows, q = np.flatnonzero(~asks[a:end]) + a, np.flatnonzero(asks[a:end]) + a
+                for b in range(0, len(rows), BLOCK):
+                    yield out(leaf, grp, ids[rows[b : b + BLOCK]], x[rows[b : b + BLOCK]], None)
+                for b in range(0, len(q), BLOCK):
+                    own = q[b : b + BLOCK]
+                    seen = np.zeros((len(own), len(t.children)), bool)
+                    for i, order in enumerate(t.visits(x[own].astype(np.float64), visits)):
+                        seen[i, order] = True
+                    yield out(leaf, grp, ids[own], x[own], np.packbits(seen, axis=1).tobytes())
 
     def out(leaf: int, grp: int, ids: np.ndarray, x: np.ndarray, seen: bytes | None) -> pa.RecordBatch:
         values = (leaf, grp, ids.astype("<i8").tobytes(), x.astype("<f4").tobytes(), seen)
@@ -259,7 +269,8 @@ def neighbors(
         if best is not None:
             yield best.batch()
 
-    blocks = own.mapInArrow(place, "leaf bigint, id bigint, vec array<float>, asks boolean").repartition(parts, "leaf").sortWithinPartitions("leaf", "id")
+    placed = own.mapInArrow(place, "leaf bigint, salt int, id bigint, vec array<float>, asks boolean")
+    blocks = placed.repartition(parts, "leaf", "salt").sortWithinPartitions("leaf", "salt", "id")
     blocks = cut(blocks.mapInArrow(block, "leaf bigint, grp int, ids binary, vecs binary, seen binary"))
     asked = blocks.where("seen is not null")
     to = asked.select("grp", "seen", (F.length("ids") / 8).cast("int").alias("n")).mapInArrow(wanted, "leaf bigint, to int").distinct()
@@ -269,14 +280,17 @@ def neighbors(
     return vs.ranked(sent.mapInArrow(visit, vs.PAIRS), k)
 
 
-def _groups(tree: Tree, groups: int) -> np.ndarray:
-    """The group of each leaf: leaves that are near in the tree go together."""
+def _groups(tree: Tree, groups: int, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last group of each leaf: leaves that are near in the tree go together, large ones are shared."""
     order, stack = [], [0]
     while stack:
         node = stack.pop()
         stack += reversed(tree.children[node])
         if not tree.children[node]:
             order.append(node)
-    out = np.zeros(len(tree.centroids), np.int32)
-    out[order] = np.arange(len(order)) * groups // max(len(order), 1)
-    return out
+    first, last = (np.zeros(len(tree.children), np.int64) for _ in range(2))
+    rows = np.maximum(np.array(tree.rows)[order], 1e-9)
+    ends = np.cumsum(rows) / rows.sum() * groups
+    first[order] = np.minimum(np.concatenate([[0], ends[:-1]]).astype(np.int64), groups - 1)
+    last[order] = np.clip(np.ceil(ends - 1e-9).astype(np.int64) - 1, first[order], np.minimum(first[order] + salts[order] - 1, groups - 1))
+    return first, last

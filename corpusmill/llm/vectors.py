@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAIRS = "q bigint, n bigint, d double"
@@ -26,6 +26,15 @@ def fit(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", que
     return sound.where(F.size("vec") == dim), dim
 
 
+def tagged(rows: DataFrame, k: int, queries: Column | None, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
+    """(id, vec, asks): data once, without equal vectors that cannot be neighbours, and the queries; and the dimension."""
+    sound, dim = fit(rows, id_col, vec_col, queries)
+    # the limit of a rank is applied before the shuffle as well, so that a hot vector is k + 1 rows a task
+    least = F.dense_rank().over(Window.partitionBy("vec").orderBy("id"))
+    data = sound.select("id", "vec").withColumn("at", least).where(F.col("at") <= k + 1).select("id", "vec").distinct()
+    return data.withColumn("asks", F.lit(False)).union(sound.where("asks").select("id", "vec").distinct().withColumn("asks", F.lit(True))), dim
+
+
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float32, copy=False)
 

@@ -663,14 +663,26 @@ def test_dual_tree_is_exact(spark, monkeypatch, cell_rows):
 
 
 def test_dual_tree_with_a_hot_vector(spark, monkeypatch):
-    """A third of the rows are one vector: the smallest ids are the neighbours, and all ids that ask get theirs."""
+    """A third of the rows are one vector: the smallest ids are the neighbours, and all ids that ask get theirs, in several groups."""
     monkeypatch.setattr(covertree, "LEAF", 16)
+    monkeypatch.setattr(covertree, "GROUP_ROWS", 8)
     data = vectors(300, 4)
     data = [(i, data[0][1] if i % 3 == 0 else v) for i, v in data]
     df = spark.createDataFrame(data, "vec_id bigint, embedding array<float>")
     assert search_rows(covertree.top_k(df, 5, cell_rows=20)) == brute_near(data, 5)
 
 
+def test_k_means_tree_with_a_hot_vector(spark, monkeypatch):
+    monkeypatch.setattr(kmeanstree, "SALT_ROWS", 16)
+    monkeypatch.setattr(kmeanstree, "GROUP_ROWS", 8)
+    data = vectors(300, 4)
+    data = [(i, data[0][1] if i % 3 == 0 else v) for i, v in data]
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<float>")
+    got, want = search_rows(kmeanstree.neighbors(df, 5, leaf_rows=20)), brute_near(data, 5)
+    assert {q for q, *_ in got} == {q for q, *_ in want} and len({x[:2] for x in got} & {x[:2] for x in want}) >= 0.9 * len(want)
+    assert {x for x in got if x[0] % 3 == 0} == {x for x in want if x[0] % 3 == 0}
+
+
 def counted(tree, x, k):
     seen = []
 
