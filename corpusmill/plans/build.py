@@ -43,6 +43,31 @@ def chunked(docs: DataFrame, options: Options) -> DataFrame:
     return out
 
 
+def single_files(spark: SparkSession, out: str, written: list[str]) -> None:
+    """The tables that a build wrote as folders, as one file each; for corpora that one reader can take."""
+    read = lambda name: spark.read.json(f"{out}/{name}")
+    if "chunks" in written:
+        sinks.write_lines(spark.read.text(f"{out}/chunks"), f"{out}/chunks.jsonl", "value")
+    whole = {
+        "manifest": ("manifest.json", {"documents": ("manifest", ["path"])}), "tags": ("tags.json", {"documents": ("tags/by-document", ["path"])}),
+        "graph": ("graph.json", {"nodes": ("graph/nodes", ["path"]), "edges": ("graph/edges", ["source", "target", "pos"])}),
+        "graph_sections": ("graph-sections.json", {"nodes": ("graph/section-nodes", ["id"]), "edges": ("graph/section-edges", ["source", "target"])}),
+        "bundles": ("bundles.meta.json", {"bundles": ("bundles.meta", ["size"])}), "symbols": ("ast-index.json", {"symbols": ("symbols", ["file", "line"])}),
+        "index": ("master-index.json", {"directories": ("index/directories", ["path"])}),
+    }
+    for step, (file, parts) in whole.items():
+        if step in written:
+            sinks.write_document({name: (read(folder), order) for name, (folder, order) in parts.items()}, f"{out}/{file}")
+    if "tags" in written:
+        sinks.write_document({"tags": (read("tags/by-tag"), ["tag"])}, f"{out}/tags-by-tag.json")
+    if "index" in written:
+        # a directory's own entries; limits of its size are those of ``security.crowded_directories``
+        entries = read("index/entries")
+        own = entries.groupBy("parent").agg(F.array_sort(F.collect_list(F.struct("name", *(c for c in entries.columns if c != "name")))).alias("files"))
+        name = F.when(F.col("parent") == "", F.lit("index.json")).otherwise(F.concat("parent", F.lit("/index.json")))
+        sinks.write_files(own.select(name.alias("path"), F.to_json(F.struct(F.col("parent").alias("path"), "files")).alias("content")), out)
+
+
 def build(spark: SparkSession, options: Options, log: ErrorLog | None = None, metrics: Metrics | None = None) -> dict:
     """Run a build; returns what was written and how long it took."""
     log, metrics, out = log or ErrorLog(options.continue_on_error), metrics or Metrics(), options.output.rstrip("/")
@@ -119,6 +144,8 @@ def build(spark: SparkSession, options: Options, log: ErrorLog | None = None, me
         code = files.code_files(spark, options.input)
         found = symbols.symbols(code)
         step("symbols", lambda: (sinks.write_jsonl(found, f"{out}/symbols"), sinks.write_rows(sinks.symbols_text(found), f"{out}/symbols.txt", end="\n"), sinks.write_jsonl(symbols.totals(code, found), f"{out}/symbols.totals")))
+    if options.single_files:
+        step("single_files", lambda: single_files(spark, out, written))
     if options.mcp:
         step("mcp", lambda: server.write_configs(out, "corpusmill", "python", "-m", "corpusmill", options.input))
     valid = None

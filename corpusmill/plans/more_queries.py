@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import json
-import posixpath
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -316,19 +313,7 @@ def document_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def written(spark: SparkSession, rows: DataFrame, folder: str) -> str:
-    """Rows (path, content) as files below ``folder``, written by the executors."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = sinks._file_system(folder)
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                name = posixpath.join(root, path)
-                fs.create_dir(posixpath.dirname(name), recursive=True)
-                with fs.open_output_stream(name) as out:
-                    out.write((content or "").encode())
-            yield batch.select([0])
-
-    rows.select("path", "content").mapInArrow(run, "path string").count()
+    sinks.write_files(rows, folder)
     return folder
 
 
@@ -351,7 +336,7 @@ def built(spark: SparkSession, sf_dir: str) -> str:
     if key not in _built:
         out = scratch(spark, "built")
         given = {"input": site_folder(spark, sf_dir), "output": out, "base_url": "https://docs.example.org", "optional": ["nation/1*.md"], "bundle_sizes": [2000, 4000], "continue_on_error": True, "exclude_tokens": ["src/"]}
-        flags = ("sitemap", "index", "toc", "ast", "chunks", "manifest", "graph", "graph_sections", "tags", "bundles", "validate", "validate_ai", "incremental", "mcp")
+        flags = ("sitemap", "index", "toc", "ast", "chunks", "manifest", "graph", "graph_sections", "tags", "bundles", "validate", "validate_ai", "incremental", "mcp", "single_files")
         build.build(spark, config.merge(given, dict.fromkeys(flags, True)))
         _built[key] = out
     return _built[key]
@@ -620,3 +605,30 @@ def watched_builds(spark: SparkSession, sf_dir: str) -> DataFrame:
     w.stop()
     rows += [(0, e, "event") for e in {json.loads(x)["event"] for x in said}]
     return spark.createDataFrame(rows, "build int, path string, change string")
+
+
+@query(
+    f"""WITH RECURSIVE {RANKS_SQL} SELECT 'nodes' AS kind, path AS a, importance::VARCHAR AS b FROM importance UNION ALL SELECT 'edges', source, target FROM e WHERE target IS NOT NULL
+UNION ALL SELECT 'manifest', path, sha256(content) FROM site UNION ALL SELECT 'directory', split_part(path, '/', 1), split_part(path, '/', 2) FROM site WHERE contains(path, '/')
+UNION ALL SELECT 'chunks', path, '' FROM site UNION ALL SELECT 'sections', path, count(*)::VARCHAR FROM (SELECT path, unnest(regexp_extract_all(content, '(?m)^#{{1,6}}\\s+.+$')) FROM site) GROUP BY path
+UNION ALL SELECT 'bundles', size::VARCHAR, '' FROM (VALUES (2000), (4000)) AS t(size) UNION ALL SELECT 'master', 'directories', '' UNION ALL SELECT 'tags', path, '' FROM site UNION ALL SELECT 'symbols', file, '' FROM ({main.SQL['code_symbols']}) GROUP BY file"""
+)
+def single_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The build's tables as single files."""
+    out = built(spark, sf_dir)
+    kind = lambda name, df, a, b: df.select(F.lit(name).alias("kind"), F.col(a).cast("string").alias("a"), (F.col(b).cast("string") if b else F.lit("")).alias("b"))
+    rows = lambda file, name: artefacts.rows(spark, f"{out}/{file}", name)
+    own = F.col("path").rlike(r"^(nation|region|supplier)/[^/]*\.md$")
+    entries = spark.read.option("multiLine", "true").json([f"{out}/{d}/index.json" for d in ("nation", "region", "supplier")]).select(F.explode("files").alias("x")).select("x.*").where(own)
+    master = artefacts.document(spark, f"{out}/master-index.json")
+    parts = [
+        kind("nodes", rows("graph.json", "nodes"), "path", "importance"), kind("edges", rows("graph.json", "edges"), "source", "target"), kind("manifest", rows("manifest.json", "documents"), "path", "sha256"),
+        kind("directory", entries, "parent", "name"), kind("chunks", artefacts.chunks(spark, f"{out}/chunks.jsonl").select("source_path").distinct(), "source_path", None),
+        kind("sections", rows("graph-sections.json", "nodes").groupBy("doc_path").agg(F.count("*").alias("n")), "doc_path", "n"), kind("bundles", rows("bundles.meta.json", "bundles"), "size", None),
+        kind("tags", rows("tags.json", "documents"), "path", None), kind("symbols", rows("ast-index.json", "symbols").select("file").distinct(), "file", None),
+        master.where(F.size("directories") > 0).select(F.lit("master"), F.lit("directories"), F.lit("")),
+    ]
+    whole = parts[0]
+    for more in parts[1:]:
+        whole = whole.union(more)
+    return whole

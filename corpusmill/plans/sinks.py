@@ -5,8 +5,9 @@ from __future__ import annotations
 
 import json
 import posixpath
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,6 +86,43 @@ def write_jsonl(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "true").json(folder)
 
 
+def write_document(parts: Mapping[str, tuple[DataFrame, Sequence[str]]], path: str) -> None:
+    """One JSON file: an object with an array for each name, of a table's rows in the order of its columns.
+
+    Every row is a line, written by the executors; a comma leads all rows but an array's first.
+    """
+    spark = next(iter(parts.values()))[0].sparkSession
+    lines, schema = [], "part int, at int, key array<string>, text string"
+    for i, (name, (rows, order)) in enumerate(parts.items()):
+        key = F.array(*(F.col(c).cast("string") for c in order))
+        own = rows.select(F.lit(i).alias("part"), F.lit(1).alias("at"), key.alias("key"), F.to_json(F.struct("*"), {"ignoreNullFields": "true"}).alias("text"))
+        least = own.agg(F.min(F.struct("key", "text")).alias("m")).first()["m"]
+        lead = F.lit(False) if least is None else (F.col("key") == F.array(*(F.lit(x) for x in least["key"]))) & (F.col("text") == least["text"])
+        lines.append(own.withColumn("text", F.when(lead, F.col("text")).otherwise(F.concat(F.lit(","), "text"))))
+        edges = [(i, 0, None, ("{" if i == 0 else ",") + f"{json.dumps(name)}: ["), (i, 2, None, "]" + ("}" if i == len(parts) - 1 else ""))]
+        lines.append(spark.createDataFrame(edges, schema))
+    whole = lines[0]
+    for more in lines[1:]:
+        whole = whole.unionByName(more)
+    write_lines(whole.orderBy("part", "at", "key", "text"), path)
+
+
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Rows (path, content) as files below ``folder``, written by the executors; their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _file_system(folder)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                name = posixpath.join(root, path)
+                fs.create_dir(posixpath.dirname(name), recursive=True)
+                with fs.open_output_stream(name) as out:
+                    out.write((content or "").encode())
+            yield batch.select([0])
+
+    return rows.select("path", "content").mapInArrow(run, "path string").count()
+
+
 def index_lines(ordered: DataFrame, site: dict, base_url: str | None = None, with_optional: bool = True) -> DataFrame:
     """K2: (text) lines of the index file, sorted. ``ordered``: of ``documents.ordered``."""
     has = lambda c: c in ordered.columns

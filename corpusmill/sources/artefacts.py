@@ -15,9 +15,16 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("chunk_id is not null").drop("_bad")
 
 
+def rows(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of a build: a folder of JSON lines, or the array ``name`` of one JSON file (read by one task)."""
+    if not path.endswith(".json"):
+        return spark.read.json(path)
+    return document(spark, path).select(F.explode(name).alias("x")).select("x.*")
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """The manifest's documents, one row each."""
-    return spark.read.json(path)
+    return rows(spark, path, "documents")
 
 
 def document(spark: SparkSession, path: str) -> DataFrame:

@@ -47,6 +47,7 @@ class Options:
     validate: bool = False
     validate_ai: bool = False
     mcp: bool = False
+    single_files: bool = False
     incremental: bool = False
     cache_dir: str | None = None
     origin: str | None = None
