@@ -15,11 +15,15 @@ Plan
 3. Back by node: a node with fewer than ceil(t * size) shared n-grams cannot
    pair and drops out. The others know their prefix in the global order (rarest
    first): similar sets share an entry of both prefixes.
-4. Nodes that share prefix entries form blocks, and a block of many sets is cut into
-   tiles of two strips of sizes that can reach t. The order of the lists is cut into
-   fragments, at least ``FRAGMENTS``; each fragment of each tile counts the overlaps
-   of its part as a matrix product, in a task of its own. The partial counts are
-   summed per pair where the tile's fragments meet, and the threshold decides.
+4. Each prefix entry is led by the node of the longest prefix that has it. A leader and
+   all nodes of its entries are a block: a block never grows over others, as components
+   do, which n-grams shared by chance join into one in a large table. A pair
+   that meets in several blocks is counted in the first of them only.
+5. A block of many sets is cut into tiles of two strips of sizes that can reach t. The
+   order of the lists is cut into fragments, at least ``FRAGMENTS``; each fragment of
+   each tile counts the overlaps of its part as a matrix product, in a task of its own.
+   The partial counts are summed per pair where the tile's fragments meet, and the
+   threshold decides.
 Every step is exact but for 64-bit hash collisions. No candidate is capped.
 
 Result of ``similar_classes``: (doc_id, class_id, links), one row per document.
@@ -214,17 +218,21 @@ def _vectors(threshold: float):
 
 
 def _overlaps(threshold: float):
-    """Partial overlaps of one fragment of the order in one tile: (label, a, b, split, blob).
+    """Partial overlaps of one fragment of the order in one tile: (label, a, b, blob).
 
-    The blob holds the sets, their sizes and copies, and each pair with its count.
+    The blob holds the sets, their sizes and copies, and each pair with its count. Pairs
+    that also meet in an earlier block are left to it.
     """
 
-    def count(size: np.ndarray, own: np.ndarray, lists: list, weights: list, square: bool):
-        length = np.array([len(x) for x in lists])
-        off = np.concatenate([[0], np.cumsum(length)])
-        name, back = np.unique(np.concatenate(lists), return_inverse=True)
+    def columns(values: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        name, back = np.unique(np.concatenate(values), return_inverse=True)
+        return name, back, np.concatenate([[0], np.cumsum([len(x) for x in values])])
+
+    def count(size: np.ndarray, own: np.ndarray, lists: list, weights: list, earlier: list, square: bool):
+        name, back, off = columns(lists)
         weight = np.zeros(len(name), np.float32)
         weight[back] = np.concatenate(weights)
+        block, at, its = columns(earlier)
         m, half = len(size), len(size) if square else int(own.sum())
         for i in range(0, half, BLOCK):
             for j in range(i if square else half, m, BLOCK):
@@ -236,6 +244,8 @@ def _overlaps(threshold: float):
                 total = np.zeros((rows, cols), np.float32)
                 for c in range(0, len(name), WIDTH):
                     total += dense(back, off, i, i + rows, c, len(name)) * weight[c : c + WIDTH] @ dense(back, off, j, j + cols, c, len(name)).T
+                for c in range(0, len(block), WIDTH):
+                    total[dense(at, its, i, i + rows, c, len(block)) @ dense(at, its, j, j + cols, c, len(block)).T > 0] = 0
                 x, y = np.nonzero(total)
                 both = total[x, y].astype(np.int64)
                 x, y = x + i, y + j
@@ -252,28 +262,28 @@ def _overlaps(threshold: float):
         return out
 
     def tile(key: tuple, rows: list) -> Iterator[pa.RecordBatch]:
-        label, a, b, split, _ = key
+        label, a, b, _ = key
         node, size, copies, strip = (np.array([r[i] for r in rows]) for i in range(4))
         order = np.lexsort((node, size, strip != a))
         node, size, copies, strip = node[order], size[order], copies[order], strip[order]
         if a != b and (strip == a).all() or (strip == b).all() and a != b or len(node) < 2:
             return
-        found = list(count(size, strip == a, [rows[i][4] for i in order], [rows[i][5] for i in order], a == b))
+        found = list(count(size, strip == a, *([rows[i][c] for i in order] for c in (4, 5, 6)), a == b))
         x, y, both = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
         if len(x):
             used, back = np.unique(np.concatenate([x, y]), return_inverse=True)
             blob = nt.pack(nt.as_word(node[used]), size[used], copies[used], back[: len(x)], back[len(x) :], both)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([label]), pa.array([a], pa.int64()), pa.array([b], pa.int64()), pa.array([split]), nt.binaries([blob])], names=["label", "a", "b", "split", "blob"]
+                [pa.array([label]), pa.array([a], pa.int64()), pa.array([b], pa.int64()), nt.binaries([blob])], names=["label", "a", "b", "blob"]
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: tuple = ((), [])
         for batch in batches:
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(5))))
-            rest = [batch.column(i).to_pylist() for i in range(5, 9)]
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
+            rest = [batch.column(i).to_pylist() for i in range(4, 8)]
             flat = []
-            for i in (9, 10):
+            for i in (8, 9, 10):
                 o, v = batch.column(i).offsets.to_numpy(), batch.column(i).values.to_numpy()
                 flat.append([v[x:y] for x, y in zip(o[:-1].tolist(), o[1:].tolist())])
             for key, *row in zip(keys, *rest, *flat):
@@ -291,11 +301,11 @@ def _overlaps(threshold: float):
 def _totals(threshold: float, links: bool):
     """A tile's partial overlaps summed per pair, and the threshold.
 
-    ``links``: (node, links, root, split) for each set of a pair, the smallest set that it hangs
+    ``links``: (node, links, root) for each set of a pair, the smallest set that it hangs
     on in this tile; else the pairs, (a, b, both, sizes).
     """
 
-    def total(blobs: list[bytes], split: bool) -> pa.RecordBatch | None:
+    def total(blobs: list[bytes]) -> pa.RecordBatch | None:
         parts = [nt.unpack(raw) for raw in blobs]
         node, one = np.unique(np.concatenate([nt.as_long(p[0]) for p in parts]), return_index=True)
         size, copies = (np.concatenate([p[i] for p in parts])[one].astype(np.int64) for i in (1, 2))
@@ -317,21 +327,19 @@ def _totals(threshold: float, links: bool):
         group = roots(group)
         many = np.bincount(x, weights=copies[y], minlength=len(node)) + np.bincount(y, weights=copies[x], minlength=len(node))
         some = np.flatnonzero(many)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(node[some]), pa.array(many[some].astype(np.int64)), pa.array(node[group[some]]), pa.array(np.full(len(some), split))], names=["node", "links", "root", "split"]
-        )
+        return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(many[some].astype(np.int64)), pa.array(node[group[some]])], names=["node", "links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: tuple = ((), [])
         for batch in batches:
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
-            for key, raw in zip(keys, batch.column(4).to_pylist()):
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+            for key, raw in zip(keys, batch.column(3).to_pylist()):
                 if key != have[0]:
-                    if have[1] and (out := total(have[1], have[0][3])):
+                    if have[1] and (out := total(have[1])):
                         yield out
                     have = (key, [])
                 have[1].append(raw)
-        if have[1] and (out := total(have[1], have[0][3])):
+        if have[1] and (out := total(have[1])):
             yield out
 
     return run
@@ -387,17 +395,24 @@ def _vectors_of(docs: DataFrame, n: int, threshold: float, text_col: str) -> Dat
     return cut(alive.mapInArrow(nt.tidy(_vectors(threshold)), "node bigint, size bigint, lists array<bigint>, weights array<bigint>, prefix array<bigint>"))
 
 
+def _members(vectors: DataFrame) -> DataFrame:
+    """(node, label): the blocks of each set, by their leaders. Similar sets share one at least."""
+    entries = vectors.select("node", F.size("prefix").alias("length"), F.explode("prefix").alias("hub"))
+    led = entries.groupBy("hub").agg(F.max(F.struct("length", "node"))["node"].alias("label"), F.count("*").alias("sets")).where("sets > 1")
+    return entries.join(led, "hub").select("node", "label").distinct()
+
+
 def _tiles(vectors: DataFrame, copies: DataFrame, threshold: float) -> DataFrame:
-    """Sets in tiles and fragments: (label, a, b, split, frag, node, size, copies, strip, lists, weights).
+    """Sets in tiles and fragments: (label, a, b, frag, node, size, copies, strip, lists, weights, earlier).
 
     A block of over ``STRIP`` sets is cut into strips by size and then by hash; tiles are the
     pairs of strips whose sizes can reach the threshold. Each tile has every fragment.
+    ``earlier``: the set's blocks of smaller labels.
     """
-    labels = spread_labels(vectors.select("node", F.explode("prefix").alias("hub")))
-    placed = vectors.drop("prefix").join(labels, "node").join(copies, "node")
-    entries = F.sum(F.size("lists"))
-    cost = placed.groupBy("label").agg(F.greatest(F.lit(FRAGMENTS), F.ceil(entries / FRAGMENT_ENTRIES)).cast("int").alias("of"), F.count("*").alias("members"))
-    placed = placed.join(cost.where("members > 1"), "label").withColumn("split", F.col("members") > STRIP)
+    # seats are placed without the sets' lists, which join them once
+    seats = cut(_members(vectors).join(vectors.select("node", "size", F.size("lists").alias("entries")), "node"))
+    cost = seats.groupBy("label").agg(F.greatest(F.lit(FRAGMENTS), F.ceil(F.sum("entries") / FRAGMENT_ENTRIES)).cast("int").alias("of"), (F.count("*") > STRIP).alias("split"))
+    placed = seats.drop("entries").join(cost, "label")
     steps = 4  # classes of size from the threshold to 1
     level = F.floor(F.log("size") * (steps / -math.log(threshold)) + 1e-9).cast("bigint") if threshold < 1 else F.col("size")
     large = placed.where("split").withColumn("class", level)
@@ -408,21 +423,24 @@ def _tiles(vectors: DataFrame, copies: DataFrame, threshold: float) -> DataFrame
     two = strips.select("label", F.col("class").alias("cb"), F.col("strip").alias("b"))
     pairs = one.join(two, "label").where(f"a <= b and cb - ca <= {steps + 1 if threshold < 1 else 0}").select("label", "a", "b")
     of_strip = pairs.select("label", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("strip"))
-    keys = ["label", "a", "b", "split", "of", "node", "size", "copies", "strip", "lists", "weights"]
+    keys = ["label", "a", "b", "of", "node", "strip"]
     small = placed.where("not split").withColumns({"a": F.lit(0).cast("bigint"), "b": F.lit(0).cast("bigint"), "strip": F.lit(0).cast("bigint")})
     tiles = small.select(keys).union(large.join(of_strip, ["label", "strip"]).select(keys))
+    blocks = seats.groupBy("node").agg(F.collect_list("label").alias("blocks"))
+    tiles = tiles.join(vectors.drop("prefix").join(blocks, "node").join(copies, "node"), "node")
+    tiles = tiles.withColumn("earlier", F.filter("blocks", lambda x: x < F.col("label")))
     # a fragment is a range of the list order
     at = F.transform("lists", lambda x: F.pmod(F.shiftrightunsigned(x, 1), F.col("of")).cast("int"))
     tiles = tiles.withColumn("at", at).withColumn("frag", F.explode(F.array_distinct("at")))
     pick = lambda c: F.transform(F.filter(F.arrays_zip(F.col(c).alias("v"), F.col("at").alias("f")), lambda z: z["f"] == F.col("frag")), lambda z: z["v"])
-    return tiles.select("label", "a", "b", "split", "frag", "node", "size", "copies", "strip", pick("lists").alias("lists"), pick("weights").alias("weights"))
+    return tiles.select("label", "a", "b", "frag", "node", "size", "copies", "strip", pick("lists").alias("lists"), pick("weights").alias("weights"), "earlier")
 
 
 def _counted(tiles: DataFrame, threshold: float, links: bool) -> DataFrame:
     parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = ["label", "a", "b", "frag"]
-    partial = tiles.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(nt.tidy(_overlaps(threshold)), "label bigint, a bigint, b bigint, split boolean, blob binary")
-    schema = "node bigint, links bigint, root bigint, split boolean" if links else "a bigint, b bigint, both bigint, sizes bigint"
+    partial = tiles.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(nt.tidy(_overlaps(threshold)), "label bigint, a bigint, b bigint, blob binary")
+    schema = "node bigint, links bigint, root bigint" if links else "a bigint, b bigint, both bigint, sizes bigint"
     return partial.repartition(parts, *key[:3]).sortWithinPartitions(*key[:3]).mapInArrow(nt.tidy(_totals(threshold, links)), schema)
 
 
@@ -442,10 +460,9 @@ def set_groups(docs: DataFrame, of: DataFrame, n: int = N, threshold: float = TH
     """
     copies = of.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"))
     found = cut(_counted(_tiles(_vectors_of(docs, n, threshold, text_col), copies, threshold), threshold, True))
-    whole = found.where("not split").select("node", F.col("root").alias("label"))
-    parted = spread_labels(found.where("split").select("node", F.col("root").alias("hub")))
+    labels = spread_labels(found.select("node", F.col("root").alias("hub")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    return whole.union(parted.select("node", "label")).join(links, "node")
+    return labels.select("node", "label").join(links, "node")
 
 
 def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -197,6 +197,30 @@ def test_jaccard_counts_in_fragments(spark, sf):
     assert tiles.select("label", "frag").distinct().groupBy("label").count().where("count > 1").count()
 
 
+def chained_docs(n=40):
+    """Threes of near copies, of which one shares an n-gram by chance with one of the next; and a family with links of its own."""
+    docs = []
+    for i in range(n):
+        w = [f"p{i}w{j}" for j in range(30)]
+        chance = [[f"chance{k}x{j}" for j in range(3)] for k in (i, i + 1)]
+        docs += [(3 * i, " ".join([*chance[0], *w[3:27], *chance[1]])), (3 * i + 1, " ".join([*w[:-1], "end"])), (3 * i + 2, " ".join([*w[:-2], "the", "end"]))]
+    base = [f"f{j}" for j in range(30)]
+    return docs + [(1000 + i, " ".join(base[: 30 - i] + [f"g{i}y{j}" for j in range(i)])) for i in range(12)]
+
+
+def test_jaccard_blocks_do_not_grow_over_others(spark, monkeypatch):
+    """n-grams shared by chance chain all sets, but no block has more than a leader's neighbours; pairs count once."""
+    docs = chained_docs()
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    vectors = ngram_join._vectors_of(df, 3, 0.4, "text")
+    tiles = ngram_join._tiles(vectors, vectors.select("node", F.lit(1).cast("bigint").alias("copies")), 0.4).cache()
+    assert max(r.n for r in tiles.groupBy("label").agg(F.countDistinct("node").alias("n")).collect()) <= 12
+    assert tiles.where("size(earlier) > 0").count()
+    assert rows(ngram_join.similar_classes(df, 3, 0.4)) == brute_classes(docs, 3, 0.4)
+    pairs = ngram_join.similar_sets(df, 3, 0.4)
+    assert pairs.count() == pairs.select("a", "b").distinct().count() == len(brute_pairs(docs, 3, 0.4))
+
+
 def test_jaccard_awkward(odd, none):
     found = {(r.doc_a, r.doc_b) for r in ngram_join.similar_pairs(odd).collect()}
     assert found == {(6, 7)}
