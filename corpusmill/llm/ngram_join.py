@@ -12,9 +12,10 @@ Plan
    (n-grams delta-coded, node, set size) go to their range. There the frequency
    of each n-gram is exact; those of a single node drop out, and n-grams with
    the same list of nodes merge into one weighted list.
-3. Back by node: a node with fewer than ceil(t * size) shared n-grams cannot
-   pair and drops out. The others know their prefix in the global order (rarest
-   first): similar sets share an entry of both prefixes.
+3. Back by node, many nodes' lists in one value: a node with fewer than
+   ceil(t * size) shared n-grams cannot pair and drops out. The others know their
+   prefix in the global order (rarest first): similar sets share an entry of both
+   prefixes.
 4. Each prefix entry is led by the node of the longest prefix that has it. A leader and
    all nodes of its entries are a block: a block never grows over others, as components
    do, which n-grams shared by chance join into one in a large table. A pair
@@ -138,8 +139,17 @@ def _blocks(n: int, ranges: int):
     return run
 
 
-def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range of the order: per node its weighted lists of two nodes or more."""
+def _shared_lists(parts: int):
+    """One range of the order: (part, blob) with the weighted lists, of two nodes or more, of a range of nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from shared_lists(batches, parts)
+
+    return run
+
+
+def shared_lists(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """See ``_shared_lists``. Names are hashes, so that a slice of the sorted names is a range of nodes."""
     gs, ns, nodes, sizes, have = [], [], [], [], 0
     for batch in batches:
         for raw in batch.column(1).to_pylist():
@@ -176,41 +186,55 @@ def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     member, entry = member[order], entry[order]
     off = np.append(run_starts(member), len(member))
     who = member[off[:-1]]
-    for a in range(0, len(who), 20000):
-        o = off[a : a + 20001]
-        e = entry[o[0] : o[-1]]
-        w = weight[e]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(nt.as_long(names[who[a : a + 20000]])),
-                pa.array(size[who[a : a + 20000]].astype(np.int64)),
-                pa.array(np.add.reduceat(w, o[:-1] - o[0])),
-                nt.lists(nt.as_long(lists[e]), o - o[0], pa.int64()),
-                nt.lists(w.astype(np.int32), o - o[0], pa.int32()),
-                nt.lists(length[e].astype(np.int32), o - o[0], pa.int32()),
-            ],
-            names=["node", "size", "shared", "lists", "weights", "dfs"],
-        )
+    part = ((names[who] >> nt.U64(32)) * nt.U64(parts)) >> nt.U64(32)
+    edge = np.append(run_starts(part), len(part))
+    for i in range(0, len(edge) - 1, 256):
+        blobs = []
+        for a, b in zip(edge[i : i + 256], edge[i + 1 : i + 257]):
+            e = entry[off[a] : off[b]]
+            blobs.append(nt.pack(names[who[a:b]], size[who[a:b]], np.diff(off[a : b + 1]), lists[e], weight[e], length[e]))
+        yield pa.RecordBatch.from_arrays([pa.array(part[edge[i : i + len(blobs)]].astype(np.int32)), nt.binaries(blobs)], names=["part", "blob"])
 
 
 def _vectors(threshold: float):
-    """Per node: merge the ranges' lists, and find the prefix in the global order."""
+    """One range of nodes: those with enough shared n-grams, their lists merged, and the prefix in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            cols = [batch.column(i) for i in range(5)]
-            for node, size, lists, weights, dfs in zip(cols[0].to_pylist(), cols[1].to_pylist(), *(c for c in cols[2:])):
-                flat = [np.asarray(x.values.flatten()) for x in (lists, weights, dfs)]
-                name, one, back = np.unique(flat[0], return_index=True, return_inverse=True)
-                weight = np.bincount(back, weights=flat[1]).astype(np.int64)
-                order = np.lexsort((name, flat[2][one]))
-                reach = size - math.ceil(threshold * size - 1e-9) + 1 - (size - weight.sum())
-                before = np.cumsum(weight[order]) - weight[order]
-                for column, value in zip(out, (node, size, name, weight, name[order[before < reach]])):
-                    column.append(value)
+        have = [nt.unpack(raw) for batch in batches for raw in batch.column(1).to_pylist()]
+        if not have:
+            return
+        node, size, many, name, weight, df = (np.concatenate([h[i] for h in have]) for i in range(6))
+        del have
+        node, first, who = np.unique(node, return_index=True, return_inverse=True)
+        size, weight = size[first].astype(np.int64), weight.astype(np.int64)
+        who = np.repeat(who, many.astype(np.int64))
+        shared = np.bincount(who, weights=weight, minlength=len(node)).astype(np.int64)
+        least = np.ceil(threshold * size - 1e-9).astype(np.int64)
+        keep = (shared >= least)[who]
+        who, name, weight, df = who[keep], name[keep], weight[keep], df[keep]
+        if not len(who):
+            return
+        order = np.lexsort((name, df, who))
+        who, name, weight = who[order], name[order], weight[order]
+        start = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (name[1:] != name[:-1])]))
+        who, name, weight = who[start], name[start], np.add.reduceat(weight, start)
+        off = np.append(run_starts(who), len(who))
+        alive = who[off[:-1]]
+        before = np.cumsum(weight) - weight
+        before -= np.repeat(before[off[:-1]], np.diff(off))
+        early = before < (shared - least + 1)[who]
+        ahead = np.concatenate([[0], np.cumsum(early)])
+        for a in range(0, len(alive), 5000):
+            o = off[a : a + 5001]
+            here = slice(o[0], o[-1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in out[2:])],
+                [
+                    pa.array(nt.as_long(node[alive[a : a + 5000]])),
+                    pa.array(size[alive[a : a + 5000]]),
+                    nt.lists(nt.as_long(name[here]), o - o[0], pa.int64()),
+                    nt.lists(weight[here], o - o[0], pa.int64()),
+                    nt.lists(nt.as_long(name[here][early[here]]), ahead[o] - ahead[o[0]], pa.int64()),
+                ],
                 names=["node", "size", "lists", "weights", "prefix"],
             )
 
@@ -383,16 +407,9 @@ def _vectors_of(docs: DataFrame, n: int, threshold: float, text_col: str) -> Dat
     parts = nt.ranges(docs)
     texts = docs.select(F.col(text_col).alias("text_")).where("text_ is not null")
     blocks = texts.mapInArrow(nt.tidy(_blocks(n, parts)), "part int, blob binary")
-    shared = blocks.repartitionById(parts, F.col("part")).mapInArrow(
-        nt.tidy(_shared_lists), "node bigint, size bigint, shared bigint, lists array<bigint>, weights array<int>, dfs array<int>"
-    )
-    alive = (
-        shared.groupBy("node")
-        .agg(F.max("size").alias("size"), F.sum("shared").alias("shared"), F.collect_list("lists").alias("l"), F.collect_list("weights").alias("w"), F.collect_list("dfs").alias("d"))
-        .where(F.col("shared") >= F.ceil(F.col("size") * threshold - 1e-9))
-        .select("node", "size", "l", "w", "d")
-    )
-    return cut(alive.mapInArrow(nt.tidy(_vectors(threshold)), "node bigint, size bigint, lists array<bigint>, weights array<bigint>, prefix array<bigint>"))
+    shared = blocks.repartitionById(parts, F.col("part")).mapInArrow(nt.tidy(_shared_lists(parts)), "part int, blob binary")
+    vectors = shared.repartitionById(parts, F.col("part")).mapInArrow(nt.tidy(_vectors(threshold)), "node bigint, size bigint, lists array<bigint>, weights array<bigint>, prefix array<bigint>")
+    return cut(vectors)
 
 
 def _members(vectors: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -221,6 +223,29 @@ def test_jaccard_blocks_do_not_grow_over_others(spark, monkeypatch):
     assert pairs.count() == pairs.select("a", "b").distinct().count() == len(brute_pairs(docs, 3, 0.4))
 
 
+def test_jaccard_lists_go_back_in_few_rows():
+    """A range of the order sends one row per range of nodes, whatever the sets; the vectors are those of a plain count."""
+    docs, parts = chained_docs(), 3
+    batch = pa.record_batch([pa.array([t for _, t in docs])], names=["text_"])
+    ranges = {}
+    for out in ngram_join._blocks(3, parts)(iter([batch])):
+        for part, row in zip(out.column(0).to_pylist(), out.to_pylist()):
+            ranges.setdefault(part, []).append(row)
+    back, sent = {}, []
+    for held in ranges.values():
+        rows_out = [r for out in ngram_join._shared_lists(parts)(iter([pa.RecordBatch.from_pylist(held)])) for r in out.to_pylist()]
+        sent.append(len(rows_out))
+        for r in rows_out:
+            back.setdefault(r["part"], []).append(r)
+    assert len(sent) == parts and max(sent) <= parts
+    found = [r for held in back.values() for out in ngram_join._vectors(0.4)(iter([pa.RecordBatch.from_pylist(held)])) for r in out.to_pylist()]
+    sets = [frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) for w in (words(t) for _, t in docs)]
+    df = Counter(g for s in sets for g in s)
+    want = [(len(s), n) for s in sets if (n := sum(df[g] > 1 for g in s)) >= 0.4 * len(s)]
+    assert sorted((r["size"], sum(r["weights"])) for r in found) == sorted(want)
+    assert all(set(r["prefix"]) <= set(r["lists"]) and r["prefix"] for r in found)
+
+
 def test_jaccard_awkward(odd, none):
     found = {(r.doc_a, r.doc_b) for r in ngram_join.similar_pairs(odd).collect()}
     assert found == {(6, 7)}
