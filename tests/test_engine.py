@@ -520,3 +520,31 @@ def test_loader_globs(spark):
     docs = spark.createDataFrame([("a/x.md", "1"), ("a/y.md", "2"), ("b/x.md", "3")], "path string, content string")
     pick = lambda *a: sorted(r.page_content for r in retrieval.loader_documents(docs, None, *a).collect())
     assert pick() == ["1", "2", "3"] and pick(["a/*.md"]) == ["1", "2"] and pick(["a/*.md"], ["**/x.md"]) == ["2"] and pick([], ["**/x.md"]) == ["2"]
+
+
+# --- directories of many files
+
+
+def test_many_files_are_listed_by_tasks_and_read_many_at_once(spark, tmp_path, monkeypatch):
+    names = [f"d{i % 3}/e{i % 2}/{i}.md" for i in range(300)] + ["a.md", "é b.md", "_no.md", ".no/x.md", "d0/_n=o.md", "d0/.no.md", "_skip/x.md", "d1/deep/er/est/x.md"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text(f"text of {n}")
+    (tmp_path / "lost.md").symlink_to(tmp_path / "nothing")
+    (tmp_path / "empty").mkdir()
+    usual = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path))
+    want = {(r.path, r.modificationTime, r.length) for r in usual.drop("content").collect()}
+    for at_once in (20_000, 5):
+        monkeypatch.setattr(files, "LISTED_AT_ONCE", at_once)
+        got = files.listing(spark, str(tmp_path))
+        assert sorted((r.full_path, r.mtime, r.size) for r in got.collect()) == sorted(want)
+    # no status of a file is on the driver, and a task is not a few files
+    assert len(got.inputFiles()) < 50
+    scanned = files.scan(spark, str(tmp_path))
+    assert scanned.rdd.getNumPartitions() == 1 and {(r.path, r.content) for r in scanned.collect()} == {(n, f"text of {n}") for n in names if not any(p[0] in "._" and "=" not in p for p in n.split("/"))}
+    monkeypatch.setattr(files, "TASK_FILES", 50)
+    monkeypatch.setattr(files, "BATCH_FILES", 7)
+    again = files.scan(spark, str(tmp_path))
+    assert again.rdd.getNumPartitions() == 7 and sorted(again.collect()) == sorted(scanned.collect())
+    monkeypatch.setattr(files, "BATCH_BYTES", 10)
+    assert files.read_documents(spark, str(tmp_path)).count() == scanned.count()
