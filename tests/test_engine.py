@@ -548,3 +548,36 @@ def test_many_files_are_listed_by_tasks_and_read_many_at_once(spark, tmp_path, m
     assert again.rdd.getNumPartitions() == 7 and sorted(again.collect()) == sorted(scanned.collect())
     monkeypatch.setattr(files, "BATCH_BYTES", 10)
     assert files.read_documents(spark, str(tmp_path)).count() == scanned.count()
+
+
+def test_files_of_lines_are_written_and_read_in_ranges(spark, tmp_path, monkeypatch):
+    own = [(f"d{d}", f"n{i:03}", f"d{d}/n{i:03}", i) for d, n in ((0, 1), (1, 200), (2, 3), (3, 1), (4, 150)) for i in range(n)] + [("", "x,{é}\n", "x,{é}\n", 7)]
+    entries = spark.createDataFrame(own, "parent string, name string, path string, size int").repartition(5)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_listed(navigation.index_lines(entries), str(tmp_path))
+        sinks.write_document({"nodes": (entries, ["path"]), "edges": (entries.where("size < 9"), ["path"])}, f"{tmp_path}/graph.json")
+        docs = spark.createDataFrame([(r[2] + ".md", "a\nb") for r in own if r[0]], DOC)
+        sinks.write_listed(navigation.toc_lines(docs), str(tmp_path), "")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {p.name for p in tmp_path.iterdir() if not p.name.startswith(".")} == {"graph.json", "index.json", *(f"d{i}" for i in range(5))}
+    for folder in {r[0] for r in own}:
+        got = json.loads((tmp_path / folder / "index.json").read_text())
+        assert got == {"path": folder, "files": [{"name": r[1], "parent": folder, "path": r[2], "size": r[3]} for r in sorted(own) if r[0] == folder]}
+    for r in navigation.toc_files(docs).collect():
+        assert (tmp_path / r.directory / "toc.md").read_text() == r.text
+    for at_once in (32 << 20, 500, 1):  # whole, several lines, less than a line
+        monkeypatch.setattr(artefacts, "RANGE_BYTES", max(at_once, 70))
+        lines = [(r.at, r.line) for r in artefacts.numbered_lines(spark, f"{tmp_path}/graph.json").collect()]
+        whole = (tmp_path / "graph.json").read_bytes()
+        assert b"".join(line.encode() + b"\n" for _, line in sorted(lines)) == whole and all(whole[at:].startswith(line.encode()) for at, line in lines)
+        for name in ("nodes", "edges"):
+            assert {(r.path, r.size) for r in artefacts.rows(spark, f"{tmp_path}/graph.json", name).collect()} == {(r[2], r[3]) for r in own if name == "nodes" or r[3] < 9}
+        assert artefacts.rows(spark, f"{tmp_path}/d1/index.json", "files").count() == 200
+    # no array is one row of one task any more
+    assert artefacts.rows(spark, f"{tmp_path}/graph.json", "nodes").rdd.getNumPartitions() > 1
+    (tmp_path / "other.json").write_text(json.dumps({"nodes": [{"path": "a", "size": 1}, {"path": "b", "size": 2}], "n": 1}, indent=2))
+    assert artefacts.rows(spark, f"{tmp_path}/other.json", "nodes").count() == 2
