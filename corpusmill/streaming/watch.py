@@ -69,8 +69,12 @@ class Watcher:
 
     def listed(self) -> tuple:
         """The number of documents and a fingerprint of their paths, times and sizes."""
-        rows = relevant(files.listing(self.spark, self.folder), self.output_dir)
-        return tuple(rows.agg(F.count("*"), F.sum(F.xxhash64("path", "mtime", "size").cast("decimal(38,0)"))).first())
+        every = files.listing(self.spark, self.folder)
+        rows = relevant(every, self.output_dir)
+        try:
+            return tuple(rows.agg(F.count("*"), F.sum(F.xxhash64("path", "mtime", "size").cast("decimal(38,0)"))).first())
+        finally:
+            drop_cut(every)
 
     def look(self, batch: int) -> bool:
         """Rebuild if the directory has changed and then been quiet since the last look."""
@@ -93,9 +97,11 @@ class Watcher:
         """Build what changed and commit the state; a failure (None) is reported and tried again at the next look."""
         try:
             old = incremental.load_state(self.spark, self.state)
-            now = relevant(files.scan(self.spark, self.folder), self.output_dir)
+            every = files.listed(self.spark, self.folder)
+            now = relevant(files.scan(self.spark, self.folder, found=every), self.output_dir)
             # written before the build, so that an edit during the build is a change at the next look
             found = cut(incremental.changes(old, incremental.snapshot(now)))
+            drop_cut(every[1])
             changed = found.where("change <> 'unchanged'")
             n = changed.count()
             if not n:

@@ -581,3 +581,17 @@ def test_files_of_lines_are_written_and_read_in_ranges(spark, tmp_path, monkeypa
     assert artefacts.rows(spark, f"{tmp_path}/graph.json", "nodes").rdd.getNumPartitions() > 1
     (tmp_path / "other.json").write_text(json.dumps({"nodes": [{"path": "a", "size": 1}, {"path": "b", "size": 2}], "n": 1}, indent=2))
     assert artefacts.rows(spark, f"{tmp_path}/other.json", "nodes").count() == 2
+
+
+def test_looks_leave_no_listings(spark, tmp_path):
+    from pathlib import Path
+
+    from corpusmill.session import shared_dir
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.md").write_text("a")
+    held = lambda: set(Path(shared_dir(spark)).glob("listing-*"))
+    before, built = held(), []
+    w = watch.Watcher(spark, str(tmp_path / "in"), str(tmp_path / "state"), lambda s, changed, b: built.extend(r.path for r in changed.collect()), emit=lambda line: None)
+    assert [w.look(i) for i in range(3)] == [False, True, False] and built == ["a.md"]
+    assert held() == before
